@@ -29,9 +29,28 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import id_crc
+    from .language_id import learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict(docs.select("doc_id", "text"), learn(docs))
+    return found.select("doc_id", (id_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
