@@ -40,6 +40,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_links import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import id_crc
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (id_crc(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -49,7 +66,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op4_embedding_links": op4_embedding_links,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_toxicity": op6_toxicity,
     "op8_license_scan": op8_license_scan,
 }
 
