@@ -1,10 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, that scores all overlapping windows.
 
-Inputs of a word: log odds of the word and of its character 4-grams in toxic against other training documents (document counts,
-smoothed; words and grams of fewer than three documents are unknown), and a learned vector, the mean over hashed character
+Inputs of a word: log odds of the word and of its character 4-grams (of UTF-8 bytes) in toxic against other training documents
+(document counts, smoothed; words and grams of fewer than three documents are unknown), and a learned vector, the mean over hashed
 3-grams. Two gated recurrent layers, one each way, read a window of WINDOW words; attention pools their states into a window's
 logit. Windows start every STRIDE words and reach over the whole text; a document's score is a logistic function of its largest
-window logit and the mean of its three largest.
+window logit, the mean of its three largest, and the logarithm of their number.
 
 Training: documents carry the labels, windows don't, so each toxic training document gives its windows with the largest
 evidence as positive ones, and the others their most suspicious and some further windows as negative ones; after the first epochs
@@ -15,6 +15,7 @@ null ids and repeated rows are scored each; an empty table gives no rows; column
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, columns_or, id_crc
+from .common import append_columns, columns_or, id_crc, ragged
 
 WINDOW, STRIDE, HIDDEN, CHAR_DIM, BUCKETS = 32, 16, 8, 4, 1024
 _STRIP = ".,;:!?\"'()[]{}|*#-_"
@@ -37,9 +38,21 @@ def _clean(word: str) -> str:
     return word.strip(_STRIP)
 
 
-def _grams(word: str, n: int) -> list[str]:
-    own = f"<{word}>"
-    return [own[i : i + n] for i in range(max(1, len(own) - n + 1))]
+def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the words' UTF-8 bytes, between marks, as one number each, word after word, and how many each word has (one
+    at least)."""
+    raw = [b"<" + _clean(w).encode("utf-8", "replace") + b">_" for w in words]
+    flat = np.frombuffer(b"".join(raw) + b"____", np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    keys = np.zeros(len(flat) - 4, np.uint32)
+    for k in range(n):
+        keys = keys << np.uint32(8) | flat[k : k + len(keys)]
+    many = np.maximum(sizes - n, 1)
+    return ragged(keys, np.cumsum(sizes) - sizes, many), many
+
+
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -49,17 +62,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 @dataclass
 class ToxicityModel:
     word_odds: dict[str, float] = field(default_factory=dict)
-    gram_odds: dict[str, float] = field(default_factory=dict)
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    gram_odds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     p: dict[str, np.ndarray] = field(default_factory=dict)
-    calibration: tuple[float, float, float] = (0.0, 0.0, -50.0)
-
-    def inputs(self, word: str) -> tuple[list[float], list[int]]:
-        """Fixed inputs of a word, and the buckets of its character 3-grams."""
-        w = _clean(word)
-        odds = [self.gram_odds.get(g, 0.0) for g in _grams(w, 4)]
-        known = self.word_odds.get(w)
-        fixed = [known or 0.0, max(odds), sum(odds) / len(odds), 0.0 if known is None else 1.0]
-        return fixed, [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in _grams(w, 3)]
+    calibration: tuple[float, ...] = (0.0, 0.0, 0.0, -50.0)
+
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fixed inputs of each word; the buckets of the words' 3-grams, and how many each word has."""
+        known = [self.word_odds.get(_clean(w)) for w in words]
+        keys, many = _grams(words, 4)
+        odds = np.zeros(len(keys), np.float32)
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+            odds = np.where(self.grams[at] == keys, self.gram_odds[at], np.float32(0))
+        starts = np.cumsum(many) - many
+        fixed = np.column_stack([[k or 0.0 for k in known], np.maximum.reduceat(odds, starts), np.add.reduceat(odds, starts) / many, [float(k is not None) for k in known]]).astype(np.float32)
+        keys, many = _grams(words, 3)
+        return fixed, _buckets(keys), many
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -135,43 +154,64 @@ class _Net:
         return g, dx
 
 
-def _odds(toxic: list[set], other: list[set], least: float) -> dict[str, float]:
-    """Smoothed log odds by documents, of items of three documents or more and odds that matter."""
-    from collections import Counter
-
-    t, o = Counter(x for s in toxic for x in s), Counter(x for s in other for x in s)
-    out = {}
-    for x in t.keys() | o.keys():
-        if t[x] + o[x] >= 3:
-            v = np.log((t[x] + 0.5) / (len(toxic) + 1)) - np.log((o[x] + 0.5) / (len(other) + 1))
-            if abs(v) >= least:
-                out[x] = float(np.clip(v, -4, 4))
-    return out
-
-
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -> ToxicityModel:
-    """The model, from whole labelled texts in memory."""
+def _odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Items, and their smoothed log odds by documents, where three documents or more have them and the odds matter. toxic and
+    other hold an item once for each document."""
+    items, at = np.unique(np.concatenate([toxic, other]), return_inverse=True)
+    t, o = np.bincount(at[: len(toxic)], minlength=len(items)), np.bincount(at[len(toxic) :], minlength=len(items))
+    v = np.log((t + 0.5) / (n_toxic + 1)) - np.log((o + 0.5) / (n_other + 1))
+    keep = (t + o >= 3) & (np.abs(v) >= least)
+    return items[keep], np.clip(v[keep], -4, 4).astype(np.float32)
+
+
+def _without_copies(texts: list[str], labels: list[int], hashes: int = 4) -> tuple[list[str], list[int]]:
+    """Texts no two of which share one of a few smallest hashes of five words."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, label in zip(texts, labels, strict=True):
+        words = words_of(text)
+        keys = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+        five = sum((keys[k : max(0, len(keys) - 4) + k] * np.uint64(31**k) for k in range(5)), np.zeros(max(0, len(keys) - 4), np.uint64))
+        mixed = [(five * np.uint64(2 * i + 0x9E3779B97F4A7C15)) ^ ((five + np.uint64(i)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7)) for i in range(hashes)]
+        marks = {(i, int(m.min())) for i, m in enumerate(mixed)} if len(five) else {(-1, zlib.crc32(text.lower().encode("utf-8", "replace")))}
+        if not marks & seen:
+            out.append((text, label))
+        seen |= marks
+    return [t for t, _ in out], [v for _, v in out]
+
+
+def train(texts: list[str], labels: list[int], prior: float | None = None, seed: int = 7, rounds: int = 6, least_steps: int = 400) -> ToxicityModel:
+    """The model, from whole labelled texts in memory; prior: the share of toxic documents that the sample was drawn from. Of
+    copies in the sample one counts, else their words would look telling."""
+    texts, labels = _without_copies(texts, labels)
     y = np.array(labels)
     if len(set(labels)) < 2:
         return ToxicityModel()
     rng = np.random.default_rng(seed)
     worded = [words_of(t) for t in texts]
-    cleaned = [{_clean(w) for w in x} for x in worded]
-    grams = [{g for w in s for g in _grams(w, 4)} for s in cleaned]
-    part = lambda sets, k: [s for s, v in zip(sets, labels, strict=True) if v == k]
-    model = ToxicityModel(_odds(part(cleaned, 1), part(cleaned, 0), 0.5), _odds(part(grams, 1), part(grams, 0), 0.7))
-    codes: dict[str, int] = {}
+    codes: dict[str, int] = {"": 0}
     for x in worded:
         for w in x:
-            codes.setdefault(w, len(codes) + 1)
-    fixed, buckets = np.zeros((len(codes) + 1, 4), np.float32), [[0]]
-    for w, i in codes.items():
-        fixed[i], own = model.inputs(w)
-        buckets.append(own)
-    sizes = np.array([len(b) for b in buckets])
-    flat, starts = np.concatenate([np.array(b) for b in buckets]), np.cumsum(sizes) - sizes
-    net = _Net(4 + CHAR_DIM, seed)
+            codes.setdefault(w, len(codes))
+    vocabulary = list(codes)
     docs = [np.array([codes[w] for w in x], np.int64) for x in worded]
+    # documents of each word without its punctuation, and of each gram
+    plain: dict[str, int] = {}
+    plain_of = np.array([plain.setdefault(_clean(w), len(plain)) for w in vocabulary])
+    keys, many = _grams(vocabulary, 4)
+    key_starts = np.cumsum(many) - many
+    unique = [np.unique(d) for d in docs]
+    words_in = [np.unique(plain_of[u]) for u in unique]
+    grams_in = [np.unique(ragged(keys, key_starts[u], many[u])) for u in unique]
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    part = lambda rows, k: np.concatenate([r for r, v in zip(rows, labels, strict=True) if v == k])
+    kept, odds = _odds(part(words_in, 1), part(words_in, 0), n1, n0, 0.5)
+    names = list(plain)
+    model = ToxicityModel({names[k]: float(v) for k, v in zip(kept.tolist(), odds.tolist(), strict=True)}, *_odds(part(grams_in, 1), part(grams_in, 0), n1, n0, 0.7))
+    fixed, flat, sizes = model.inputs(vocabulary)
+    fixed[0] = 0
+    starts = np.cumsum(sizes) - sizes
+    net = _Net(4 + CHAR_DIM, seed)
     spans = [windows_of(len(x)) for x in docs]
     first = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
     grid = np.zeros((first[-1], WINDOW), np.int64)
@@ -204,12 +244,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
     def logits() -> np.ndarray:
         return np.concatenate([net.forward(*inputs(grid[i : i + 4096]))[0] for i in range(0, len(grid), 4096)])
 
-    for epoch in range(epochs):
-        at, label = chosen(evidence if epoch < epochs // 2 else logits())
-        order = rng.permutation(len(at))
+    for turn in range(rounds):
+        at, label = chosen(evidence if turn < rounds // 2 else logits())
         balance = np.where(label > 0, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6)).astype(np.float32)
-        for i in range(0, len(order), 128):
-            own = order[i : i + 128]
+        batches = [own for _ in range(max(1, -(-least_steps * 128 // (rounds * len(at))))) for own in np.array_split(rng.permutation(len(at)), -(-len(at) // 128))]
+        for own in batches:
             idx = grid[at[own]]
             x, mask = inputs(idx)
             z, saved = net.forward(x, mask)
@@ -231,22 +270,27 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
     z = logits()
     model.p = net.p
     f = np.array([_summary(z[first[d] : first[d + 1]]) for d in range(len(docs))])
-    model.calibration = _logistic(f, y)
+    *weights, c = _logistic(f, y).tolist()
+    share = float(y.mean())
+    prior = share if prior is None else prior
+    model.calibration = *weights, c + float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     return model
 
 
-def _summary(z: np.ndarray) -> tuple[float, float]:
+def _summary(z: np.ndarray) -> tuple[float, float, float]:
+    """Largest window logit, mean of the three largest, and the number of windows, which raises both."""
     top = np.sort(z)[-3:]
-    return float(top[-1]), float(top.mean())
+    return float(top[-1]), float(top.mean()), float(np.log(len(z)))
 
 
-def _logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
+def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of f and of a constant, with a little shrinkage."""
     x = np.column_stack([f, np.ones(len(f))])
-    w = np.zeros(3)
+    w, shrink = np.zeros(x.shape[1]), np.array([0.1] * f.shape[1] + [1e-3])
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * np.diag([1e-1, 1e-1, 1e-3]), x.T @ (q - y) + ridge * np.array([1e-1, 1e-1, 1e-3]) * w)
-    return float(w[0]), float(w[1]), float(w[2])
+        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(shrink), x.T @ (q - y) + shrink * w)
+    return w
 
 
 def default_training(id_col: str = "doc_id") -> Column:
@@ -254,7 +298,7 @@ def default_training(id_col: str = "doc_id") -> Column:
     return id_crc(F.col(id_col), 3) != 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1500) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1000) -> ToxicityModel:
     """A model from a hash sample of at most sample_docs labelled training documents a class."""
     marks = columns_or(labels, doc_id=id_col, y=label_col).where("y in (0, 1) and doc_id is not null").withColumn("doc_id", F.col("doc_id"))
     marks = marks.where(default_training() if training is None else training).withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)))
@@ -264,13 +308,14 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column | None = None, id
     rows = columns_or(docs, doc_id=id_col, text=text_col).join(F.broadcast(marks), "doc_id").select("y", "key", "text").collect()  # marks: at most 2.4 * sample_docs rows or so
     rows = sorted((r[0], r[1], r[2] or "") for r in rows)
     rows = [r for r in rows if r[0] == 0][:sample_docs] + [r for r in rows if r[0] == 1][:sample_docs]
-    return train([r[2] for r in rows], [r[0] for r in rows])
+    prior = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    return train([r[2] for r in rows], [r[0] for r in rows], prior if 0 < prior < 1 else None)
 
 
 class _Scorer:
     """Scores batches of texts. A word's part of both layers' gates is computed once while it's in the cache."""
 
-    def __init__(self, model: ToxicityModel, bound: int = 150_000):
+    def __init__(self, model: ToxicityModel, bound: int = 300_000):
         self.m, self.bound = model, bound
         self.clear()
 
@@ -278,23 +323,21 @@ class _Scorer:
         self.codes: dict[str, int] = {}
         self.table = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
         if self.m.p:
-            self.table[0] = self._gates([[0.0] * 4], np.zeros((1, CHAR_DIM), np.float32))[0]
+            self.table[0] = self._gates(np.zeros((1, 4), np.float32), np.zeros((1, CHAR_DIM), np.float32))[0]
 
-    def _gates(self, fixed: list, chars: np.ndarray) -> np.ndarray:
+    def _gates(self, fixed: np.ndarray, chars: np.ndarray) -> np.ndarray:
         p = self.m.p
-        x = np.concatenate([np.array(fixed, np.float32), chars.astype(np.float32)], axis=1)
+        x = np.concatenate([fixed, chars.astype(np.float32)], axis=1)
         return np.concatenate([x @ p["xf"] + p["bf"], x @ p["xb"] + p["bb"]], axis=1)
 
     def _learn(self, fresh: list[str]) -> None:
-        own = [self.m.inputs(w) for w in fresh]
-        sizes = np.array([len(b) for _, b in own])
-        flat = np.concatenate([np.array(b) for _, b in own])
+        fixed, flat, sizes = self.m.inputs(fresh)
         chars = np.add.reduceat(self.m.p["chars"][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         n = len(self.codes) + 1
         need = n + len(fresh)
         if need > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((need, 6 * HIDDEN), np.float32)])
-        self.table[n:need] = self._gates([f for f, _ in own], chars)
+            self.table = np.concatenate([self.table, np.zeros((need - len(self.table) // 2, 6 * HIDDEN), np.float32)])
+        self.table[n:need] = self._gates(fixed, chars)
         for k, w in enumerate(fresh):
             self.codes[w] = n + k
 
@@ -334,12 +377,14 @@ class _Scorer:
             return [0.0] * len(texts)
         if len(self.codes) > self.bound:
             self.clear()
-        rows, counts = [], []
+        rows, counts, lists, fresh = [], [], [], set()
         for t in texts:
             words = words_of(t)
-            fresh = set(words) - self.codes.keys()
-            if fresh:
-                self._learn(sorted(fresh))
+            lists.append(words)
+            fresh.update([w for w in set(words) if w not in self.codes])
+        if fresh:
+            self._learn(sorted(fresh))
+        for words in lists:
             codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
             many = len(windows_of(len(words)))
             padded = np.zeros((many - 1) * STRIDE + WINDOW, np.int64)
@@ -348,11 +393,11 @@ class _Scorer:
             counts.append(many)
         grid = np.concatenate(rows)
         z = np.concatenate([self.logits(grid[i : i + 2048]) for i in range(0, len(grid), 2048)])
-        a, b, c = self.m.calibration
+        *weights, c = self.m.calibration
         out, at = [], 0
         for n in counts:
-            top, mean = _summary(z[at : at + n])
-            out.append(float(1 / (1 + np.exp(-np.clip(a * top + b * mean + c, -50, 50)))))
+            logit = float(np.dot(weights, _summary(z[at : at + n]))) + c
+            out.append(float(1 / (1 + np.exp(-np.clip(logit, -50, 50)))))
             at += n
         return out
 
@@ -362,8 +407,6 @@ _SCORERS: dict[int, _Scorer] = {}
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 from threshold on)."""
-    import uuid
-
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a model of bounded size
 
     def make():
