@@ -8,12 +8,13 @@ that of the hashes and k(n) = 2 + n // 30 (extended prefixes). Then
 * tokens that few pairs of classes share are rare: they are indexed alone;
 * the others are frequent: two sets that share no rare token of their prefixes share k frequent ones or more. Sets with fewer
   drop out. The rest keep, rarest first, all but their last k - 2 frequent tokens: those still share two, so where one such token
-  has many pairs, combinations of two tokens are indexed in its place.
+  has many pairs, combinations of two tokens are indexed in its place; keys that still have many members are compared tile by tile.
 
 Links found early make most pairs needless, since what is asked for is the components: each class is first held against the
 smallest id that shares most tokens with it, and later only pairs of different components are made. Pairs are verified on whole
-texts: rows of a pair's first side stream past the other's set. A count filter comes before: shared prefix tokens, frequent ones
-taken as all shared, against the least overlap less what may lie beyond the prefixes.
+texts: rows of a pair's first side stream past the other's set. Two filters come before. Counts: shared prefix tokens, frequent
+ones taken as all shared, against the least overlap less what may lie beyond the prefixes. Sketches of 2,048 parity bits: they
+differ in no more bits than the sets in tokens.
 
 Cases: null and empty texts have no tokens, n_shingles 0, and link with nothing; with fewer than width words the whole sequence is
 the one token; rows with a null id keep a null component and link with nothing; rows of equal id are one node; an empty table gives
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Codes, columns_or, written
@@ -89,30 +90,61 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return 0 if den * n < num * (n + 1) else min(n, n - -(-num * n // den) + extension(n))
 
 
+SKETCH_BITS = 2048
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit is set where an odd number of tokens falls on it, so two sketches differ in no more bits than their sets in tokens."""
+    odd = np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def most_different(n, m, num: int, den: int):
+    """Most tokens that are in one of two sets of n and m tokens at the threshold."""
+    return (n + m) * (den - num) // (den + num)
+
+
 def _sets(given: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(width)
         for b in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for t in b.column(1):
                 tokens = own.tokens(t.as_py())
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 prefixes.append(tokens[: prefix_length(len(tokens), num, den)].view(np.int64))
+                sketches.append(sketch(tokens))
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *map(len, prefixes)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))], names=["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))), pa.array(sketches, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "sketch"])
 
-    return given.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
+    return given.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, sketch binary")
 
 
 def _similar(n: Column, m: Column, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num)
 
 
-def verified(given: DataFrame, pairs: DataFrame, width: int, num: int, den: int, broadcast_rows: int = 2_000_000) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow the threshold."""
+    own = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).dropDuplicates([x])
+    both = pairs.join(own("a"), "a").join(own("b"), "b").where(_similar(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (4, 5)]
+                differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+                ok = pa.array(differ <= most_different(b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), num, den))
+                yield b.select([0, 1]).filter(ok)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(given: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, num: int, den: int, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Of distinct pairs (a, b), those whose texts reach the threshold. b is the side that more pairs share, if any."""
-    pairs = written(pairs, "pairs")
+    pairs = written(_alike(pairs, sets, num, den), "pairs")
     spread = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     sent = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     sent = sent.select(F.col("a").alias("doc_id"), "b", "part", F.lit(1).alias("order")).unionByName(sent.select(F.col("b").alias("doc_id"), "b", "part", F.lit(0).alias("order")).distinct())
@@ -153,7 +185,60 @@ def _crossing(index: DataFrame, key: list[str]) -> DataFrame:
     return by.groupBy(*key).agg(F.sum("c").alias("g"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("cross"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, combine_pairs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """Pairs (a < b) of different components under keys (t, u) with many members, by pairs of tiles of bounded size. In a pair of
+    tiles the shared tokens of all prefixes are counted by a product of 0/1 matrices, and a pair goes on where the least overlap
+    can be reached and the sketches don't differ too much."""
+    prefixes = sets.select(F.col("doc_id").alias("rep"), "prefix", "sketch").dropDuplicates(["rep"]).join(rows.select("rep").distinct(), "rep", "left_semi")
+    counts = rows.groupBy("t", "u").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = rows.join(counts, ["t", "u"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).join(prefixes, "rep")
+    dealt = placed.select("t", "u", "rep", "n", "comp", "prefix", "sketch", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("t", "u", "rep", "n", "comp", "prefix", "sketch", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("right"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, n, comp, right = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "right"))
+        lists = table.column("prefix").combine_chunks()
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        starts = ends - lists.value_lengths().to_numpy()
+        left, other = np.flatnonzero(~right), np.flatnonzero(right)
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            other = left
+        words, at = np.unique(flat, return_inverse=True)
+        common = np.flatnonzero(np.bincount(at, minlength=len(words)) > 1)
+        column = np.full(len(words), -1)
+        column[common] = np.arange(len(common))
+        owner, token = np.repeat(np.arange(len(rep)), ends - starts), column[at]
+        owner, token = owner[token >= 0], token[token >= 0]
+        out_a, out_b = [], []
+        for k in range(0, len(left), 512):
+            rows_ = left[k : k + 512]
+            shared = np.zeros((len(rows_), len(other)), np.float32)
+            for c in range(0, len(common), 2048):
+                here = (token >= c) & (token < c + 2048)
+                dense = np.zeros((len(rep), min(2048, len(common) - c)), np.float32)
+                dense[owner[here], token[here] - c] = 1
+                shared += dense[rows_] @ dense[other].T
+            na, nb = n[rows_][:, None].astype(np.int64), n[other][None, :].astype(np.int64)
+            x, y = np.nonzero((shared > 0) & (comp[rows_][:, None] != comp[other][None, :]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num))
+            x, y = rows_[x], other[y]
+            once = rep[x] < rep[y] if other is left else np.ones(len(x), bool)
+            x, y = x[once], y[once]
+            c = shared[np.searchsorted(rows_, x), np.searchsorted(other, y)]
+            need = -(-(n[x].astype(np.int64) + n[y]) * num // (num + den))
+            ok = c >= need - np.maximum(n[x] - (ends - starts)[x], n[y] - (ends - starts)[y])
+            x, y = x[ok], y[ok]
+            ok = np.concatenate([np.zeros(0, bool), *[np.bitwise_count(bits[x[i : i + 65536]] ^ bits[y[i : i + 65536]]).sum(axis=1) <= most_different(n[x[i : i + 65536]].astype(np.int64), n[y[i : i + 65536]], num, den) for i in range(0, len(x), 65536)]])
+            out_a.append(np.minimum(rep[x[ok]], rep[y[ok]]))
+            out_b.append(np.maximum(rep[x[ok]], rep[y[ok]]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+    return dealt.groupBy("t", "u", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, combine_pairs: int = 2000, combine_most: int = 4, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach."""
     given = columns_or(docs, doc_id=id_col, text=text_col)
     sets = written(_sets(given, width, num, den), "sets")
@@ -166,7 +251,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     # links to the smallest id that shares most tokens
     shared = live.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("c"))
     first = shared.groupBy("rep").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-    links = written(verified(given, first.select(F.col("rep").alias("a"), F.col("lead").alias("b")), width, num, den), "links")
+    links = written(verified(given, sets, first.select(F.col("rep").alias("a"), F.col("lead").alias("b")), width, num, den), "links")
     comps = written(connected_components(links), "comps")
 
     # the pairs of different components that are left
@@ -180,17 +265,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     rows = rows.join(frequent, "rep", "left").fillna(0, ["f"]).withColumn("least", least)
     alone = _pairs_within(rows.where("rare"), ["t"], num, den)
     # rarest first; all but the last least - 2 of the frequent tokens
-    from pyspark.sql import Window
-
     order = Window.partitionBy("rep").orderBy("g", "t")
     kept = rows.where("not rare and f >= least").withColumn("k", F.row_number().over(order)).where("k <= f - least + 2")
     kept = written(kept.select("t", "rep", "n", "comp", "f", "k", (F.col("k") <= F.col("f") - F.col("least") + 1).alias("single")), "kept")
-    many = written(_crossing(kept.where("single"), ["t"]).where("cross > 0").withColumn("combine", F.col("cross") > combine_pairs).select("t", "combine"), "many")
-    kept = kept.join(many, "t", "left")
-    single = _pairs_within(kept.where("single and not combine"), ["t"], num, den)
+    length = kept.where("single").groupBy("t").agg(F.avg("k").alias("ks"))
+    many = written(_crossing(kept.where("single"), ["t"]).where("cross > 0").join(length, "t").withColumn("large", F.col("cross") > combine_pairs).withColumn("combine", F.col("large") & (F.col("ks") <= combine_most)).select("t", "large", "combine"), "many")
+    kept = kept.join(many, "t", "left").withColumn("u", F.lit(0).cast("long"))
+    single = _pairs_within(kept.where("single and not large"), ["t"], num, den)
     seconds = kept.select("rep", F.col("t").alias("u"), F.col("k").alias("ku"))
-    combined = kept.where("combine").join(seconds, "rep").where("k < ku").select("t", "u", "rep", "n", "comp", "f")
-    both = _pairs_within(combined, ["t", "u"], num, den)
+    combined = kept.where("combine").drop("u").join(seconds, "rep").where("k < ku").select("t", "u", "rep", "n", "comp", "f")
+    sizes = _crossing(combined, ["t", "u"]).where("cross > 0").select("t", "u", (F.col("cross") > combine_pairs).alias("much"))
+    combined = written(combined.join(sizes, ["t", "u"]), "combined")
+    both = _pairs_within(combined.where("not much"), ["t", "u"], num, den)
+    tiled = kept.where("single and large and not combine").select("t", "u", "rep", "n", "comp").unionByName(combined.where("much").select("t", "u", "rep", "n", "comp"))
+    dense = _tiles(tiled, sets, num, den, tile)
 
     def need(n: str, m: str) -> Column:
         size = lambda x: F.col(x) - F.least(F.col(x), F.col(x) - F.ceil(F.col(x) * num / den) + extension(F.col(x)))
@@ -198,9 +286,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     pairs = [x.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("fa").alias("fa"), F.first("fb").alias("fb")) for x in (alone, single, both)]
     pairs[0] = pairs[0].where(F.col("c") + F.least("fa", "fb") >= need("na", "nb"))
-    wanted = pairs[0].select("a", "b").unionByName(pairs[1].select("a", "b")).unionByName(pairs[2].select("a", "b")).distinct()
+    wanted = pairs[0].select("a", "b").unionByName(pairs[1].select("a", "b")).unionByName(pairs[2].select("a", "b")).unionByName(dense).distinct()
     wanted = wanted.join(links, ["a", "b"], "left_anti")
-    more = written(verified(given, wanted, width, num, den), "links")
+    more = written(verified(given, sets, wanted, width, num, den), "links")
     comps = written(connected_components(links.unionByName(more)), "comps")
 
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
