@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near duplicates, personal data, source mixing, BPE round trip.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); all but the last return the columns of documents. Rows that repeat an id stay
+together in every stage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.llm import bpe, jaccard, language_id, mixing, pii
+from trailmark.llm.common import written
+from trailmark.llm.queries import table, tokenizer_path
+
+#: Sources are repeated up to this often, so that the mixture stays near the corpus's size.
+MAX_EPOCHS = 1.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told from the others; the rest goes."""
+    found = language_id.predict(docs, language_id.learn(docs))
+    return found.where("not rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates; n_chars follows."""
+    out = pii.replace_pii(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources up to MAX_EPOCHS times on average."""
+    return mixing.deal_out(docs, mixing.mix(docs, max_epochs=MAX_EPOCHS))
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its number of ids, and digests of the ids and of the decoded text."""
+    return bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", replace_personal_data),
+    ("source mixing", mix_sources),
+    ("BPE", encode_and_decode),
+]
+
+#: Beyond SQL: compression, token-combination prefixes and surrogates; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
