@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BYTE_PATTERN, Codes, WordSplitter, columns_or, ragged
+from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, ragged
 
 _SPLITTERS: dict[str, WordSplitter] = {}
 
@@ -195,10 +195,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
 
 def piece_bytes(tok) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary. Fixed rule: printable Latin-1 stands for itself, the other bytes, in
-    order, for U+0100 and on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+    """The bytes of every id of a byte-level vocabulary."""
+    byte_of = {c: b for b, c in byte_characters().items()}
     special = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
     size = max([*tok.get_vocab(True).values(), *special]) + 1
     out = []

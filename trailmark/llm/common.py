@@ -120,6 +120,13 @@ class WordSplitter:
         return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte. Fixed rule: printable Latin-1 stands for itself, the other
+    bytes, in order, for U+0100 and on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

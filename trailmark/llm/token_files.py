@@ -19,6 +19,7 @@ themselves; an empty table gives an empty file and no rows; other columns are ig
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Codes, WordSplitter, columns_or, crc, ragged, shared_dir, sliced
+from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
@@ -83,30 +84,47 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class _Encoder:
-    """Words to ids, each word through the library once while it's in the cache; the cache is emptied at its bound."""
+    """Texts to ids. White space always parts words, so the ids of what stands between it are the library's for it alone: each
+    such piece goes through the library once while it's in the cache, which is emptied at its bound. Texts with special tokens or
+    with characters beyond U+024F (or U+001C to U+001F, on which white space differs) go through the library whole."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 800_000):
         self.split, self.bound = WordSplitter(path, WORD_PATTERN, lower=True), bound
+        self.plain = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|").search
+        self.model = self.split.tok.model
+        self.bytes = byte_characters()
         self.clear()
 
     def clear(self) -> None:
         self.codes, self.flat, self.used = Codes(), np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(self.bound * 2, np.int64), np.zeros(self.bound * 2, np.int64)
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one after the other, and how many each has: their words, in the vocabulary's byte characters, through
+        the library's model."""
+        tokenize, table, find = self.model.tokenize, self.bytes, self.split.find
+        ids, sizes = [], []
+        for p in pieces:
+            before = len(ids)
+            for w in find(p):
+                ids += [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table))]
+            sizes.append(len(ids) - before)
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        words = self.split.words(text)
+        if self.plain(text) is not None:
+            return np.array(self.split.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        pieces = text.lower().split()
         if len(self.codes) > self.bound:
             self.clear()
         known = len(self.codes)
-        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if len(self.codes) > known:
-            fresh = self.split.encode(self.codes.order[known:])
-            n = len(self.codes)
+        at = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        n = len(self.codes)
+        if n > known:
             if n > len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+            new, sizes = self._encoded(self.codes.order[known:])
             self.starts[known:n], self.lengths[known:n] = self.used + np.cumsum(sizes) - sizes, sizes
-            new = np.fromiter((i for x in fresh for i in x), np.uint32, int(sizes.sum()))
             if self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(self.flat) + len(new), np.uint32)])
             self.flat[self.used : self.used + len(new)] = new
