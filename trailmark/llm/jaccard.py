@@ -8,7 +8,8 @@ that of the hashes and k(n) = 2 + n // 30 (extended prefixes). Then
 * tokens that few pairs of classes share are rare: they are indexed alone;
 * the others are frequent: two sets that share no rare token of their prefixes share k frequent ones or more. Sets with fewer
   drop out. The rest keep, rarest first, all but their last k - 2 frequent tokens: those still share two, so where one such token
-  has many pairs, combinations of two tokens are indexed in its place; keys that still have many members are compared tile by tile.
+  has many pairs, combinations of two tokens are indexed in its place if that makes no
+  more than combine_most rows of one; keys that still have many members are compared tile by tile.
 
 Links found early make most pairs needless, since what is asked for is the components: each class is first held against the
 smallest id that shares most tokens with it, and later only pairs of different components are made. Pairs are verified on whole
@@ -40,7 +41,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
-    def __init__(self, width: int, bound: int = 400_000):
+    def __init__(self, width: int, bound: int = 250_000):
         self.width, self.bound = width, bound
         self.clear()
 
@@ -238,7 +239,7 @@ def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
     return dealt.groupBy("t", "u", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, combine_pairs: int = 2000, combine_most: int = 4, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, combine_pairs: int = 2000, combine_most: int = 2, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach."""
     given = columns_or(docs, doc_id=id_col, text=text_col)
     sets = written(_sets(given, width, num, den), "sets")
@@ -267,9 +268,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     # rarest first; all but the last least - 2 of the frequent tokens
     order = Window.partitionBy("rep").orderBy("g", "t")
     kept = rows.where("not rare and f >= least").withColumn("k", F.row_number().over(order)).where("k <= f - least + 2")
-    kept = written(kept.select("t", "rep", "n", "comp", "f", "k", (F.col("k") <= F.col("f") - F.col("least") + 1).alias("single")), "kept")
-    length = kept.where("single").groupBy("t").agg(F.avg("k").alias("ks"))
-    many = written(_crossing(kept.where("single"), ["t"]).where("cross > 0").join(length, "t").withColumn("large", F.col("cross") > combine_pairs).withColumn("combine", F.col("large") & (F.col("ks") <= combine_most)).select("t", "large", "combine"), "many")
+    kept = written(kept.select("t", "rep", "n", "comp", "f", "k", (F.col("k") <= F.col("f") - F.col("least") + 1).alias("single"), (F.col("f") - F.col("least") + 2 - F.col("k")).alias("later")), "kept")
+    length = kept.where("single").groupBy("t").agg(F.avg("later").alias("later"))
+    many = written(_crossing(kept.where("single"), ["t"]).where("cross > 0").join(length, "t").withColumn("large", F.col("cross") > combine_pairs).withColumn("combine", F.col("large") & (F.col("later") <= combine_most)).select("t", "large", "combine"), "many")
     kept = kept.join(many, "t", "left").withColumn("u", F.lit(0).cast("long"))
     single = _pairs_within(kept.where("single and not large"), ["t"], num, den)
     seconds = kept.select("rep", F.col("t").alias("u"), F.col("k").alias("ku"))
