@@ -23,15 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, ragged
-
-_SPLITTERS: dict[str, WordSplitter] = {}
-
+from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, ragged, worker_cache
 
 def splitter(path: str) -> WordSplitter:
-    if path not in _SPLITTERS:
-        _SPLITTERS[path] = WordSplitter(path, BYTE_PATTERN, lower=False)
-    return _SPLITTERS[path]
+    return worker_cache(("splitter", path), lambda: WordSplitter(path, BYTE_PATTERN, lower=False))
 
 
 def _press(*arrays: np.ndarray) -> bytes:

@@ -35,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def columns_or(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the operator's own names; what else df carries can't clash."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in wanted.items()])
 
 
@@ -42,6 +43,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str
     """df with new columns that a Python function gives for each Arrow batch.
 
     make() runs once a task and returns f(*arrays) -> list of arrays. Columns of df that carry a new column's name are replaced."""
+    bounded_batches(df.sparkSession)
     new = {n for n, _ in fields}
     kept = [c for c in df.columns if c not in new]
     pruned = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(inputs)])
@@ -68,6 +70,35 @@ def sliced(batch: pa.RecordBatch, column: int = 0, most: int = 16 << 20) -> Iter
         yield batch.slice(i, step)
 
 
+BATCH_BYTES = 8 << 20
+_LIVE: dict[tuple, object] = {}
+
+
+def worker_cache(name: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so that operators that follow one another in the same worker
+    don't add up."""
+    if name not in _LIVE:
+        import ctypes
+        import gc
+
+        _LIVE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _LIVE[name] = make()
+    return _LIVE[name]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by BATCH_BYTES where the session has the default bound, so very long texts take bounded memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_crc(column: Column, mod: int) -> Column:
     """crc32 of an id's decimal text, modulo mod."""
     return F.pmod(F.crc32(column.cast("string")), F.lit(mod))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, columns_or, written
+from .common import Codes, columns_or, worker_cache, written
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +41,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
-    def __init__(self, width: int, bound: int = 250_000):
+    def __init__(self, width: int, bound: int = 150_000):
         self.width, self.bound = width, bound
         self.clear()
 
@@ -72,13 +72,8 @@ class Shingler:
         return np.unique(s)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(width: int) -> Shingler:
-    if width not in _SHINGLERS:
-        _SHINGLERS[width] = Shingler(width)
-    return _SHINGLERS[width]
+    return worker_cache(("shingler", width), lambda: Shingler(width))
 
 
 def extension(n):

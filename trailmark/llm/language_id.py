@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, columns_or, id_crc
+from .common import append_columns, columns_or, id_crc, worker_cache
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -76,7 +76,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", rejec
     reject_margin)."""
 
     def make():
-        own = model.compressors()
+        own = worker_cache(("language", model), model.compressors)
         step = model.chunk_bytes
 
         def sizes(text: str) -> list[int]:

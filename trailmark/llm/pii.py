@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, columns_or, sliced
+from .common import append_columns, columns_or, sliced, worker_cache
 
 #: Titles by gender, and first names whose gender they tell.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "": ["Dr", "Prof"]}
@@ -189,13 +189,8 @@ def replaced(text: str, replacer: Replacer) -> tuple[str, list[tuple[str, str, s
     return "".join(out) + text[at:], found
 
 
-_REPLACERS: dict[bytes, Replacer] = {}
-
-
 def _replacer(key: bytes) -> Replacer:
-    if key not in _REPLACERS:
-        _REPLACERS[key] = Replacer(key)
-    return _REPLACERS[key]
+    return worker_cache(("replacer", key), lambda: Replacer(key))
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> int:

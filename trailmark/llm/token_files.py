@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced
+from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced, worker_cache
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
@@ -132,13 +132,8 @@ class _Encoder:
         return ragged(self.flat, self.starts[at], self.lengths[at])
 
 
-_ENCODERS: dict[str, _Encoder] = {}  # a Python worker lives longer than a task
-
-
 def encoder(path: str) -> _Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("encoder", path), lambda: _Encoder(path))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:

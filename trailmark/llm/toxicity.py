@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, columns_or, id_crc, ragged
+from .common import append_columns, columns_or, id_crc, ragged, worker_cache
 
 WINDOW, STRIDE, HIDDEN, CHAR_DIM, BUCKETS = 32, 16, 8, 4, 1024
 _STRIP = ".,;:!?\"'()[]{}|*#-_"
@@ -402,18 +402,12 @@ class _Scorer:
         return out
 
 
-_SCORERS: dict[int, _Scorer] = {}
-
-
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 from threshold on)."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a model of bounded size
 
     def make():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = worker_cache(("scorer", key), lambda: _Scorer(shared.value))
 
         def batch(column: pa.Array) -> list[pa.Array]:
             out = []
