@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, ragged, worker_cache
+from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, give_back, ragged, tidy, worker_cache
 
 def splitter(path: str) -> WordSplitter:
     return worker_cache(("splitter", path), lambda: WordSplitter(path, BYTE_PATTERN, lower=False))
@@ -51,26 +51,32 @@ def _unpress(data: bytes, *kinds: str) -> list[np.ndarray]:
 class _Block:
     """Documents whose words are numbered together."""
 
-    def __init__(self):
+    def __init__(self, placed: bool):
+        """placed: the words' positions count, not only the words."""
+        self.placed, self.words = placed, set()
         self.codes, self.docs, self.lengths, self.at, self.chars = Codes(), [], [], [], 0
 
     def add(self, doc_id: int | None, words: list[str], chars: int) -> None:
         self.docs.append(doc_id)
+        if not self.placed:
+            self.words.update(words)
+            self.chars += chars
+            return
         self.lengths.append(len(words))
         self.at.append(np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words)))
         self.chars += chars
 
     def dictionary(self, buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Bucket of each word, words as bytes, and the order by bucket and word; it depends on the words alone."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in self.codes.order]
+        raw = [w.encode("utf-8", "surrogatepass") for w in (self.codes.order if self.placed else self.words)]
         bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(buckets)
         order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
         order = order[np.argsort(bucket[order], kind="stable")]
         return bucket, raw, order
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, chars: int) -> Iterator[tuple[int, _Block]]:
-    split, block, n = splitter(tokenizer), _Block(), 0
+def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, chars: int, placed: bool) -> Iterator[tuple[int, _Block]]:
+    split, block, n = splitter(tokenizer), _Block(placed), 0
     part = TaskContext.get().partitionId()
     for b in batches:
         for d, t in zip(b.column(0), b.column(1), strict=True):
@@ -78,7 +84,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, chars: int) -> It
             block.add(d.as_py(), split.words(text), len(text))
             if block.chars >= chars:
                 yield part << 32 | n, block
-                block, n = _Block(), n + 1
+                block, n = _Block(placed), n + 1
     if block.docs:
         yield part << 32 | n, block
 
@@ -91,13 +97,13 @@ def _check(words: list[bytes]) -> int:
     return zlib.crc32(b"\xff".join(words))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 24_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 10_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Per document doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids adds ids, keep_text the decoded text."""
     given = columns_or(docs, doc_id=id_col, text=text_col)
     buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, tokenizer, block_chars):
+        for number, block in _blocks(batches, tokenizer, block_chars, False):
             bucket, raw, order = block.dictionary(buckets)
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
@@ -118,11 +124,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, starts = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths
         bucket = table.column("bucket")[0].as_py()
+        del codes, ids
+        give_back()
         rows = [(number, bucket, _press(lengths[at].astype("<u4"), ragged(flat, starts[at], lengths[at]).astype("<u4"))) for number, at in asked]
         return pa.Table.from_batches([_row(["block", "bucket", "ids"], [pa.int64(), pa.int32(), pa.binary()], *rows)])
 
     def list_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, tokenizer, block_chars):
+        for number, block in _blocks(batches, tokenizer, block_chars, True):
             _, raw, order = block.dictionary(buckets)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
@@ -183,8 +191,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             out.append(row + [ids.astype(np.int32)] * keep_ids + [decoded] * keep_text)
         return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
-    answers = given.mapInArrow(list_words, "bucket int, block long, words binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, ids binary")
-    placed = given.mapInArrow(list_docs, "block long, check long, docs binary")
+    answers = given.mapInArrow(tidy(list_words), "bucket int, block long, words binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, ids binary")
+    placed = given.mapInArrow(tidy(list_docs), "block long, check long, docs binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_together, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -57,7 +59,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str
                 out = f(*[b.column(n_kept + i) for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_kept)] + out, names=kept + [n for n, _ in fields])
 
-    return pruned.mapInArrow(run, schema)
+    return pruned.mapInArrow(tidy(run), schema)
 
 
 def sliced(batch: pa.RecordBatch, column: int = 0, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -78,20 +80,32 @@ def worker_cache(name: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one thing at a time, so that operators that follow one another in the same worker
     don't add up."""
     if name not in _LIVE:
-        import ctypes
-        import gc
-
         _LIVE.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         _LIVE[name] = make()
     return _LIVE[name]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; a task's end gives memory back, as its worker lives on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by BATCH_BYTES where the session has the default bound, so very long texts take bounded memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, columns_or, worker_cache, written
+from .common import Codes, columns_or, tidy, worker_cache, written
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +115,7 @@ def _sets(given: DataFrame, width: int, num: int, den: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefixes)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))), pa.array(sketches, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "sketch"])
 
-    return given.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, sketch binary")
+    return given.mapInArrow(tidy(run), "doc_id long, n int, d1 long, d2 long, prefix array<long>, sketch binary")
 
 
 def _similar(n: Column, m: Column, num: int, den: int) -> Column:
@@ -165,7 +165,7 @@ def verified(given: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, nu
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = rows.select("doc_id", "text", "b", "part", "order").repartition("b", "part").sortWithinPartitions("b", "part", "order")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs_within(index: DataFrame, key: list[str], num: int, den: int) -> DataFrame:

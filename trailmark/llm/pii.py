@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, columns_or, sliced, worker_cache
+from .common import append_columns, columns_or, sliced, tidy, worker_cache
 
 #: Titles by gender, and first names whose gender they tell.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "": ["Dr", "Prof"]}
@@ -204,7 +204,7 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> int:
                 kinds = [k.split(" ")[0] for k, _, _ in seen]
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([hashlib.blake2b(e.encode("utf-8", "replace"), digest_size=16).hexdigest() for _, e, _ in seen], pa.string()), pa.array([s for _, _, s in seen], pa.string())], names=["kind", "entity", "surrogate"])
 
-    pairs = columns_or(docs, text=text_col).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    pairs = columns_or(docs, text=text_col).mapInArrow(tidy(run), "kind string, entity string, surrogate string").distinct()
     return pairs.groupBy("kind", "surrogate").count().where("count > 1").count()
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced, worker_cache
+from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced, tidy, worker_cache
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             yield flush()
 
     ordered = columns_or(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
