@@ -1,4 +1,5 @@
-"""The queries of the engine's own operators, and the same results in SQL."""
+"""The queries of the engine's own operators, and the same results in SQL. Numbers that transcendental functions make are rounded
+to six decimals on both sides."""
 
 from __future__ import annotations
 
@@ -7,9 +8,284 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .functions import cost, text
+from .operators import paths, raster
+from .operators import trajectory as tr
+from .plans.views import CELLS, FIXES, cells, fixes
+
+SIZE = 30.0
+TAUS = [0.0, 0.05, 0.1, 0.25, 0.5]
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return tr.long_pieces(tr.pieces(fixes(s, d)))
+
+
+def anatomy_device_stops(s, d):
+    out = tr.anatomy(fixes(s, d)).select("track", "mode", "step_m", "lost_s", "total_s", "length_m", "up_m", "down_m", "stopped_s", F.col("n_stops").cast("long").alias("n_stops"), "median_stop_s", "longest_stop_s", "stopped_share")
+    return _round(out, "step_m", "lost_s", "total_s", "length_m", "up_m", "down_m", "stopped_s", "median_stop_s", "longest_stop_s", "stopped_share")
+
+
+ANATOMY = """whole AS (SELECT track, quantile_cont(dl, 0.5) AS step_m, coalesce(sum(dt) FILTER (dt > 300), 0) AS lost_s FROM cut GROUP BY track),
+inside AS (SELECT track, sum(dt) AS total_s, sum(dl) AS length_m, coalesce(sum(dz) FILTER (dz > 0), 0) AS up_m, coalesce(-sum(dz) FILTER (dz < 0), 0) AS down_m FROM rows_ GROUP BY track),
+held AS (SELECT track, sum(t1 - t0) AS stopped_s, count(*) AS n_stops, quantile_cont(t1 - t0, 0.5) AS median_stop_s, max(t1 - t0) AS longest_stop_s FROM stops GROUP BY track),
+anatomy AS (SELECT whole.track, mode, step_m, lost_s, coalesce(total_s, 0) AS total_s, coalesce(length_m, 0) AS length_m, coalesce(up_m, 0) AS up_m, coalesce(down_m, 0) AS down_m, coalesce(stopped_s, 0) AS stopped_s, coalesce(n_stops, 0) AS n_stops, median_stop_s, longest_stop_s
+  FROM whole LEFT JOIN inside USING (track) LEFT JOIN held USING (track) LEFT JOIN modes USING (track))"""
+
+
+def gap_sessions(s, d):
+    return _rows(s, d).groupBy("track", "piece").agg(F.count("*").alias("fixes"), F.min("t").alias("start_t"), F.max("t").alias("end_t"))
+
+
+def mode_p95(s, d):
+    rows = _rows(s, d)
+    return _round(tr.piece_modes(rows, tr.device_stops(rows)), "p95")
+
+
+def mode_rollup(s, d):
+    return _round(tr.mode_subtotals(tr.anatomy(fixes(s, d))), "length_m", "total_s", "stopped_s")
+
+
+def march_segments(s, d):
+    rows = _rows(s, d)
+    return tr.marches(rows, tr.device_stops(rows)).select("track", "piece", F.col("from").cast("long").alias("i0"), F.col("to").cast("long").alias("i1"))
+
+
+def stop_dispersion(s, d):
+    return tr.stops(_rows(s, d), radius=100.0, criterion="dispersion").select("track", "piece", "i0", "i1", "t0", "t1", "fixes")
+
+
+def stop_union_merge(s, d):
+    return tr.stops(_rows(s, d), radius=100.0).select("track", "piece", "i0", "i1", "t0", "t1", "fixes")
+
+
+def sensitivity_grid(s, d):
+    return tr.sensitivity(fixes(s, d), [("device", None, 120.0), ("dispersion", 50.0, 120.0), ("dispersion", 100.0, 120.0), ("both", 100.0, 300.0)])
+
+
+def trecho_grouping(s, d):
+    f = fixes(s, d)
+    ends = f.groupBy("track").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min_by("x", "seq").alias("x0"), F.min_by("y", "seq").alias("y0"), F.max_by("x", "seq").alias("x1"), F.max_by("y", "seq").alias("y1"))
+    return tr.stretches(ends, 100.0, 1e9).select("track", "start_t", "end_t", "stretch")
+
+
+def resample_fixed_distance(s, d):
+    points = tr.resample(_rows(s, d), ["track", "piece"])
+    return _round(points.select("track", "piece", F.col("k").cast("long").alias("k"), "x", "y", "z", "t"), "x", "y", "z", "t")
+
+
+RESAMPLED = """run AS (SELECT *, coalesce(sum(dl) OVER (PARTITION BY track, piece ORDER BY seq), 0) AS s FROM rows_),
+ahead AS (SELECT *, lead(s) OVER w AS s1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(t) OVER w AS t1 FROM run WINDOW w AS (PARTITION BY track, piece ORDER BY seq)),
+points AS (SELECT track, piece, k, x + (x1 - x) * w AS x, y + (y1 - y) * w AS y, z + (z1 - z) * w AS z, t + (t1 - t) * w AS t FROM
+  (SELECT *, (k * 30.0::DOUBLE - s) / (s1 - s) AS w FROM (SELECT *, unnest(range(ceil(s / 30)::BIGINT, ceil(s1 / 30)::BIGINT)) AS k FROM ahead WHERE s1 > s)))"""
+
+
+def slope_speed_bins(s, d):
+    speeds = tr.step_speeds(tr.resample(_rows(s, d), ["track", "piece"]), ["track", "piece"])
+    return _round(tr.slope_bins(speeds.withColumn("g", F.round(F.col("g") / 40, 6))), "v").select("bin", F.col("n").cast("long").alias("n"), "v")
+
+
+def consecutive_dedupe(s, d):
+    return tr.without_repeats(fixes(s, d), ["track"], 60.0).select("track", F.col("seq").cast("long").alias("seq"), "x", "y")
+
+
+def line_tortuosity(s, d):
+    return _round(raster.line_tortuosity(fixes(s, d)), "length_m", "sinuosity", "turn_deg")
+
+
+def cost_scalars(s, d):
+    g = cells(s, d).withColumn("g", (F.col("col") - 25) / 50.0)
+    out = g.select("row", "col", cost.slope_cost(F.col("g")).alias("phi"), cost.tobler(F.col("g")).alias("speed"), cost.tobler_cost(F.col("g")).alias("phi_t"), cost.drainage_cost(F.col("z")).alias("drain"), cost.wetness(F.col("z"), F.atan(F.abs("g"))).alias("twi"))
+    return _round(out, "phi", "speed", "phi_t", "drain", "twi")
+
+
+def horn_slope_aspect(s, d):
+    return _round(raster.slope_aspect(cells(s, d), SIZE), "slope").select("row", "col", "slope")
+
+
+def vrm(s, d):
+    return _round(raster.ruggedness(raster.slope_aspect(cells(s, d), SIZE)), "vrm")
+
+
+TERRAIN = """ends AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM cells), off AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)),
+grad AS (SELECT c.row, c.col, sum(j * CASE WHEN i = 0 OR j = 0 THEN 2 ELSE 1 END * o.z) / 8 / 30.0::DOUBLE AS e, sum(-i * CASE WHEN i = 0 OR j = 0 THEN 2 ELSE 1 END * o.z) / 8 / 30.0::DOUBLE AS n
+  FROM cells c, ends, off JOIN cells o ON o.row = greatest(r0, least(r1, c.row + i)) AND o.col = greatest(c0, least(c1, c.col + j)) GROUP BY c.row, c.col),
+terrain AS (SELECT row, col, atan(sqrt(e * e + n * n)) AS slope, atan2(-e, -n) AS aspect FROM grad)"""
+
+
+def vrm_mask_p99(s, d):
+    return raster.over_percentile(cells(s, d), "z", 0.9).select("row", "col", "z")
+
+
+def percentile_normalise(s, d):
+    return _round(raster.normalised(cells(s, d), "z"), "z")
+
+
+def d8_direction(s, d):
+    return raster.downstream(cells(s, d), SIZE).select("row", "col", F.col("to_row").cast("long").alias("to_row"), F.col("to_col").cast("long").alias("to_col"))
+
+
+def flow_accumulation(s, d):
+    flow = cells(s, d).join(raster.downstream(cells(s, d), SIZE), ["row", "col"]).withColumn("basin", F.lit(0).cast("long"))
+    return paths.accumulation(flow.select("basin", "row", "col", "z", F.coalesce("to_row", F.lit(-1)).alias("to_row"), F.coalesce("to_col", F.lit(-1)).alias("to_col")), "basin")
+
+
+def depression_fill(s, d):
+    return _round(paths.filled(cells(s, d).withColumn("tile", F.floor(F.col("row") / 20)), "tile"), "z")
+
+
+def dem_uncertainty_band(s, d):
+    a = cells(s, d)
+    return _round(raster.uncertainty(a, a.withColumn("z", F.col("z") + (F.col("row") * 3 + F.col("col")) % 60)), "median_m", "p90_m", "p99_m", "max_m", "over_50_pct")
+
+
+def bilinear_sample(s, d):
+    points = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 39 + 0.25).alias("fr"), (F.col("s_suppkey") * 7 % 49 + 0.75).alias("fc"))
+    return _round(raster.bilinear(cells(s, d), points), "v")
+
+
+def edges_8(s, d):
+    return _round(raster.edges(cells(s, d), SIZE, raster.OFFSETS_8), "l", "g", "phi")
+
+
+def edges_16_knight(s, d):
+    return _round(raster.edges(cells(s, d), SIZE), "l", "g", "phi")
+
+
+def _edges_sql(offsets: list[tuple[int, int]]) -> str:
+    parts = []
+    for i, j in offsets:
+        length = f"{SIZE * (i * i + j * j) ** 0.5!r}::DOUBLE"
+        joins, conds = "", [f"abs((b.z - a.z) / {length}) <= 0.45"]
+        if abs(i) + abs(j) == 3:
+            u, v = (i > 0) - (i < 0), (j > 0) - (j < 0)
+            for k, (p, q) in enumerate(((u, 0), (u, v)) if abs(i) == 2 else ((0, v), (u, v))):
+                joins += f" JOIN cells m{k} ON m{k}.row = a.row + {p} AND m{k}.col = a.col + {q}"
+                one, two = SIZE * (p * p + q * q) ** 0.5, SIZE * ((i - p) ** 2 + (j - q) ** 2) ** 0.5
+                conds += [f"abs((m{k}.z - a.z) / {one!r}::DOUBLE) <= 0.45", f"abs((b.z - m{k}.z) / {two!r}::DOUBLE) <= 0.45"]
+        parts.append(f"SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, {length} AS l, (b.z - a.z) / {length} AS g FROM cells a JOIN cells b ON b.row = a.row + {i} AND b.col = a.col + {j}{joins} WHERE {' AND '.join(conds)}")
+    horner = "280.5"
+    for c in cost.MINETTI[1:]:
+        horner = f"({horner}) * g + {c}"
+    return f"WITH {CELLS}, e AS ({' UNION ALL '.join(parts)}) SELECT row, col, to_row, to_col, round(l, 6) AS l, round(g, 6) AS g, round(({horner.replace('280.5', '280.5::DOUBLE')}) / 2.5, 6) AS phi FROM e"
+
+
+def nodes_within_radius(s, d):
+    points = cells(s, d).select("row", "col", (F.col("col") * SIZE).alias("x"), (F.col("row") * SIZE).alias("y"))
+    sites = s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 10").select((F.col("s_suppkey") * 137.0).alias("x"), (F.col("s_suppkey") * 91.0).alias("y"))
+    return raster.within(points, sites, 100.0).select("row", "col")
+
+
+def sites_nn_saturated(s, d):
+    points = cells(s, d).select((F.col("row") * 50 + F.col("col")).alias("id"), (F.col("col") * SIZE).alias("x"), (F.col("row") * SIZE).alias("y"))
+    sites = s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 10").select((F.col("s_suppkey") * 137.0).alias("x"), (F.col("s_suppkey") * 91.0).alias("y"))
+    return _round(raster.site_proximity(points, F.broadcast(sites), 500.0), "proximity")
+
+
+def _graph(s, d) -> DataFrame:
+    e = raster.edges(cells(s, d).where("row < 12 and col < 12"), SIZE, raster.OFFSETS_8)
+    phi2 = (F.col("row") + F.col("to_row")) / 24.0
+    return e.select(F.lit("u").alias("unit"), (F.col("row") * 50 + F.col("col")).alias("src"), (F.col("to_row") * 50 + F.col("to_col")).alias("dst"), "l", F.array("phi", phi2).alias("phi"))
+
+
+def _sweep(s, d) -> DataFrame:
+    weights = paths.lattice(s, 2, 21).select(F.element_at("m", 1).alias("weight_id"), "w")
+    units = s.createDataFrame([("a", 0, 561), ("b", 11, 550)], "unit string, start long, goal long")
+    graph = _graph(s, d).drop("unit").crossJoin(F.broadcast(units.select("unit")))
+    return paths.sweep(graph, units, weights)
+
+
+def least_cost_sweep(s, d):
+    return _round(_sweep(s, d).select("unit", "weight_id", "d"), "d")
+
+
+def simplex_lattice(s, d):
+    return paths.lattice(s, 3, 20).select(*[F.element_at("m", i + 1).alias(f"m{i}") for i in range(3)])
+
+
+def _costs(s, d) -> DataFrame:
+    """Costs of weights by unit, from lineitem."""
+    li = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("unit"), (F.col("l_orderkey") % 50).alias("weight_id"), F.col("l_quantity").cast("double").alias("q"))
+    return li.groupBy("unit", "weight_id").agg(F.sum("q").alias("d"))
+
+
+COSTS = "costs AS (SELECT l_suppkey % 5 AS unit, l_orderkey % 50 AS weight_id, sum(l_quantity::DOUBLE) AS d FROM lineitem GROUP BY ALL), least AS (SELECT unit, min(d) AS m FROM costs GROUP BY unit)"
+
+
+def near_optimal_set(s, d):
+    return paths.near_optimal(_costs(s, d), 0.1).select("unit", "weight_id", "d")
+
+
+def argmin_weights(s, d):
+    return _costs(s, d).groupBy("unit").agg(F.min_by("weight_id", F.struct("d", "weight_id")).alias("weight_id"), F.min("d").alias("d"))
+
+
+def weight_extension(s, d):
+    return _round(paths.near_optimal(_costs(s, d), 0.1).groupBy("unit").agg(F.min("weight_id").alias("low"), F.max("weight_id").alias("high"), F.avg("weight_id").alias("centre")), "centre")
+
+
+def jaccard_profile(s, d):
+    return _round(paths.jaccard_profile(_costs(s, d), TAUS), "jaccard")
+
+
+def p_empirical(s, d):
+    c = _costs(s, d)
+    return _round(paths.empirical_p(c.where("weight_id = 7").select("unit", "d"), c.where("weight_id <> 7").select("unit", "d")), "p")
+
+
+def mean_symmetric_distance(s, d):
+    f = fixes(s, d).select((F.col("track") % 20).alias("unit"), F.col("track"), (F.col("track") * 1000 + F.col("seq")).alias("seq"), "x", "y")
+    return _round(paths.symmetric_distance(f.where("track < 20"), f.where("track between 20 and 39")), "distance_m")
+
+
+def registry_text(s, d):
+    n = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    return n.select("page_id", text.folded(F.concat(F.lit(" Área Ñandú "), F.col("url"))).alias("folded"), text.category(F.concat(F.lit("Camino Observado "), F.col("url"))).alias("category"), text.plain_words(F.col("url")).alias("words"), text.keyword_score(F.col("url"), {"example": 5, "page": 2, "com": -3}, F.lit("LineString")).alias("score"))
+
+
+_Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, least_cost_sweep, simplex_lattice, near_optimal_set, argmin_weights, weight_extension, jaccard_profile, p_empirical, mean_symmetric_distance, registry_text]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
+
+_r = lambda *names: ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in names)
+_HORNER = "((((280.5::DOUBLE * g - 58.7) * g - 76.8) * g + 51.9) * g + 19.6) * g + 2.5"
+ORACLE_SQL: dict[str, str] = {
+    "anatomy_device_stops": f"WITH {FIXES}, {ANATOMY} SELECT track, mode, {_r('step_m', 'lost_s', 'total_s', 'length_m', 'up_m', 'down_m', 'stopped_s', 'median_stop_s', 'longest_stop_s')}, n_stops, round(CASE WHEN total_s > 0 THEN stopped_s / total_s END, 6) AS stopped_share FROM anatomy",
+    "gap_sessions": f"WITH {FIXES} SELECT track, piece, count(*) AS fixes, min(t) AS start_t, max(t) AS end_t FROM rows_ GROUP BY track, piece",
+    "mode_p95": f"WITH {FIXES} SELECT track, piece, round(p95, 6) AS p95, CASE WHEN p95 > 4.0 THEN 'vehiculo' ELSE 'pie' END AS mode FROM piece_modes",
+    "mode_rollup": f"WITH {FIXES}, {ANATOMY} SELECT mode, count(*) AS tracks, round(sum(length_m), 6) AS length_m, round(sum(total_s), 6) AS total_s, round(sum(stopped_s), 6) AS stopped_s FROM anatomy GROUP BY ROLLUP (mode)",
+    "march_segments": f"WITH {FIXES}, ends AS (SELECT track, piece, min(seq) AS a, max(seq) AS b FROM rows_ GROUP BY track, piece), m AS (SELECT e.track, e.piece, coalesce(lag(s.i1) OVER (PARTITION BY e.track, e.piece ORDER BY s.i0), a) AS i0, coalesce(s.i0, b) AS i1 FROM ends e LEFT JOIN stops s USING (track, piece) UNION ALL SELECT e.track, e.piece, max(s.i1), any_value(b) FROM ends e JOIN stops s USING (track, piece) GROUP BY e.track, e.piece) SELECT track, piece, i0::BIGINT AS i0, i1::BIGINT AS i1 FROM m WHERE i0 < i1",
+    "trecho_grouping": f"WITH {FIXES}, ends AS (SELECT track, min(t) AS start_t, max(t) AS end_t, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0, arg_max(x, seq) AS x1, arg_max(y, seq) AS y1 FROM fixes GROUP BY track), n AS (SELECT *, CASE WHEN sqrt(pow(x0 - lag(x1) OVER w, 2) + pow(y0 - lag(y1) OVER w, 2)) <= 100 THEN 0 ELSE 1 END AS new FROM ends WINDOW w AS (ORDER BY start_t, track)) SELECT track, start_t, end_t, (sum(new) OVER (ORDER BY start_t, track))::BIGINT AS stretch FROM n",
+    "resample_fixed_distance": f"WITH {FIXES}, {RESAMPLED} SELECT track, piece, k, {_r('x', 'y', 'z', 't')} FROM points",
+    "slope_speed_bins": f"WITH {FIXES}, {RESAMPLED}, sp AS (SELECT *, lead(z) OVER w - z AS dz, lead(t) OVER w - t AS dt FROM points WINDOW w AS (PARTITION BY track, piece ORDER BY k)), c AS (SELECT round(dz / 30 / 40, 6) AS g, 30.0::DOUBLE / dt AS v FROM sp WHERE dt > 0), b AS (SELECT floor((g + 0.45::DOUBLE) / 0.05::DOUBLE + 1e-9)::BIGINT AS bin, v FROM c WHERE abs(g) <= 0.45 AND v > 0) SELECT bin, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS v FROM b WHERE bin < 18 GROUP BY bin HAVING count(*) >= 25",
+    "consecutive_dedupe": f"WITH {FIXES} SELECT track, seq, x, y FROM steps WHERE dl IS NULL OR dl > 60",
+    "line_tortuosity": f"WITH {FIXES}, seg AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY track ORDER BY seq)), mv AS (SELECT *, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey FROM seg WHERE dx <> 0 OR dy <> 0 WINDOW w AS (PARTITION BY track ORDER BY seq)), turns AS (SELECT track, max(degrees(acos(least(1.0, greatest(-1.0, (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey))))))) AS turn_deg FROM mv WHERE ex IS NOT NULL GROUP BY track), l AS (SELECT track, sum(sqrt(dx * dx + dy * dy)) AS length_m, sqrt(pow(arg_min(x, seq) - arg_max(x, seq), 2) + pow(arg_min(y, seq) - arg_max(y, seq), 2)) AS d FROM seg GROUP BY track) SELECT track, round(length_m, 6) AS length_m, round(CASE WHEN d > 0 THEN length_m / d END, 6) AS sinuosity, round(turn_deg, 6) AS turn_deg FROM l LEFT JOIN turns USING (track)",
+    "cost_scalars": f"WITH {CELLS}, q AS (SELECT *, (col - 25) / 50.0::DOUBLE AS g FROM cells) SELECT row, col, round(CASE WHEN abs(g) <= 0.45 THEN ({_HORNER}) / 2.5 END, 6) AS phi, round(1.662 * exp(-3.5 * abs(g + 0.05)), 6) AS speed, round(1.662 * exp(-3.5 * 0.05::DOUBLE) / (1.662 * exp(-3.5 * abs(g + 0.05))), 6) AS phi_t, round(log10(1 + greatest(z, 0)), 6) AS drain, round(ln(greatest(z, 1e-6) / (tan(atan(abs(g))) + 1e-3)), 6) AS twi FROM q",
+    "horn_slope_aspect": f"WITH {CELLS}, {TERRAIN} SELECT row, col, round(slope, 6) AS slope FROM terrain",
+    "vrm": f"WITH {CELLS}, {TERRAIN}, nv AS (SELECT row, col, sin(slope) * sin(aspect) AS x, sin(slope) * cos(aspect) AS y, cos(slope) AS w FROM terrain), sums AS (SELECT c.row, c.col, sum(o.x) AS x, sum(o.y) AS y, sum(o.w) AS w FROM nv c, ends, off JOIN nv o ON o.row = greatest(r0, least(r1, c.row + i)) AND o.col = greatest(c0, least(c1, c.col + j)) GROUP BY c.row, c.col) SELECT row, col, round(greatest(0, least(1, 1 - sqrt(x * x + y * y + w * w) / 9)), 6) AS vrm FROM sums",
+    "vrm_mask_p99": f"WITH {CELLS} SELECT row, col, z FROM cells WHERE z > (SELECT quantile_cont(z, 0.9) FROM cells)",
+    "percentile_normalise": f"WITH {CELLS}, q AS (SELECT quantile_cont(z, 0.05) AS a, quantile_cont(z, 0.95) AS b FROM cells) SELECT row, col, round((least(greatest(z, a), b) - a) / (b - a) + 0.01, 6) AS z FROM cells, q",
+    "d8_direction": f"WITH {CELLS}, off AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS k FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0), m AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.z - b.z) / (30.0::DOUBLE * sqrt(i * i + j * j)) DESC, k) AS n FROM cells a, off JOIN cells b ON b.row = a.row + i AND b.col = a.col + j WHERE a.z > b.z) SELECT c.row, c.col, to_row, to_col FROM cells c LEFT JOIN m ON c.row = m.row AND c.col = m.col AND n = 1",
+    "dem_uncertainty_band": f"WITH {CELLS}, q AS (SELECT abs(z - (z + (row * 3 + col) % 60)) AS d FROM cells) SELECT round(quantile_cont(d, 0.5), 6) AS median_m, round(quantile_cont(d, 0.9), 6) AS p90_m, round(quantile_cont(d, 0.99), 6) AS p99_m, round(max(d), 6) AS max_m, round(avg(CASE WHEN d > 50 THEN 1.0 ELSE 0 END) * 100, 6) AS over_50_pct FROM q",
+    "bilinear_sample": f"WITH {CELLS}, p AS (SELECT s_suppkey AS id, s_suppkey % 39 AS r, s_suppkey * 7 % 49 AS c FROM supplier) SELECT id, round(a.z * 0.75 * 0.25 + b.z * 0.75 * 0.75 + e.z * 0.25 * 0.25 + f.z * 0.25 * 0.75, 6) AS v FROM p LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells e ON e.row = r + 1 AND e.col = c LEFT JOIN cells f ON f.row = r + 1 AND f.col = c + 1",
+    "edges_8": _edges_sql(raster.OFFSETS_8),
+    "edges_16_knight": _edges_sql(raster.OFFSETS_16),
+    "nodes_within_radius": f"WITH {CELLS} SELECT row, col FROM cells WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 10 AND pow(col * 30 - s_suppkey * 137, 2) + pow(row * 30 - s_suppkey * 91, 2) <= 10000)",
+    "sites_nn_saturated": f"WITH {CELLS} SELECT row * 50 + col AS id, round(least(1.0, sqrt(min(pow(col * 30 - s_suppkey * 137, 2) + pow(row * 30 - s_suppkey * 91, 2))) / 500), 6) AS proximity FROM cells, supplier WHERE s_suppkey < 10 GROUP BY row, col",
+    "simplex_lattice": "SELECT a AS m0, b AS m1, 20 - a - b AS m2 FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20",
+    "near_optimal_set": f"WITH {COSTS} SELECT unit, weight_id, d FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m",
+    "argmin_weights": f"WITH {COSTS} SELECT unit, weight_id, d FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d, weight_id) AS n FROM costs) WHERE n = 1",
+    "weight_extension": f"WITH {COSTS} SELECT unit, min(weight_id) AS low, max(weight_id) AS high, round(avg(weight_id), 6) AS centre FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m GROUP BY unit",
+    "jaccard_profile": f"WITH {COSTS}, k AS (SELECT unit, weight_id, tau, CASE WHEN d <= (1 + tau) * m THEN 1 ELSE 0 END AS inside FROM costs JOIN least USING (unit), (SELECT unnest({TAUS}::DOUBLE[]) AS tau)) SELECT a.unit AS unit_a, b.unit AS unit_b, a.tau, round(sum(a.inside * b.inside) / nullif(sum(greatest(a.inside, b.inside)), 0), 6) AS jaccard FROM k a JOIN k b ON a.weight_id = b.weight_id AND a.tau = b.tau AND a.unit < b.unit GROUP BY a.unit, b.unit, a.tau",
+    "p_empirical": f"WITH {COSTS} SELECT o.unit, round((1 + count(*) FILTER (n.d <= o.d)) / (count(n.d) + 1), 6) AS p FROM costs o JOIN costs n ON o.unit = n.unit AND n.weight_id <> 7 WHERE o.weight_id = 7 GROUP BY o.unit",
+    "mean_symmetric_distance": f"WITH {FIXES}, f AS (SELECT track % 20 AS unit, track, track * 1000 + seq AS id, x, y FROM fixes), a AS (SELECT * FROM f WHERE track < 20), b AS (SELECT * FROM f WHERE track BETWEEN 20 AND 39), ab AS (SELECT unit, avg(d) AS m FROM (SELECT a.unit, a.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN b USING (unit) GROUP BY a.unit, a.id) GROUP BY unit), ba AS (SELECT unit, avg(d) AS m FROM (SELECT b.unit, b.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM b JOIN a USING (unit) GROUP BY b.unit, b.id) GROUP BY unit) SELECT unit, round((ab.m + ba.m) / 2, 6) AS distance_m FROM ab JOIN ba USING (unit)",
+    "registry_text": "SELECT page_id, lower('area nandu ' || translate(trim(url), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS folded, CASE WHEN lower(url) LIKE '%proyectad%' THEN 'proyectado' ELSE 'observado' END AS category, regexp_replace(lower(url), '[^a-zñ]+', ' ', 'g') AS words, (CASE WHEN lower(url) LIKE '%example%' THEN 5 ELSE 0 END + CASE WHEN lower(url) LIKE '%page%' THEN 2 ELSE 0 END + CASE WHEN lower(url) LIKE '%com%' THEN -3 ELSE 0 END + 4)::INTEGER AS score FROM pages",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Where the time of each track goes."""
+    return anatomy_device_stops(spark, sf_dir)
