@@ -97,7 +97,7 @@ def _check(words: list[bytes]) -> int:
     return zlib.crc32(b"\xff".join(words))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 10_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Per document doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids adds ids, keep_text the decoded text."""
     given = columns_or(docs, doc_id=id_col, text=text_col)
     buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
