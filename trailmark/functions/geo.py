@@ -51,13 +51,25 @@ def lon_lat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     for j, b in enumerate(inverse, 1):
         u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    tau = F.sin(u) / F.sqrt(F.pow(F.sinh(v), 2) + F.pow(F.cos(u), 2))
-    t = tau
-    for _ in range(4):  # Newton's steps from the conformal to the geographic latitude
+
+    def step(tau: Column, t: Column) -> Column:  # Newton's, from the conformal to the geographic latitude
         sigma = F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
         ti = t * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + t * t)
-        t = t + (tau - ti) / F.sqrt(1 + ti * ti) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * F.sqrt(1 + t * t))
-    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183), F.degrees(F.atan(t))
+        return t + (tau - ti) / F.sqrt(1 + ti * ti) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * F.sqrt(1 + t * t))
+
+    def solved(tau: Column) -> Column:
+        t = tau
+        for _ in range(4):
+            t = _let(t, lambda own: step(tau, own))
+        return t
+
+    tau = F.sin(u) / F.sqrt(F.pow(F.sinh(v), 2) + F.pow(F.cos(u), 2))
+    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183), F.degrees(F.atan(_let(tau, solved)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def cell_centre(row: Column, col: Column, west: float, north: float, size: float) -> tuple[Column, Column]:
