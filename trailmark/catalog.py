@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cost, text
@@ -242,12 +242,22 @@ def mean_symmetric_distance(s, d):
     return _round(paths.symmetric_distance(f.where("track < 20"), f.where("track between 20 and 39")), "distance_m")
 
 
+def blocked_cv(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("unit"), (F.col("l_linenumber") % 3).alias("block"), (F.col("l_orderkey") % 20).alias("weight_id"), F.col("l_quantity").cast("double").alias("q"))
+    return _round(paths.blocked_validation(li.groupBy("unit", "block", "weight_id").agg(F.sum("q").alias("d"))), "fit", "held_out")
+
+
+def self_proximity(s, d):
+    f = tr.steps(fixes(s, d)).withColumn("s", F.sum(F.coalesce("dl", F.lit(0.0))).over(Window.partitionBy("track").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    return _round(paths.self_proximity(f.select(F.col("track").alias("unit"), "seq", "x", "y", "s")), "distance_m")
+
+
 def registry_text(s, d):
     n = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
     return n.select("page_id", text.folded(F.concat(F.lit(" Área Ñandú "), F.col("url"))).alias("folded"), text.category(F.concat(F.lit("Camino Observado "), F.col("url"))).alias("category"), text.plain_words(F.col("url")).alias("words"), text.keyword_score(F.col("url"), {"example": 5, "page": 2, "com": -3}, F.lit("LineString")).alias("score"))
 
 
-_Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, least_cost_sweep, simplex_lattice, near_optimal_set, argmin_weights, weight_extension, jaccard_profile, p_empirical, mean_symmetric_distance, registry_text]
+_Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, least_cost_sweep, simplex_lattice, near_optimal_set, argmin_weights, weight_extension, jaccard_profile, p_empirical, mean_symmetric_distance, blocked_cv, self_proximity, registry_text]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
 
 _r = lambda *names: ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in names)
@@ -282,6 +292,8 @@ ORACLE_SQL: dict[str, str] = {
     "jaccard_profile": f"WITH {COSTS}, k AS (SELECT unit, weight_id, tau, CASE WHEN d <= (1 + tau) * m THEN 1 ELSE 0 END AS inside FROM costs JOIN least USING (unit), (SELECT unnest({TAUS}::DOUBLE[]) AS tau)) SELECT a.unit AS unit_a, b.unit AS unit_b, a.tau, round(sum(a.inside * b.inside) / nullif(sum(greatest(a.inside, b.inside)), 0), 6) AS jaccard FROM k a JOIN k b ON a.weight_id = b.weight_id AND a.tau = b.tau AND a.unit < b.unit GROUP BY a.unit, b.unit, a.tau",
     "p_empirical": f"WITH {COSTS} SELECT o.unit, round((1 + count(*) FILTER (n.d <= o.d)) / (count(n.d) + 1), 6) AS p FROM costs o JOIN costs n ON o.unit = n.unit AND n.weight_id <> 7 WHERE o.weight_id = 7 GROUP BY o.unit",
     "mean_symmetric_distance": f"WITH {FIXES}, f AS (SELECT track % 20 AS unit, track, track * 1000 + seq AS id, x, y FROM fixes), a AS (SELECT * FROM f WHERE track < 20), b AS (SELECT * FROM f WHERE track BETWEEN 20 AND 39), ab AS (SELECT unit, avg(d) AS m FROM (SELECT a.unit, a.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN b USING (unit) GROUP BY a.unit, a.id) GROUP BY unit), ba AS (SELECT unit, avg(d) AS m FROM (SELECT b.unit, b.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM b JOIN a USING (unit) GROUP BY b.unit, b.id) GROUP BY unit) SELECT unit, round((ab.m + ba.m) / 2, 6) AS distance_m FROM ab JOIN ba USING (unit)",
+    "blocked_cv": "WITH c AS (SELECT l_suppkey % 5 AS unit, l_linenumber % 3 AS block, l_orderkey % 20 AS weight_id, sum(l_quantity::DOUBLE) AS d FROM lineitem GROUP BY ALL), f AS (SELECT a.unit, a.block, a.weight_id, a.d, avg(b.d) AS fit FROM c a JOIN c b ON a.unit = b.unit AND a.weight_id = b.weight_id AND a.block <> b.block GROUP BY a.unit, a.block, a.weight_id, a.d) SELECT unit, block, weight_id, round(fit, 6) AS fit, round(d, 6) AS held_out FROM (SELECT *, row_number() OVER (PARTITION BY unit, block ORDER BY fit, weight_id) AS n FROM f) WHERE n = 1",
+    "self_proximity": f"WITH {FIXES}, v AS (SELECT track AS unit, x, y, coalesce(sum(dl) OVER (PARTITION BY track ORDER BY seq), 0) AS s FROM steps) SELECT a.unit, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS distance_m FROM v a JOIN v b ON a.unit = b.unit AND b.s - a.s >= 1000 GROUP BY a.unit",
     "registry_text": "SELECT page_id, lower('area nandu ' || translate(trim(url), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS folded, CASE WHEN lower(url) LIKE '%proyectad%' THEN 'proyectado' ELSE 'observado' END AS category, regexp_replace(lower(url), '[^a-zñ]+', ' ', 'g') AS words, (CASE WHEN lower(url) LIKE '%example%' THEN 5 ELSE 0 END + CASE WHEN lower(url) LIKE '%page%' THEN 2 ELSE 0 END + CASE WHEN lower(url) LIKE '%com%' THEN -3 ELSE 0 END + 4)::INTEGER AS score FROM pages",
 }
 

@@ -102,6 +102,23 @@ def empirical_p(observed: DataFrame, nulls: DataFrame) -> DataFrame:
     return counts.select("unit", F.when(F.col("n") > 0, (1 + F.col("k")) / (F.col("n") + 1)).alias("p"))
 
 
+def blocked_validation(costs: DataFrame) -> DataFrame:
+    """Of (unit, block, weight_id, d) the weight that is best on the mean of a unit's other blocks, and its d on the block held out:
+    sums over all blocks less the own one, so nothing is joined."""
+    others = Window.partitionBy("unit", "weight_id")
+    n, total = F.count("d").over(others), F.sum("d").over(others)
+    fit = costs.withColumn("fit", F.when(n > 1, (total - F.col("d")) / (n - 1))).where("fit is not null")
+    best = fit.groupBy("unit", "block").agg(F.min_by(F.struct("weight_id", "fit", "d"), F.struct("fit", "weight_id")).alias("b"))
+    return best.select("unit", "block", "b.weight_id", "b.fit", F.col("b.d").alias("held_out"))
+
+
+def self_proximity(vertices: DataFrame, least_arc: float = 1000.0) -> DataFrame:
+    """Per unit the least distance between vertices (unit, seq, x, y, s) that lie least_arc or more apart along the line."""
+    other = vertices.select("unit", F.col("s").alias("os"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    far = vertices.join(other, "unit").where(F.col("os") - F.col("s") >= least_arc)
+    return far.groupBy("unit").agg(F.min(F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))).alias("distance_m"))
+
+
 def symmetric_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean over both directions of the distance to the other line's nearest vertex, by unit."""
 
