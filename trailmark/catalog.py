@@ -254,7 +254,7 @@ def self_proximity(s, d):
 
 def registry_text(s, d):
     n = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
-    return n.select("page_id", text.folded(F.concat(F.lit(" Área Ñandú "), F.col("url"))).alias("folded"), text.category(F.concat(F.lit("Camino Observado "), F.col("url"))).alias("category"), text.plain_words(F.col("url")).alias("words"), text.keyword_score(F.col("url"), {"example": 5, "page": 2, "com": -3}, F.lit("LineString")).alias("score"))
+    return n.select("page_id", text.folded(F.concat(F.lit(" Área Ñandú "), F.col("url"))).alias("folded"), text.category(F.concat(F.lit("Tramo Observado "), F.col("url"))).alias("category"), text.plain_words(F.col("url")).alias("words"), text.keyword_score(F.col("url"), {"example": 5, "page": 2, "com": -3}, F.lit("LineString")).alias("score"))
 
 
 _Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, least_cost_sweep, simplex_lattice, near_optimal_set, argmin_weights, weight_extension, jaccard_profile, p_empirical, mean_symmetric_distance, blocked_cv, self_proximity, registry_text]
