@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_S, MIN_STOP_S, RADIUS_M, FOOT_MAX, STEP_M = 300.0, 120.0, 20.0, 4.0, 30.0
+#: How near device stops lie that a sensitivity row without radius merges.
+DEVICE_MERGE_M = 10.0
 
 def _track():
     return Window.partitionBy("track").orderBy("seq")
@@ -161,7 +163,7 @@ def sensitivity(fixes: DataFrame, grid: list[tuple[str, float | None, float]]) -
     total = rows.agg(F.sum("dt").alias("total_s"))
     out = None
     for criterion, radius, min_s in grid:
-        found = stops(rows, RADIUS_M if radius is None else radius, min_s, criterion)
+        found = stops(rows, DEVICE_MERGE_M if radius is None else radius, min_s, criterion)
         one = found.agg(F.coalesce(F.sum(F.col("t1") - F.col("t0")), F.lit(0.0)).alias("stopped_s"), F.count("*").alias("n_stops"))
         one = one.select(F.lit(criterion).alias("criterion"), F.lit(radius).cast("double").alias("radius_m"), F.lit(float(min_s)).alias("min_s"), "stopped_s", "n_stops")
         out = one if out is None else out.unionByName(one)
