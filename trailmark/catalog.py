@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_lines
 from .functions import cost, text
 from .operators import paths, raster
 from .operators import trajectory as tr
@@ -176,19 +177,19 @@ def _edges_sql(offsets: list[tuple[int, int]]) -> str:
 
 def nodes_within_radius(s, d):
     points = cells(s, d).select("row", "col", (F.col("col") * SIZE).alias("x"), (F.col("row") * SIZE).alias("y"))
-    sites = s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 10").select((F.col("s_suppkey") * 137.0).alias("x"), (F.col("s_suppkey") * 91.0).alias("y"))
+    sites = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 53.0).alias("x"), (F.col("n_nationkey") * 47.0).alias("y"))
     return raster.within(points, sites, 100.0).select("row", "col")
 
 
 def sites_nn_saturated(s, d):
     points = cells(s, d).select((F.col("row") * 50 + F.col("col")).alias("id"), (F.col("col") * SIZE).alias("x"), (F.col("row") * SIZE).alias("y"))
-    sites = s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 10").select((F.col("s_suppkey") * 137.0).alias("x"), (F.col("s_suppkey") * 91.0).alias("y"))
+    sites = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 53.0).alias("x"), (F.col("n_nationkey") * 47.0).alias("y"))
     return _round(raster.site_proximity(points, F.broadcast(sites), 500.0), "proximity")
 
 
 def _graph(s, d) -> DataFrame:
-    e = raster.edges(cells(s, d).where("row < 12 and col < 12"), SIZE, raster.OFFSETS_8)
-    phi2 = (F.col("row") + F.col("to_row")) / 24.0
+    e = raster.edges(cells(s, d), SIZE, raster.OFFSETS_8)
+    phi2 = (F.col("col") + F.col("to_col")) / 100.0
     return e.select(F.lit("u").alias("unit"), (F.col("row") * 50 + F.col("col")).alias("src"), (F.col("to_row") * 50 + F.col("to_col")).alias("dst"), "l", F.array("phi", phi2).alias("phi"))
 
 
@@ -238,8 +239,8 @@ def p_empirical(s, d):
 
 
 def mean_symmetric_distance(s, d):
-    f = fixes(s, d).select((F.col("track") % 20).alias("unit"), F.col("track"), (F.col("track") * 1000 + F.col("seq")).alias("seq"), "x", "y")
-    return _round(paths.symmetric_distance(f.where("track < 20"), f.where("track between 20 and 39")), "distance_m")
+    f = fixes(s, d).select(F.floor(F.col("track") / 2).alias("unit"), F.col("track"), (F.col("track") * 1000 + F.col("seq")).alias("seq"), "x", "y")
+    return _round(paths.symmetric_distance(f.where("track % 2 = 0"), f.where("track % 2 = 1")), "distance_m")
 
 
 def blocked_cv(s, d):
@@ -283,20 +284,23 @@ ORACLE_SQL: dict[str, str] = {
     "bilinear_sample": f"WITH {CELLS}, p AS (SELECT s_suppkey AS id, s_suppkey % 39 AS r, s_suppkey * 7 % 49 AS c FROM supplier) SELECT id, round(a.z * 0.75 * 0.25 + b.z * 0.75 * 0.75 + e.z * 0.25 * 0.25 + f.z * 0.25 * 0.75, 6) AS v FROM p LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells e ON e.row = r + 1 AND e.col = c LEFT JOIN cells f ON f.row = r + 1 AND f.col = c + 1",
     "edges_8": _edges_sql(raster.OFFSETS_8),
     "edges_16_knight": _edges_sql(raster.OFFSETS_16),
-    "nodes_within_radius": f"WITH {CELLS} SELECT row, col FROM cells WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 10 AND pow(col * 30 - s_suppkey * 137, 2) + pow(row * 30 - s_suppkey * 91, 2) <= 10000)",
-    "sites_nn_saturated": f"WITH {CELLS} SELECT row * 50 + col AS id, round(least(1.0, sqrt(min(pow(col * 30 - s_suppkey * 137, 2) + pow(row * 30 - s_suppkey * 91, 2))) / 500), 6) AS proximity FROM cells, supplier WHERE s_suppkey < 10 GROUP BY row, col",
+    "nodes_within_radius": f"WITH {CELLS} SELECT row, col FROM cells WHERE EXISTS (SELECT 1 FROM nation WHERE pow(col * 30 - n_nationkey * 53, 2) + pow(row * 30 - n_nationkey * 47, 2) <= 10000)",
+    "sites_nn_saturated": f"WITH {CELLS} SELECT row * 50 + col AS id, round(least(1.0, sqrt(min(pow(col * 30 - n_nationkey * 53, 2) + pow(row * 30 - n_nationkey * 47, 2))) / 500), 6) AS proximity FROM cells, nation GROUP BY row, col",
     "simplex_lattice": "SELECT a AS m0, b AS m1, 20 - a - b AS m2 FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20",
     "near_optimal_set": f"WITH {COSTS} SELECT unit, weight_id, d FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m",
     "argmin_weights": f"WITH {COSTS} SELECT unit, weight_id, d FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d, weight_id) AS n FROM costs) WHERE n = 1",
     "weight_extension": f"WITH {COSTS} SELECT unit, min(weight_id) AS low, max(weight_id) AS high, round(avg(weight_id), 6) AS centre FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m GROUP BY unit",
     "jaccard_profile": f"WITH {COSTS}, k AS (SELECT unit, weight_id, tau, CASE WHEN d <= (1 + tau) * m THEN 1 ELSE 0 END AS inside FROM costs JOIN least USING (unit), (SELECT unnest({TAUS}::DOUBLE[]) AS tau)) SELECT a.unit AS unit_a, b.unit AS unit_b, a.tau, round(sum(a.inside * b.inside) / nullif(sum(greatest(a.inside, b.inside)), 0), 6) AS jaccard FROM k a JOIN k b ON a.weight_id = b.weight_id AND a.tau = b.tau AND a.unit < b.unit GROUP BY a.unit, b.unit, a.tau",
     "p_empirical": f"WITH {COSTS} SELECT o.unit, round((1 + count(*) FILTER (n.d <= o.d)) / (count(n.d) + 1), 6) AS p FROM costs o JOIN costs n ON o.unit = n.unit AND n.weight_id <> 7 WHERE o.weight_id = 7 GROUP BY o.unit",
-    "mean_symmetric_distance": f"WITH {FIXES}, f AS (SELECT track % 20 AS unit, track, track * 1000 + seq AS id, x, y FROM fixes), a AS (SELECT * FROM f WHERE track < 20), b AS (SELECT * FROM f WHERE track BETWEEN 20 AND 39), ab AS (SELECT unit, avg(d) AS m FROM (SELECT a.unit, a.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN b USING (unit) GROUP BY a.unit, a.id) GROUP BY unit), ba AS (SELECT unit, avg(d) AS m FROM (SELECT b.unit, b.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM b JOIN a USING (unit) GROUP BY b.unit, b.id) GROUP BY unit) SELECT unit, round((ab.m + ba.m) / 2, 6) AS distance_m FROM ab JOIN ba USING (unit)",
+    "mean_symmetric_distance": f"WITH {FIXES}, f AS (SELECT track // 2 AS unit, track, track * 1000 + seq AS id, x, y FROM fixes), a AS (SELECT * FROM f WHERE track % 2 = 0), b AS (SELECT * FROM f WHERE track % 2 = 1), ab AS (SELECT unit, avg(d) AS m FROM (SELECT a.unit, a.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN b USING (unit) GROUP BY a.unit, a.id) GROUP BY unit), ba AS (SELECT unit, avg(d) AS m FROM (SELECT b.unit, b.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM b JOIN a USING (unit) GROUP BY b.unit, b.id) GROUP BY unit) SELECT unit, round((ab.m + ba.m) / 2, 6) AS distance_m FROM ab JOIN ba USING (unit)",
     "blocked_cv": "WITH c AS (SELECT l_suppkey % 5 AS unit, l_linenumber % 3 AS block, l_orderkey % 20 AS weight_id, sum(l_quantity::DOUBLE) AS d FROM lineitem GROUP BY ALL), f AS (SELECT a.unit, a.block, a.weight_id, a.d, avg(b.d) AS fit FROM c a JOIN c b ON a.unit = b.unit AND a.weight_id = b.weight_id AND a.block <> b.block GROUP BY a.unit, a.block, a.weight_id, a.d) SELECT unit, block, weight_id, round(fit, 6) AS fit, round(d, 6) AS held_out FROM (SELECT *, row_number() OVER (PARTITION BY unit, block ORDER BY fit, weight_id) AS n FROM f) WHERE n = 1",
     "self_proximity": f"WITH {FIXES}, v AS (SELECT track AS unit, x, y, coalesce(sum(dl) OVER (PARTITION BY track ORDER BY seq), 0) AS s FROM steps) SELECT a.unit, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS distance_m FROM v a JOIN v b ON a.unit = b.unit AND b.s - a.s >= 1000 GROUP BY a.unit",
     "registry_text": "SELECT page_id, lower('area nandu ' || translate(trim(url), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS folded, CASE WHEN lower(url) LIKE '%proyectad%' THEN 'proyectado' ELSE 'observado' END AS category, regexp_replace(lower(url), '[^a-zñ]+', ' ', 'g') AS words, (CASE WHEN lower(url) LIKE '%example%' THEN 5 ELSE 0 END + CASE WHEN lower(url) LIKE '%page%' THEN 2 ELSE 0 END + CASE WHEN lower(url) LIKE '%com%' THEN -3 ELSE 0 END + 4)::INTEGER AS score FROM pages",
 }
 
+QUERIES |= catalog_lines.QUERIES
+ORACLE_SQL |= catalog_lines.ORACLE_SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the time of each track goes."""

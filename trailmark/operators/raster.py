@@ -72,13 +72,14 @@ def uncertainty(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """points (id, fr, fc in cell centres) with v, null outside: one join, four corners a point."""
+    """points (id, fr, fc in cell centres) with v, null outside or beside a missing cell: one join, a row for each corner with weight,
+    so the last row and column are inside."""
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
     spread = points.withColumn("o", F.explode(corners)).withColumns({"row": (F.floor("fr") + F.col("o.i")).cast("long"), "col": (F.floor("fc") + F.col("o.j")).cast("long")})
     wr, wc = F.col("fr") - F.floor("fr"), F.col("fc") - F.floor("fc")
     w = F.when(F.col("o.i") == 1, wr).otherwise(1 - wr) * F.when(F.col("o.j") == 1, wc).otherwise(1 - wc)
-    found = spread.withColumn("w", w).join(cells.select(F.col("row").cast("long"), F.col("col").cast("long"), "z"), ["row", "col"], "left")
-    return found.groupBy("id").agg(F.when(F.count("z") == 4, F.sum(F.col("w") * F.col("z"))).alias("v"))
+    found = spread.withColumn("w", w).where("w > 0").join(cells.select(F.col("row").cast("long"), F.col("col").cast("long"), "z"), ["row", "col"], "left")
+    return found.groupBy("id").agg(F.when(F.count("z") == F.count("*"), F.sum(F.col("w") * F.col("z"))).alias("v"))
 
 
 def edges(cells: DataFrame, size: float, offsets: list[tuple[int, int]] | None = None, g_max: float = G_MAX) -> DataFrame:
