@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    """Of each group of documents linked by a Jaccard of 0.8 or more on five-word shingles the one with the smallest id."""
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
 

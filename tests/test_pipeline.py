@@ -1,0 +1,27 @@
+"""Stages of the corpus pipeline against plain versions on small tables."""
+
+import corpus_pipeline
+
+
+def words(text):
+    return text.lower().split()
+
+
+def near(a, b, width=5, num=80, den=100):
+    x, y = ({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in (words(a), words(b)))
+    return den * len(x & y) >= num * len(x | y)
+
+
+def test_near_copies_at_080_to_085_go(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [base, base + " " + " ".join(f"t{i}" for i in range(20)), base + " " + " ".join(f"u{i}" for i in range(30)), " ".join(f"v{i}" for i in range(100)), " ".join(["q", *[f"v{i}" for i in range(1, 100)]]), base.replace("w50 ", "z "), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    comp = {i: i for i in range(len(texts))}
+    for _ in comp:
+        for i in comp:
+            for j in comp:
+                if texts[i] and texts[j] and near(texts[i], texts[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert comp[1] == 0 and comp[2] == 2
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in comp if comp[i] == i]
