@@ -34,7 +34,7 @@ FIRST = {
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:['’-][^\W\d_]+)*"  # begins with a capital
 PATTERNS: list[tuple[str, str]] = [
-    ("secret", r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[\w/+.-]{6,})"),
+    ("secret", r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[\w/+.-]{6,})"),
     ("access_key", r"\b(?P<access_key>(?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     ("email", r"(?<![\w.%+-])(?P<email>[\w%+-][\w.%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"),
     ("iban", r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)\b"),
@@ -45,7 +45,7 @@ PATTERNS: list[tuple[str, str]] = [
     ("name", rf"\b(?P<title>{_TITLE})\.?[ \t](?P<name>{_WORD}(?:[ \t]{_WORD}){{0,2}})"),
 ]
 ENTITY = re.compile("|".join(p for _, p in PATTERNS))
-_HINT = re.compile(rf"[\d@]|\b(?:{_TITLE})\b|(?:passw|passwd|pwd|token|secret|api[_-]?key)")
+_HINT = re.compile(rf"[\d@]|\b(?:{_TITLE})\b|(?i:passw|pwd|token|secret|api[_-]?key)|AKIA|ASIA")
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, size: int) -> int:
@@ -131,8 +131,9 @@ class Replacer:
         if kind == "email":  # the top-level domain stays
             head, dot, top = s.rpartition(".")
             return _formed(head, [_class_of(c) for c in head], self.key, f"email {top}") + dot + top
-        if kind == "secret" and re.fullmatch(r"(?=.*\d)[0-9a-f]+", s):
-            return _formed(s, ["0123456789abcdef"] * len(s), self.key, kind)
+        for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+            if kind == "secret" and re.fullmatch(rf"(?=.*\d)[{digits}]+", s):
+                return _formed(s, [digits] * len(s), self.key, kind)
         if kind == "access_key":
             return s[:4] + _formed(s[4:], ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * (len(s) - 4), self.key, kind)
         if kind in ("first m", "first f"):
