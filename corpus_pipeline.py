@@ -12,8 +12,8 @@ from trailmark.llm import bpe, jaccard, language_id, mixing, pii
 from trailmark.llm.common import written
 from trailmark.llm.queries import table, tokenizer_path
 
-#: Sources are repeated up to this often, so that the mixture stays near the corpus's size.
-MAX_EPOCHS = 1.25
+#: The most repeated source is taken at most so many times as often as the least, as in op1.
+MAX_EPOCHS = 4.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stages of the corpus pipeline against plain versions on small tables."""
 
+import numpy as np
+
 import corpus_pipeline
 
 
@@ -25,3 +27,12 @@ def test_near_copies_at_080_to_085_go(spark):
     assert comp[1] == 0 and comp[2] == 2
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == [i for i in comp if comp[i] == i]
+
+
+def test_a_hot_source_gives_way_to_the_entropy_target(spark):
+    sources = ["hot"] * 950 + [f"s{i}" for i in range(19) for _ in range(100)]  # a third, and 19 equal others
+    docs = spark.createDataFrame([(i, "one two three four", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    counts = {r.source: r["count"] for r in corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").count().collect()}
+    p = np.array(list(counts.values())) / sum(counts.values())
+    assert -(p * np.log(p)).sum() >= 0.9695 * np.log(20) and 0.16 < counts["hot"] / sum(counts.values()) < 0.17
+    assert counts["hot"] >= 950 and all(c >= 100 for c in counts.values())
