@@ -1,8 +1,14 @@
 """Stages of the corpus pipeline against plain versions on small tables."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from trailmark.llm import pii
+from trailmark.llm.queries import tokenizer_path
 
 
 def words(text):
@@ -36,3 +42,37 @@ def test_a_hot_source_gives_way_to_the_entropy_target(spark):
     p = np.array(list(counts.values())) / sum(counts.values())
     assert -(p * np.log(p)).sum() >= 0.9695 * np.log(20) and 0.16 < counts["hot"] / sum(counts.values()) < 0.17
     assert counts["hot"] >= 950 and all(c >= 100 for c in counts.values())
+
+
+def test_run_against_a_plain_version(spark, tmp_path):
+    r = np.random.default_rng(1)
+    vocabulary = {"en": "the of and with river over stone this".split(), "de": "der die und mit fluss über stein dies".split()}
+    rows = []
+    for i in range(120):
+        lang = ("en", "de")[i % 2]
+        rows.append((i, " ".join(r.choice(vocabulary[lang], 60)), lang, "hot" if i % 3 else f"s{i % 9}"))
+    rows[10] = (10, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" ' + rows[10][1], *rows[10][2:])
+    rows[12] = (12, rows[12][1] + " Password: hunterxyz", *rows[12][2:])
+    base = rows[14][1]
+    for i, extra in ((120, 11), (121, 30)):
+        rows.append((i, base + " " + " ".join(r.choice(vocabulary["en"], extra)), "en", "s0"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {x.doc_id: x.text for x in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    comp = {i: i for i in kept}
+    for _ in range(3):
+        for i in kept:
+            for j in kept:
+                if comp[i] != comp[j] and near(kept[i], kept[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert 14 in kept and comp[120] == 14 and not near(base, kept[120], 4, 85) and comp[121] == 121
+    tok, replacer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), pii.Replacer(b"trailmark")
+    want = {}
+    for i in kept:
+        if comp[i] == i:
+            want[i] = hashlib.sha256(np.array(tok.encode(pii.replaced(kept[i], replacer)[0], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id: x.ids_sha256 for x in found} == want
+    assert {10, 12} <= want.keys() and want[10] != hashlib.sha256(np.array(tok.encode(kept[10], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    copies = Counter("hot" if i in kept and rows[i][3] == "hot" else "small" for i in (x.doc_id for x in found))
+    assert copies["small"] / sum(copies.values()) > 1.2 * sum(rows[i][3] != "hot" for i in want) / len(want)
