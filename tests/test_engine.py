@@ -9,6 +9,7 @@ from trailmark import catalog
 from trailmark.functions.geo import lon_lat, utm
 from trailmark.operators import paths
 from trailmark.operators import trajectory as tr
+from trailmark.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +46,17 @@ def test_projection_round_trip(spark):
     assert abs(centre.x - 500000) < 1e-6
 
 
+def test_fill_of_the_whole_surface(spark):
+    sf = SF.replace("0.001", "0.01")
+    cells = {(r.row, r.col): r.z for r in views.cells(spark, sf).collect()}
+    grid = np.full((max(r for r, _ in cells) + 1, 50), np.nan)
+    for at, z in cells.items():
+        grid[at] = z
+    want, got = paths.fill(grid), {(r.row, r.col): r.z for r in catalog.depression_fill(spark, sf).collect()}
+    assert got.keys() == cells.keys() and max(r for r, _ in got) >= 39 and all(abs(z - want[at]) < 1e-6 for at, z in got.items())
+    assert any(z > cells[at] for at, z in got.items() if at[0] in (19, 20))
+
+
 def test_fill_frechet_dijkstra():
     z = np.full((5, 5), 5.0)
     z[2, 2] = 1.0

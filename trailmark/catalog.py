@@ -136,7 +136,7 @@ def flow_accumulation(s, d):
 
 
 def depression_fill(s, d):
-    return _round(paths.filled(cells(s, d).withColumn("tile", F.floor(F.col("row") / 20)), "tile"), "z")
+    return _round(paths.filled(cells(s, d).withColumn("tile", F.lit(0)), "tile"), "z")
 
 
 def dem_uncertainty_band(s, d):
