@@ -183,6 +183,18 @@ def test_op8_spans():
     assert s.scan("the of and to in " * 50)[2] == []
 
 
+def test_op8_repeated_matches():
+    s = licenses.Scanner()
+    number = next(i for i, (_, t) in enumerate(licenses.TEMPLATES) if t.startswith("Redistribution"))
+    t = licenses.TEMPLATES[number][1].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("retain", "keep")
+    for copies in (1, 2):
+        found = [f for f in s.scan(f"Foo. {(t + ' bar ') * copies}")[2] if f.template == number]
+        assert len(found) == copies and all(f.label == "bsd" and f.coverage > 0.95 for f in found)
+    for label, text in licenses.TEMPLATES:
+        assert label in {f.label for f in s.scan(text)[2]}
+    assert {f.label for f in s.scan("Licensed under CC BY-NC-SA 4.0.")[2]} == {"cc-by-nc-sa"}
+
+
 def test_op1_op9_empty_and_odd(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}

@@ -1,11 +1,11 @@
 """License scans: a generalised suffix automaton of license templates gives matching statistics of a token stream; long matches
 are chained into covered template spans.
 
-The automaton holds all templates; each state knows, for every template, one end position of its string. A document's tokens go
+The automaton holds all templates; each state knows all end positions of its string in every template. A document's tokens go
 through it once. Only runs of min_match or more tokens that occur in some template can hold a long match, so the rest is passed
-over by table lookup. At each end of a match of min_match or more tokens the occurrence in each template becomes an anchor;
-anchors of a template that go on in text and template with gaps of at most max_gap are one chain; a chain that covers
-min_cover of its template is a finding: template, words from and to, coverage.
+over by table lookup. At each end of a match of min_match or more tokens every occurrence in each template becomes an anchor;
+anchors of a template that go on in text and template with gaps of at most max_gap are a chain, and each anchor takes the way that covers most; a chain that covers min_cover of its template is a finding:
+template, words from and to, coverage. Of chains of a template that share words of the text the one that covers most counts.
 
 Phrases (whole-word sequences) are found at all places and give their labels whatever the automaton says.
 
@@ -14,6 +14,7 @@ repeated ids give a row each; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -64,27 +65,26 @@ class _Vocabulary(dict):
 
 
 class SuffixAutomaton:
-    """Of several token sequences. ends[state] maps each sequence that holds the state's strings to one end position in it."""
+    """Of several token sequences. ends[state] has (sequence, end position) of all occurrences of the state's strings."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for number, tokens in enumerate(sequences):
             last = 0
             for at, token in enumerate(tokens):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, at)
+                self.ends[last].add((number, at))
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, at in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, at)
-        self.ends[0] = {}
+            self.ends[self.link[state]] |= self.ends[state]
+        self.ends[0] = set()
 
     def _state(self, length: int, next_: dict[int, int], link: int) -> int:
         self.next.append(next_)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.next) - 1
 
     def _clone(self, p: int, token: int, q: int) -> int:
@@ -168,29 +168,31 @@ class Scanner:
             stats = self.automaton.statistics(ids[a:b].tolist())
             for i, (length, state) in enumerate(stats):
                 if length >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] <= length):
-                    for number, at in self.automaton.ends[state].items():
+                    for number, at in self.automaton.ends[state]:
                         anchors.setdefault(number, []).append((a + i, at, length))
         findings = [f for number, own in anchors.items() for f in self._chain(number, own)]
         return len(words), base, findings
 
     def _chain(self, number: int, anchors: list[tuple[int, int, int]]) -> list[Finding]:
-        out, first, covered, before = [], 0, 0, None
-
-        def close() -> None:
-            if before is not None and covered >= self.min_cover * self.sizes[number]:
-                out.append(Finding(self.templates[number][0], number, first, before[0], min(1.0, covered / self.sizes[number])))
-
-        for end, at, length in anchors:
-            new = length
-            if before is not None and 0 < end - before[0] <= length + self.max_gap and 0 < at - before[1] <= length + self.max_gap:
-                new = min(length, at - before[1], end - before[0])
-            else:
-                close()
-                first, covered = end - length + 1, 0
-            covered += new
-            before = (end, at)
-        close()
-        return out
+        best: list[tuple[int, int]] = []  # of the chain that covers most up to each anchor: tokens covered, first word
+        for k, (end, at, length) in enumerate(anchors):
+            covered, first = length, end - length + 1
+            for j in range(k - 1, -1, -1):
+                before, there, _ = anchors[j]
+                if end - before > length + self.max_gap:
+                    break
+                if end > before and 0 < at - there <= length + self.max_gap:
+                    total = best[j][0] + min(length, at - there, end - before)
+                    if total > covered:
+                        covered, first = total, best[j][1]
+            best.append((covered, first))
+        full = [(covered, first, anchors[k][0]) for k, (covered, first) in enumerate(best) if covered >= self.min_cover * self.sizes[number]]
+        taken: list[tuple[int, int, int]] = []  # first, last, covered, in order and apart
+        for covered, first, last in sorted(full, key=lambda x: (-x[0], x[1], x[2])):
+            i = bisect_left(taken, (first,))
+            if (i == 0 or taken[i - 1][1] < first) and (i == len(taken) or last < taken[i][0]):
+                taken.insert(i, (first, last, covered))
+        return [Finding(self.templates[number][0], number, first, last, min(1.0, covered / self.sizes[number])) for first, last, covered in taken]
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
