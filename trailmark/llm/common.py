@@ -20,9 +20,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset a local master (tests) gets
+    a new folder; on a cluster that is an error, as executors would not see one another's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="trailmark-"))
     return at.rstrip("/")
 
@@ -32,7 +35,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trailmark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_trailmark_path", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows up to which a table whose rows were counted may be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast where its counted rows are at most `most`; df should be a written table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", hot: int = 10_000) -> DataFrame:
+    """left joined with right, a written table of one row a key whose column `count` has the key's rows in left. Keys of more than
+    `hot` rows, of which there are few, are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    heavy = right.where(F.col(count) > hot)
+    n = heavy.count()
+    if not n or n > BROADCAST_ROWS:
+        return left.join(right, keys, how)
+    names = F.broadcast(heavy.select(*keys))
+    return left.join(F.broadcast(heavy), keys).unionByName(left.join(names, keys, "left_anti").join(right.where(F.col(count) <= hot), keys, how))
 
 
 def columns_or(df: DataFrame, **wanted: str) -> DataFrame:

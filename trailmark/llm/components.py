@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, join_counted, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,14 +34,24 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's edges, an edge from each node to its smallest: memory of one batch and of the nodes so far."""
+    """Of a partition's edges, an edge from each node to its smallest: memory of the nodes so far, solved anew when as many edges
+    again have come."""
     a = b = np.zeros(0, np.int64)
+    waiting, n = [], 0
+
+    def solved() -> tuple[np.ndarray, np.ndarray]:
+        x, y = roots(np.concatenate([a, *(w[0] for w in waiting)]), np.concatenate([b, *(w[1] for w in waiting)]))
+        return x[x != y], y[x != y]
+
     for x in batches:
-        a, b = np.concatenate([a, x.column(0).to_numpy()]), np.concatenate([b, x.column(1).to_numpy()])
-        a, b = roots(a, b)
+        waiting.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+        n += x.num_rows
+        if n > max(len(a), 1 << 18):
+            a, b = solved()
+            waiting, n = [], 0
+    a, b = solved()
     if len(a):
-        keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def connected_components(edges: DataFrame, one_task: int = 1_000_000, most_rounds: int = 60) -> DataFrame:
@@ -57,11 +67,13 @@ def connected_components(edges: DataFrame, one_task: int = 1_000_000, most_round
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), "a", "m")
-        now = written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "star")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_counted(both, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
+        small = join_counted(large, lower, ["a"], "n").select(F.greatest("b", "m").alias("x"), "a", "m")
+        before, now = now, written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "star")
+        discard(before, least, large, lower)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
             break
