@@ -1,18 +1,21 @@
 """Token-ID / binary output: frequency-ranked ids in byte-aligned variable-length coding.
 
-File format. A token file is a Parquet container, written by Spark's own committer into any Hadoop-readable folder, of one row
-per block: shard, block (ascending, together in ascending doc_id order), start_in_shard, n_ids, payload. A payload is
+File format. A token file is a folder, in any file system that Spark writes to, of two Parquet containers, written by Spark's own committer.
+`ranks` has a row for each distinct id of the corpus: rank (0 for the most frequent; ties: smaller id first), id, n. `blocks` has one row a
+block: shard, block (ascending, together in ascending doc_id order), start_in_shard, n_ids, payload. A payload is
 
-    uint32 x 4   number of documents D, of ids N, of distinct ids R, of data bytes
+    uint32 x 3   number of documents D, of ids N, of data bytes
     uint8  x D   1 where the doc_id isn't null
     int64  x D   doc_id
     uint32 x D   ids of the document
-    uint32 x R   id of each rank, most frequent first in this block (ties: smaller id)
     ceil(N/4)    control bytes: two bits for each id, its rank's number of bytes less one
     data bytes   ranks, little endian, in so many bytes
 
-all little endian. Ranks are counted block by block, so that no pass over all tokens comes before the writing, and a block can be
-read alone. Readers look the lengths of four ranks up in a table by their control byte.
+all little endian. Readers look the lengths of four ranks up in a table by their control byte, and ids in the table of ranks.
+
+Writing takes three steps: texts are encoded where they lie and their ids written to the shared folder with the number of the row; ids are counted
+over all of them, task by task, and the counts of the vocabulary give the ranks; then the rows' ids, not the texts, are exchanged into ascending
+order of (doc_id, number of the row), coded and written. The row's number parts rows of a null or repeated doc_id, so they don't meet in one task.
 
 Cases: null text is empty and gives the end id alone; null doc_id comes first; equal doc_ids keep an arbitrary order among
 themselves; an empty table gives an empty file and no rows; other columns are ignored."""
@@ -30,40 +33,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, ragged, shared_dir, sliced, tidy, worker_cache
+from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, discard, ragged, shared_dir, sliced, tidy, worker_cache, written
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
-    """The payload of a block."""
-    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+def ranking(counts: np.ndarray) -> np.ndarray:
+    """Ids by rank, from the number of each id: most frequent first, of equal ones the smaller, without ids that don't occur."""
     used = np.flatnonzero(counts)
-    table = used[np.lexsort((used, -counts[used]))].astype(np.uint32)
-    rank_of = np.zeros(len(counts), np.uint32)
-    rank_of[table] = np.arange(len(table), dtype=np.uint32)
-    ranks = rank_of[ids] if len(ids) else np.zeros(0, np.uint32)
+    return used[np.lexsort((used, -counts[used]))].astype(np.uint32)
+
+
+def pack(ranks: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
+    """The payload of a block."""
     extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = extra
     four = four.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    if len(table) <= 1 << 16:  # two bytes a rank at most
+    if not len(ranks) or ranks.max() < 1 << 16:  # two bytes a rank at most
         pairs, keep = ranks.astype("<u2").view(np.uint8), np.ones(2 * len(ranks), bool)
         keep[1::2] = extra > 0
         data = pairs[keep]
     else:
         data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    head = struct.pack("<4I", len(doc_ids), len(ids), len(table), len(data))
-    return b"".join([head, known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), lengths.astype("<u4").tobytes(), table.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
+    head = struct.pack("<3I", len(doc_ids), len(ranks), len(data))
+    return b"".join([head, known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), lengths.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, ids of each document, and all ids, from a block's payload."""
-    docs, n, distinct, size = struct.unpack_from("<4I", payload)
-    at = 16
+    """doc_ids, ids of each document, and all ranks, from a block's payload."""
+    docs, n, size = struct.unpack_from("<3I", payload)
+    at = 12
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -71,7 +74,7 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    known, doc_ids, lengths, table = take("u1", docs), take("<i8", docs), take("<u4", docs), take("<u4", distinct)
+    known, doc_ids, lengths = take("u1", docs), take("<i8", docs), take("<u4", docs)
     control, data = take("u1", -(-n // 4)), take("u1", size)
     widths = _LENGTHS[control].ravel()[:n]
     starts = np.cumsum(widths, dtype=np.int64) - widths
@@ -80,7 +83,7 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for k in range(1, int(widths.max(initial=1))):
         more = np.flatnonzero(widths > k)
         ranks[more] |= padded[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return [int(d) if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], lengths, table[ranks]
+    return [int(d) if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], lengths, ranks
 
 
 class _Encoder:
@@ -93,6 +96,7 @@ class _Encoder:
         self.plain = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|").search
         self.model = self.split.tok.model
         self.bytes = byte_characters()
+        self.kind = "<u2" if self.split.tok.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.clear()
 
     def clear(self) -> None:
@@ -136,57 +140,99 @@ def encoder(path: str) -> _Encoder:
     return worker_cache(("encoder", path), lambda: _Encoder(path))
 
 
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
+    """(doc_id, row, ids) of every row of (doc_id, text): ids as bytes of two each where the vocabulary allows it, else four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for whole in batches:
+            for b in sliced(whole, 1):
+                ids = [np.concatenate([enc.ids(t.as_py() or ""), end]).astype(enc.kind).tobytes() for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+                row += len(ids)
+
+    return docs.mapInArrow(tidy(run), "doc_id long, row long, ids binary")
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every text, appends end_id, and writes the ids in ascending order of id_col. A range exchange gives the order;
-    each task encodes and writes its own range."""
+    """Encodes every text, appends end_id, and writes the ids in ascending order of id_col."""
+    spark = docs.sparkSession
+    rows = written(_encoded(columns_or(docs, doc_id=id_col, text=text_col), tokenizer, end_id), "ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, sums = encoder(tokenizer).kind, np.zeros(0, np.int64)
+        for b in batches:
+            own = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(own) > len(sums):
+                sums = np.concatenate([sums, np.zeros(len(own) - len(sums), np.int64)])
+            sums[: len(own)] += own
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(sums[used])], names=["id", "n"])
+
+    counts = np.zeros(1, np.int64)
+    for i, n in rows.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most the vocabulary
+        if i >= len(counts):
+            counts = np.concatenate([counts, np.zeros(i + 1, np.int64)])
+        counts[i] = n
+    table = ranking(counts)
+    spark.createDataFrame([(k, int(i), int(counts[i])) for k, i in enumerate(table.tolist())], "rank int, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[table] = np.arange(len(table), dtype=np.uint32)
+    shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        kind, shard = encoder(tokenizer).kind, TaskContext.get().partitionId()
         block = start = size = 0
-        ids, lengths, doc_ids = [], [], []
+        ranks, lengths, doc_ids = [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, size
-            payload = pack(np.concatenate(ids), np.array(lengths, np.int64), doc_ids)
+            payload = pack(np.concatenate(ranks), np.array(lengths, np.int64), doc_ids)
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "block", "start_in_shard", "n_ids", "payload"])
             block, start, size = block + 1, start + size, 0
-            for x in (ids, lengths, doc_ids):
+            for x in (ranks, lengths, doc_ids):
                 x.clear()
             return out
 
-        end = np.array([] if end_id is None else [end_id], np.uint32)
-        for whole in batches:
-            for b in sliced(whole, 1):
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own = np.concatenate([enc.ids(t or ""), end])
-                    ids.append(own)
-                    lengths.append(len(own))
-                    doc_ids.append(d)
-                    size += len(own)
-                    if size >= block_ids:
-                        yield flush()
+        for b in batches:
+            for d, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = np.frombuffer(own.as_py(), kind)
+                ranks.append(shared.value[ids])
+                lengths.append(len(ids))
+                doc_ids.append(d)
+                size += len(ids)
+                if size >= block_ids:
+                    yield flush()
         if doc_ids:
             yield flush()
 
-    ordered = columns_or(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "none").parquet(path)
+    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(rows)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with_ids the ids themselves."""
-    blocks = spark.read.schema(SCHEMA).parquet(path)
-    # one number a shard comes to the driver: as many as the writing tasks
+    blocks = spark.read.schema(SCHEMA).parquet(f"{path}/blocks")
+    # one number a shard comes to the driver, as many as the writing tasks, and a table of the vocabulary's size
     totals = {r[0]: r[1] for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect()}
     offsets, before = {}, 0
     for shard in sorted(totals):
         offsets[shard] = before
         before += totals[shard]
+    ranks = spark.read.schema("rank int, id long, n long").parquet(f"{path}/ranks").select("rank", "id").collect()
+    table = np.zeros(len(ranks), np.uint32)
+    table[[r[0] for r in ranks]] = [r[1] for r in ranks]
+    shared = spark.sparkContext.broadcast((offsets, table))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets, table = shared.value
         for b in batches:
             for shard, first, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                doc_ids, lengths, ids = unpack(payload.as_py())
+                doc_ids, lengths, own = unpack(payload.as_py())
+                ids = table[own]
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = ids.astype("<u4").tobytes()
                 sums = [crc(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
@@ -195,7 +241,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return blocks.select("shard", "start_in_shard", "payload").mapInArrow(run, schema)
+    return blocks.select("shard", "start_in_shard", "payload").mapInArrow(tidy(run), schema)
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
