@@ -49,11 +49,12 @@ def default_training(id_col: str = "doc_id") -> Column:
     return id_crc(F.col(id_col), 4) != 2
 
 
-def learn(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, piece_chars: int = 2000, dictionary_bytes: int = 112 << 10) -> LanguageModel:
-    """Dictionaries from a hash sample of labelled rows; what comes to the driver is sample_docs pieces a language."""
+def learn(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, piece_chars: int = 2000, dictionary_bytes: int = 112 << 10, most_languages: int = 1000) -> LanguageModel:
+    """Dictionaries from a hash sample of labelled rows; what comes to the driver is about 3 * sample_docs pieces of piece_chars for
+    each of the most_languages labels with most rows (ties: by name); rarer labels are not learned."""
     rows = docs.where(default_training(id_col) if training is None else training)
     rows = columns_or(rows, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and lang <> 'und' and text is not null and length(text) > 0")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel(())
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
