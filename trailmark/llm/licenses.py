@@ -7,6 +7,8 @@ over by table lookup. At each end of a match of min_match or more tokens every o
 anchors of a template that go on in text and template with gaps of at most max_gap are a chain, and each anchor takes the way that covers most; a chain that covers min_cover of its template is a finding:
 template, words from and to, coverage. Of chains of a template that share words of the text the one that covers most counts.
 
+Where the words of a finding lie within those of one of another label that covers more words, only the latter stands.
+
 Phrases (whole-word sequences) are found at all places and give their labels whatever the automaton says.
 
 Cases: null text is empty: no words, no labels, score 0; very long texts are scanned whole, in memory of their own size; null and
@@ -26,6 +28,9 @@ from .common import columns_or
 #: Phrases that name a license, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: What a phrase alone says.
+PHRASE_WEIGHT = 0.5
+
 #: Usual notices of licenses, label and wording.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
@@ -48,6 +53,22 @@ TEMPLATES = [
     ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
     ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("python", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"),
 ]
 
 # ASCII letters in lower case; what separates words becomes a space
@@ -170,7 +191,13 @@ class Scanner:
                 if length >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] <= length):
                     for number, at in self.automaton.ends[state]:
                         anchors.setdefault(number, []).append((a + i, at, length))
-        findings = [f for number, own in anchors.items() for f in self._chain(number, own)]
+        found = sorted((f for number, own in anchors.items() for f in self._chain(number, own)), key=lambda f: (-f.coverage * self.sizes[f.template], f.template, f.first))
+        # of findings of different labels on the same words the one that covers more stands
+        findings: list[Finding] = []
+        for f in found:
+            own = f.coverage * self.sizes[f.template]
+            if not any(g.first <= f.first and f.last <= g.last and g.label != f.label and g.coverage * self.sizes[g.template] > own for g in findings):
+                findings.append(f)
         return len(words), base, findings
 
     def _chain(self, number: int, anchors: list[tuple[int, int, int]]) -> list[Finding]:
@@ -196,8 +223,8 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Per document doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with a phrase, else the best
-    coverage of a finding), and with_spans the findings."""
+    """Per document doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (how much speaks for a license:
+    1 - (1 - best coverage of a finding) * (1 - PHRASE_WEIGHT, with a phrase)), and with_spans the findings."""
     scanner = scanner or Scanner()
     given = columns_or(docs, doc_id=id_col, text=text_col)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double" + ", spans array<struct<label:string,first:int,last:int,coverage:double>>" * with_spans
@@ -212,7 +239,7 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str =
                 n, base, findings = scanner.scan(t.as_py())
                 at = [i for i, _ in base]
                 own = {label for _, label in base}
-                score = 1.0 if base else max((f.coverage for f in findings), default=0.0)
+                score = 1 - (1 - max((f.coverage for f in findings), default=0.0)) * (1 - PHRASE_WEIGHT * bool(base))
                 row = [d.as_py(), n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | {f.label for f in findings})), score]
                 rows.append(row + [[{"label": f.label, "first": f.first, "last": f.last, "coverage": f.coverage} for f in findings]] * with_spans)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
