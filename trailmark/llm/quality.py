@@ -5,14 +5,15 @@ are the holdout: in a stratum, a cutoff is safe when the exact binomial bound sa
 among n good documents have a probability of at most delta' under a risk of alpha'. Cutoffs are tried in their order and the first
 unsafe one ends the list (a fixed sequence needs no correction of its own); delta is shared over strata and features (Bonferroni)
 and alpha over features, so that with probability 1 - delta no stratum's rules reject more than alpha of its good documents. A
-stratum whose holdout is too small gets no rule.
+stratum whose holdout is too small gets no rule. The bound takes the holdout as independent draws: of exact copies in a stratum one counts;
+near copies should be dropped before (as the corpus pipeline does). Sums of the bound have at most TERMS terms at every size.
 
 Words are the longest runs without the characters space and U+0009 to U+000D. Repeated words: words in some window of five that
 occurs twice or more in the text; windows are compared by 64-bit hashes within one text.
 
 Cases: null and empty texts have no words and fail the base rules; a null stratum is one of its own; documents without labels, and
-labels without documents, only don't count; an empty table gives no rows; null and repeated ids give a row each (each counts in
-the holdout); other columns are ignored; an array of a text's words is the largest thing held."""
+labels without documents, only don't count, and repeated labels count once; an empty table gives no rows; null and repeated ids give a row
+each; other columns are ignored; an array of a text's words is the largest thing held."""
 
 from __future__ import annotations
 
@@ -21,7 +22,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_or, written
+from .common import columns_or, small, written
+
+#: Terms of a binomial sum that are added up; the others are bounded.
+TERMS = 2_000
 
 #: Cutoffs in percent, loose to tight. A document fails where 100 * part > cutoff * whole.
 CUTOFFS = {
@@ -67,8 +71,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = rows.select("doc_id", "stratum", F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"), counted.alias("c"), lined.alias("l"))
-    return out.select("doc_id", "stratum", "c.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "c.n_repeat_words")
+    out = rows.select("doc_id", "stratum", F.md5("text").alias("copy"), F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"), counted.alias("c"), lined.alias("l"))
+    return out.select("doc_id", "stratum", "copy", "c.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "c.n_repeat_words")
 
 
 def _fails(part: str, whole: str, cutoff: Column) -> Column:
@@ -79,25 +83,42 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def binomial_tail(k: Column, n: Column, risk: float) -> Column:
-    """P(X <= k) of X ~ Binomial(n, risk), each term in logarithms from the one before."""
+def log_gamma(x: Column) -> Column:
+    """Logarithm of (x - 1)! for x >= 1: Stirling's series, after seven steps up."""
+    y = x.cast("double") + 7
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    steps = F.lit(0.0)
+    for i in range(7):
+        steps = steps + F.log(x.cast("double") + i)
+    return series - steps
+
+
+def binomial_tail(k: Column, n: Column, risk: float, terms: int = TERMS) -> Column:
+    """P(X <= k) of X ~ Binomial(n, risk), never less than it is: 1 where k isn't under the mean, else the sum of its largest terms, downward
+    from k, each from the one above it, and for what lies below the last of `terms` the bound of a geometric series."""
     import math
 
-    step = math.log(risk / (1 - risk))
-    start = F.struct((n * math.log1p(-risk)).alias("log"), F.exp(n * math.log1p(-risk)).alias("sum"))
+    k, n = k.cast("double"), n.cast("double")
+    top = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(risk) + (n - k) * math.log1p(-risk))
+    ratio = lambda i: i * ((1 - risk) / risk) / (n - i + 1)  # noqa: E731  of the term of i - 1 to that of i
+    start = F.struct(top.alias("term"), top.alias("sum"))
 
     def add(acc: Column, i: Column) -> Column:
-        log = acc["log"] + F.log((n - i + 1).cast("double") / i) + step
-        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
+        term = acc["term"] * ratio(i.cast("double"))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    terms = F.when(k < 1, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))))
-    return F.aggregate(terms, start, add, lambda acc: acc["sum"])
+    last = F.greatest(F.lit(1.0), k - terms + 1)  # the lowest i that is stepped down from
+    down = F.when(k < 1, F.array().cast("array<bigint>")).otherwise(F.sequence(F.greatest(k, F.lit(1.0)).cast("long"), last.cast("long"), F.lit(-1).cast("long")))
+    rest = lambda acc: F.when(last <= 1, F.lit(0.0)).otherwise(acc["term"] * ratio(last - 1) / (1 - ratio(last - 1)))
+    return F.when(k >= n * risk, F.lit(1.0)).otherwise(F.aggregate(down, start, add, lambda acc: F.least(F.lit(1.0), acc["sum"] + rest(acc))))
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """One row a stratum of labelled documents: for each feature the tightest safe cutoff, or null."""
-    good = columns_or(labels, doc_id=id_col, y=label_col).where("y = 1").select("doc_id")
-    held = rows.join(good, "doc_id").where(~base_failed())
+    good = columns_or(labels, doc_id=id_col, y=label_col).where("y = 1 and doc_id is not null").select("doc_id").distinct()
+    found = rows.where(~base_failed()).join(good, "doc_id")
+    # a text counts once in its stratum, however many copies of it are labelled
+    held = found.groupBy("stratum", "copy").agg(*[F.first(c).alias(c) for c in sorted({x for part, whole, _ in CUTOFFS.values() for x in (part, whole)})])
     sums = [F.sum(_fails(part, whole, F.lit(c)).cast("long")).alias(f"{name}_{c}") for name, (part, whole, values) in CUTOFFS.items() for c in values]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     counts = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("strata"))))  # one row
@@ -117,8 +138,8 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_c
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """Per document doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rows = written(features(docs, id_col, text_col, stratum_col), "features")
-    rules = written(cutoffs(rows, labels, alpha, delta, id_col), "cutoffs").withColumnRenamed("stratum", "own")
-    judged = rows.join(rules, F.col("stratum").eqNullSafe(F.col("own")), "left")
+    found = written(cutoffs(rows, labels, alpha, delta, id_col), "cutoffs")
+    judged = rows.join(small(found).withColumnRenamed("stratum", "own"), F.col("stratum").eqNullSafe(F.col("own")), "left")
     rejected = F.lit(False)
     for name, (part, whole, _) in CUTOFFS.items():
         rejected = rejected | F.coalesce(_fails(part, whole, F.col(name)), F.lit(False))
@@ -149,10 +170,10 @@ covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(
 lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS x FROM texts),
 f AS (SELECT t.r, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(x)::BIGINT AS n_lines,
-  (len(x) - len(list_distinct(x)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  (len(x) - len(list_distinct(x)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, md5(text) AS copy
   FROM texts t JOIN words USING (r) JOIN lines USING (r) LEFT JOIN covered USING (r)),
 g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-counts AS (SELECT g.stratum, count(*) AS n, {', '.join(tests)} FROM g JOIN labels l ON g.doc_id = l.doc_id AND l.quality = 1 WHERE NOT base_failed GROUP BY g.stratum),
+counts AS (SELECT g.stratum, count(*) AS n, {', '.join(tests)} FROM (SELECT DISTINCT stratum, copy, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words FROM g WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) g GROUP BY g.stratum),
 rules AS (SELECT stratum, {', '.join(best)} FROM counts, (SELECT count(*) AS strata FROM counts))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept
 FROM g LEFT JOIN rules ON g.stratum IS NOT DISTINCT FROM rules.stratum"""
