@@ -43,7 +43,6 @@ FIRST = {
 RANGES = [ipaddress.ip_network(x) for x in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4")]
 
 _GENDER = {w.lower(): g for g, names in FIRST.items() for w in names}
-_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:['’-][^\W\d_]+)*"  # begins with a capital
 PATTERNS: list[tuple[str, str]] = [
     ("secret", r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[\w/+.-]{6,})"),
@@ -55,13 +54,16 @@ PATTERNS: list[tuple[str, str]] = [
     ("ssn", r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"),
     ("phone", r"(?<!\w)(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)"),
     ("card", r"(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?![\w])"),
-    ("name", rf"\b(?:{_TITLE})\.?[ \t](?P<name>{_WORD}(?:[ \t]{_WORD}){{0,2}})"),
 ]
 ENTITY = re.compile("|".join(p for _, p in PATTERNS))
-_GIVEN = "|".join(sorted((w for names in FIRST.values() for w in names), key=len, reverse=True))
-#: A listed first name before one or two capitalised words, or their initials.
-GIVEN = re.compile(rf"\b(?P<name>(?:{_GIVEN})(?:[ \t][A-Z]\.)?(?:[ \t]{_WORD}){{1,2}})")
-_HINT = re.compile(rf"[\d@]|\b(?:{_TITLE})\b|(?i:passw|pwd|token|secret|api[_-]?key)|AKIA|ASIA|\b(?:{_GIVEN})[ \t][A-ZÀ-Þ]")
+_MARK = re.compile(r"[\d@]").search
+_KEYWORDS = ("passw", "pwd", "token", "secret", "api_key", "api-key", "apikey")
+#: A capitalised word before another one: a title or a listed first name, or neither.
+_BEFORE = re.compile(r"(?<!\w)([A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]*)(\.?)[ \t](?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+_TITLES = frozenset(t for ts in TITLES.values() for t in ts)
+_LISTED = frozenset(w for names in FIRST.values() for w in names)
+_AFTER_TITLE = re.compile(rf"(?P<name>{_WORD}(?:[ \t]{_WORD}){{0,2}})")
+_FROM_GIVEN = re.compile(rf"(?P<name>{_WORD}(?:[ \t][A-Z]\.)?(?:[ \t]{_WORD}){{1,2}})")
 _FRESH: list[bytes] = []
 
 
@@ -237,8 +239,6 @@ def _name_words(m: re.Match) -> list[Entity]:
 
 def _entities(m: re.Match, text: str) -> list[Entity]:
     kind = m.lastgroup
-    if kind == "name":
-        return _name_words(m)
     own, a, b = m[kind], m.start(kind), m.end(kind)
     if kind in ("phone", "account", "ssn", "iban", "card"):
         plain = re.sub(r"[^0-9A-Za-z]", "", own)
@@ -258,14 +258,31 @@ def _entities(m: re.Match, text: str) -> list[Entity]:
     return [(kind, own, a, b, lambda s: s)]
 
 
+def _names(text: str) -> list[Entity]:
+    """Words of names after titles, and of listed first names with what follows."""
+    out, last = [], 0
+    for m in _BEFORE.finditer(text):
+        word = m[1]
+        n = None
+        if m.start() >= last:
+            if word in _TITLES:
+                n = _AFTER_TITLE.match(text, m.end())
+            elif word in _LISTED and not m[2]:
+                n = _FROM_GIVEN.match(text, m.start())
+        if n is not None:
+            out += _name_words(n)
+            last = n.end()
+    return out
+
+
 def entities(text: str) -> list[Entity]:
     """Entities of a text in order, apart from one another."""
-    if _HINT.search(text) is None:
-        return []
-    found = [e for m in ENTITY.finditer(text) for e in _entities(m, text)]
+    found: list[Entity] = []
+    if _MARK(text) is not None or "AKIA" in text or "ASIA" in text or any(k in text.lower() for k in _KEYWORDS):
+        found = [e for m in ENTITY.finditer(text) for e in _entities(m, text)]
 
     def add(more: list[Entity]) -> None:
-        taken = sorted((e[2], e[3]) for e in found)
+        taken = [(e[2], e[3]) for e in found]
         i = 0
         for e in more:  # both in order
             while i < len(taken) and taken[i][1] <= e[2]:
@@ -274,11 +291,12 @@ def entities(text: str) -> list[Entity]:
                 found.append(e)
         found.sort(key=lambda e: e[2])
 
-    add([e for m in GIVEN.finditer(text) for e in _name_words(m)])
-    words = {e[1] for e in found if e[0] == "name" and len(e[1]) > 2}
-    if words:  # further mentions
-        again = re.compile(rf"(?<![\w'’-])(?:{'|'.join(sorted((re.escape(v) for w in words for v in (w[0].upper() + w[1:], w.upper())), key=len, reverse=True))})(?![\w'’-])")
-        add([("name", m.group().lower(), m.start(), m.end(), _cased(m.group())) for m in again.finditer(text)])
+    named = _names(text)
+    if named:
+        add(named)
+        words = {e[1] for e in found if e[0] == "name" and len(e[1]) > 2}
+        again = re.compile(rf"(?<![\w'’-])(?:{'|'.join(sorted((re.escape(v) for w in words for v in (w[0].upper() + w[1:], w.upper())), key=len, reverse=True)) or '(?!)'})(?![\w'’-])")
+        add([("name", m.group().lower(), m.start(), m.end(), _cased(m.group())) for m in again.finditer(text)])  # further mentions
     return found
 
 
