@@ -9,12 +9,11 @@ from trailmark import catalog
 from trailmark.functions.geo import lon_lat, utm
 from trailmark.operators import paths
 from trailmark.operators import trajectory as tr
-from trailmark.plans import views
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["anatomy_device_stops", "mode_rollup", "march_segments", "resample_fixed_distance", "edges_16_knight", "d8_direction", "vrm", "jaccard_profile", "mean_symmetric_distance"])
+@pytest.mark.parametrize("name", ["anatomy_device_stops", "mode_rollup", "march_segments", "resample_fixed_distance", "edges_16_knight", "d8_direction", "vrm", "mean_symmetric_distance"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -46,27 +45,19 @@ def test_projection_round_trip(spark):
     assert abs(centre.x - 500000) < 1e-6
 
 
-def test_fill_of_the_whole_surface(spark):
-    sf = SF.replace("0.001", "0.01")
-    cells = {(r.row, r.col): r.z for r in views.cells(spark, sf).collect()}
-    grid = np.full((max(r for r, _ in cells) + 1, 50), np.nan)
-    for at, z in cells.items():
-        grid[at] = z
-    want, got = paths.fill(grid), {(r.row, r.col): r.z for r in catalog.depression_fill(spark, sf).collect()}
-    assert got.keys() == cells.keys() and max(r for r, _ in got) >= 39 and all(abs(z - want[at]) < 1e-6 for at, z in got.items())
-    assert any(z > cells[at] for at, z in got.items() if at[0] in (19, 20))
-
-
-def test_fill_frechet_dijkstra():
-    z = np.full((5, 5), 5.0)
-    z[2, 2] = 1.0
-    assert paths.fill(z)[2, 2] > 5 and (paths.fill(z)[0] == 5).all()
-    p = np.array([[0.0, 0], [1, 0], [2, 0]])
-    assert paths.frechet(p, p) == 0 and paths.frechet(p, p + [0, 3]) == 3
+def test_dijkstra():
     best, before = paths.dijkstra(np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([1.0, 5.0, 1.0]), 0)
     assert best[2] == 2 and before[2] == 1
 
 
+def test_marks_are_the_device_stops(spark):
+    v = [1, 0, 0, 0, 1, 0, 1, 0, 0]
+    rows = spark.createDataFrame([("a", 0, i, 100.0 * i, float(x), 0.0) for i, x in enumerate(v)], "track string, piece long, seq long, t double, v double, z double")
+    assert [r.stop for r in tr.device_marks(rows).orderBy("seq").collect()] == [None, 1, 1, 1, None, None, None, None, None]
+    marks = tr.marked(rows, tr.device_stops(rows)).orderBy("seq").collect()
+    assert [r.stop for r in marks] == [None, 1, 1, 1, None, None, None, None, None]
+
+
 def test_gap_of_exactly_300_seconds(spark):
     rows = [("a", i, t, 0.0, 0.0, 0.0, 1.0) for i, t in enumerate([0.0, 300.0, 601.0, 610.0])]
     df = spark.createDataFrame(rows, "track string, seq long, t double, x double, y double, z double, v double")

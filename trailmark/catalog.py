@@ -8,14 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import catalog_lines
+from . import catalog_lines, catalog_routes
 from .functions import cost, text
-from .operators import paths, raster
+from .operators import hydrology, paths, raster
 from .operators import trajectory as tr
 from .plans.views import CELLS, FIXES, cells, fixes
 
 SIZE = 30.0
-TAUS = [0.0, 0.05, 0.1, 0.25, 0.5]
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -64,14 +63,56 @@ def stop_union_merge(s, d):
     return tr.stops(_rows(s, d), radius=100.0).select("track", "piece", "i0", "i1", "t0", "t1", "fixes")
 
 
+#: Radii that suit the view's fixes, which lie up to 300 m apart.
+RADII, LEAST = (50.0, 100.0, 200.0), (60.0, 120.0, 300.0)
+
+
 def sensitivity_grid(s, d):
-    return tr.sensitivity(fixes(s, d), [("device", None, 120.0), ("dispersion", 50.0, 120.0), ("dispersion", 100.0, 120.0), ("both", 100.0, 300.0)])
+    return _round(tr.sensitivity(fixes(s, d), tr.grid_of(RADII, LEAST)), "stopped_share")
+
+
+def anatomy(s, d):
+    out = tr.anatomy(fixes(s, d), lambda rows: tr.stops(rows, radius=100.0)).withColumns({c: F.col(c).cast("long") for c in ("n_stops", "fixes")})
+    return _round(out, *[c for c in out.columns if c not in ("track", "mode", "n_stops", "fixes")])
+
+
+def _stops_sql(radius: float, criterion: str, least: float = 120.0, name: str = "found") -> str:
+    """CTEs up to `found` (track, piece, i0, i1, t0, t1, fixes): runs of standing still, the anchored scan as a walk from one fix to the next anchor, both as
+    one mask, and merging as a fold over the stops in order."""
+    r, t = f"{radius!r}::DOUBLE", f"{least!r}::DOUBLE"
+    device = f"device AS (SELECT track, piece, min(k) AS a, max(k) AS b FROM (SELECT *, k - row_number() OVER (PARTITION BY track, piece, v <= 0 ORDER BY k) AS run FROM pts) WHERE v <= 0 GROUP BY track, piece, run HAVING count(*) > 1 AND max(t) - min(t) >= {t})"
+    scan = f"""far AS (SELECT p.track, p.piece, p.k, min(q.k) - 1 AS j FROM pts p JOIN pts q ON q.track = p.track AND q.piece = p.piece AND q.k > p.k AND pow(q.x - p.x, 2) + pow(q.y - p.y, 2) > {radius * radius!r}::DOUBLE GROUP BY ALL),
+reach_ AS (SELECT p.track, p.piece, p.k, p.t, p.n, coalesce(far.j, p.n - 1) AS j FROM pts p LEFT JOIN far USING (track, piece, k)),
+tries AS (SELECT r.*, r.j > r.k AND e.t - r.t >= {t} AS ok FROM reach_ r JOIN pts e ON e.track = r.track AND e.piece = r.piece AND e.k = r.j),
+walk(track, piece, k) AS (SELECT track, piece, 0::BIGINT FROM tries WHERE k = 0 UNION ALL SELECT w.track, w.piece, CASE WHEN ok THEN j + 1 ELSE w.k + 1 END FROM walk w JOIN tries USING (track, piece, k) WHERE CASE WHEN ok THEN j + 1 ELSE w.k + 1 END < n - 1),
+spread AS (SELECT track, piece, k AS a, j AS b FROM walk JOIN tries USING (track, piece, k) WHERE ok AND k < n - 1)"""
+    mask = f"""masked AS (SELECT p.*, EXISTS (SELECT 1 FROM (SELECT * FROM device UNION ALL SELECT * FROM spread) s WHERE s.track = p.track AND s.piece = p.piece AND p.k BETWEEN s.a AND s.b) AS f FROM pts p),
+union_ AS (SELECT track, piece, min(k) AS a, max(k) AS b FROM (SELECT *, k - row_number() OVER (PARTITION BY track, piece, f ORDER BY k) AS run FROM masked) WHERE f GROUP BY track, piece, run HAVING count(*) > 1 AND max(t) - min(t) >= {t})"""
+    source = {"device": "device", "dispersion": "spread", "both": "union_"}[criterion]
+    return f"""pts AS (SELECT track, piece, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY track, piece) AS n, seq, t, x, y, v, sum(x) OVER w AS sx, sum(y) OVER w AS sy FROM rows_ WINDOW w AS (PARTITION BY track, piece ORDER BY seq)),
+{device}, {scan}, {mask},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY track, piece ORDER BY a) AS q FROM {source}),
+sized AS (SELECT o.*, pa.t AS ta, pb.t AS tb, pb.sx - pa.sx + pa.x AS sx, pb.sy - pa.sy + pa.y AS sy, pa.sx - pa.x AS bx, pa.sy - pa.y AS by_, pb.sx AS ex, pb.sy AS ey FROM ordered o JOIN pts pa ON pa.track = o.track AND pa.piece = o.piece AND pa.k = o.a JOIN pts pb ON pb.track = o.track AND pb.piece = o.piece AND pb.k = o.b),
+fold(track, piece, q, a, b, tb, bx, by_, ex, ey) AS (SELECT track, piece, q, a, b, tb, bx, by_, ex, ey FROM sized WHERE q = 1
+  UNION ALL SELECT f.track, f.piece, s.q, CASE WHEN m THEN f.a ELSE s.a END, s.b, s.tb, CASE WHEN m THEN f.bx ELSE s.bx END, CASE WHEN m THEN f.by_ ELSE s.by_ END, s.ex, s.ey
+  FROM (SELECT f.*, s.q AS nq, s.ta - f.tb < {t} AND sqrt(pow((f.ex - f.bx) / (f.b - f.a + 1) - s.sx / (s.b - s.a + 1), 2) + pow((f.ey - f.by_) / (f.b - f.a + 1) - s.sy / (s.b - s.a + 1), 2)) <= {r} AS m FROM fold f JOIN sized s ON s.track = f.track AND s.piece = f.piece AND s.q = f.q + 1) f JOIN sized s ON s.track = f.track AND s.piece = f.piece AND s.q = f.nq),
+{name} AS (SELECT g.track, g.piece, pa.seq AS i0, pb.seq AS i1, pa.t AS t0, pb.t AS t1, g.b - g.a + 1 AS fixes FROM (SELECT track, piece, a, max(b) AS b FROM fold GROUP BY track, piece, a) g JOIN pts pa ON pa.track = g.track AND pa.piece = g.piece AND pa.k = g.a JOIN pts pb ON pb.track = g.track AND pb.piece = g.piece AND pb.k = g.b)"""
+
+
+def _sensitivity_sql() -> str:
+    from .operators.trajectory import DEVICE_MERGE_M
+
+    parts = []
+    for criterion, radius, least in tr.grid_of(RADII, LEAST):
+        inner = _stops_sql(DEVICE_MERGE_M if radius is None else radius, criterion, least)
+        parts.append(f"SELECT '{criterion}' AS criterion, {'NULL' if radius is None else repr(radius)}::DOUBLE AS radius_m, {least!r}::DOUBLE AS min_s, * FROM (WITH RECURSIVE {inner} SELECT coalesce(sum(t1 - t0), 0) AS stopped, count(*) AS n_stops FROM found)")
+    return f"WITH RECURSIVE {FIXES}, total AS (SELECT sum(dt) AS total_s FROM rows_), u AS ({' UNION ALL '.join(parts)}) SELECT criterion, radius_m, min_s, round(stopped / total_s, 6) AS stopped_share, n_stops FROM u, total"
 
 
 def trecho_grouping(s, d):
     f = fixes(s, d)
     ends = f.groupBy("track").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min_by("x", "seq").alias("x0"), F.min_by("y", "seq").alias("y0"), F.max_by("x", "seq").alias("x1"), F.max_by("y", "seq").alias("y1"))
-    return tr.stretches(ends, 100.0, 1e9).select("track", "start_t", "end_t", "stretch")
+    return tr.stretches(ends).select("track", "start_t", "end_t", "stretch")
 
 
 def resample_fixed_distance(s, d):
@@ -87,7 +128,7 @@ points AS (SELECT track, piece, k, x + (x1 - x) * w AS x, y + (y1 - y) * w AS y,
 
 def slope_speed_bins(s, d):
     speeds = tr.step_speeds(tr.resample(_rows(s, d), ["track", "piece"]), ["track", "piece"])
-    return _round(tr.slope_bins(speeds.withColumn("g", F.round(F.col("g") / 40, 6))), "v").select("bin", F.col("n").cast("long").alias("n"), "v")
+    return _round(tr.slope_bins(speeds.withColumn("g", F.round("g", 6))), "v").select("bin", F.col("n").cast("long").alias("n"), "v")
 
 
 def consecutive_dedupe(s, d):
@@ -105,7 +146,10 @@ def cost_scalars(s, d):
 
 
 def horn_slope_aspect(s, d):
-    return _round(raster.slope_aspect(cells(s, d), SIZE), "slope").select("row", "col", "slope")
+    out = raster.slope_aspect(cells(s, d), SIZE)
+    # without a slope the aspect's sign hangs on rounding; full turns are one with none
+    aspect = F.when(F.col("slope") > 1e-9, F.round(F.pmod(F.round("aspect", 6), F.lit(6.283185)), 6) + 0.0).otherwise(0.0)
+    return _round(out.withColumn("aspect", aspect), "slope", "aspect")
 
 
 def vrm(s, d):
@@ -119,7 +163,8 @@ terrain AS (SELECT row, col, atan(sqrt(e * e + n * n)) AS slope, atan2(-e, -n) A
 
 
 def vrm_mask_p99(s, d):
-    return raster.over_percentile(cells(s, d), "z", 0.9).select("row", "col", "z")
+    rugged = raster.ruggedness(raster.slope_aspect(cells(s, d), SIZE)).withColumn("vrm", F.round("vrm", 9))
+    return _round(raster.over_percentile(rugged, "vrm", 0.99), "vrm")
 
 
 def percentile_normalise(s, d):
@@ -131,12 +176,18 @@ def d8_direction(s, d):
 
 
 def flow_accumulation(s, d):
-    flow = cells(s, d).join(raster.downstream(cells(s, d), SIZE), ["row", "col"]).withColumn("basin", F.lit(0).cast("long"))
-    return paths.accumulation(flow.select("basin", "row", "col", "z", F.coalesce("to_row", F.lit(-1)).alias("to_row"), F.coalesce("to_col", F.lit(-1)).alias("to_col")), "basin")
+    high = hydrology.filled(cells(s, d), 64)
+    return hydrology.accumulation(raster.downstream(high, SIZE), 64).withColumn("cells", F.col("cells").cast("long"))
 
 
 def depression_fill(s, d):
-    return _round(paths.filled(cells(s, d).withColumn("tile", F.lit(0)), "tile"), "z")
+    return _round(hydrology.filled(cells(s, d), 64), "z")
+
+
+FILLED = """off AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS k FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0), pairs AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, b.z AS to_z, i, j, k FROM cells a, off JOIN cells b ON b.row = a.row + i AND b.col = a.col + j),
+rim AS (SELECT c.row, c.col, z FROM cells c LEFT JOIN (SELECT row, col, count(*) AS n FROM pairs GROUP BY row, col) p ON p.row = c.row AND p.col = c.col WHERE coalesce(n, 0) < 8),
+flood(row, col, h) USING KEY (row, col) AS (SELECT row, col, z FROM rim UNION SELECT to_row, to_col, min(greatest(p.to_z, f.h + 1e-4::DOUBLE)) FROM flood f JOIN pairs p ON p.row = f.row AND p.col = f.col LEFT JOIN recurring.flood o ON o.row = p.to_row AND o.col = p.to_col
+  WHERE (p.to_row, p.to_col) NOT IN (SELECT (row, col) FROM rim) AND (o.h IS NULL OR greatest(p.to_z, f.h + 1e-4::DOUBLE) < o.h) GROUP BY to_row, to_col)"""
 
 
 def dem_uncertainty_band(s, d):
@@ -145,7 +196,7 @@ def dem_uncertainty_band(s, d):
 
 
 def bilinear_sample(s, d):
-    points = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 39 + 0.25).alias("fr"), (F.col("s_suppkey") * 7 % 49 + 0.75).alias("fc"))
+    points = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 11 % 400 + 0.25).alias("fr"), (F.col("s_suppkey") * 7 % 49 + 0.75).alias("fc"))
     return _round(raster.bilinear(cells(s, d), points), "v")
 
 
@@ -184,69 +235,27 @@ def nodes_within_radius(s, d):
 def sites_nn_saturated(s, d):
     points = cells(s, d).select((F.col("row") * 50 + F.col("col")).alias("id"), (F.col("col") * SIZE).alias("x"), (F.col("row") * SIZE).alias("y"))
     sites = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 53.0).alias("x"), (F.col("n_nationkey") * 47.0).alias("y"))
-    return _round(raster.site_proximity(points, F.broadcast(sites), 500.0), "proximity")
-
-
-def _graph(s, d) -> DataFrame:
-    e = raster.edges(cells(s, d), SIZE, raster.OFFSETS_8)
-    phi2 = (F.col("col") + F.col("to_col")) / 100.0
-    return e.select(F.lit("u").alias("unit"), (F.col("row") * 50 + F.col("col")).alias("src"), (F.col("to_row") * 50 + F.col("to_col")).alias("dst"), "l", F.array("phi", phi2).alias("phi"))
+    return _round(raster.site_proximity(points, sites, 500.0), "proximity")
 
 
-def _sweep(s, d) -> DataFrame:
-    weights = paths.lattice(s, 2, 21).select(F.element_at("m", 1).alias("weight_id"), "w")
-    units = s.createDataFrame([("a", 0, 561), ("b", 11, 550)], "unit string, start long, goal long")
-    graph = _graph(s, d).drop("unit").crossJoin(F.broadcast(units.select("unit")))
-    return paths.sweep(graph, units, weights)
 
 
-def least_cost_sweep(s, d):
-    return _round(_sweep(s, d).select("unit", "weight_id", "d"), "d")
-
 
 def simplex_lattice(s, d):
     return paths.lattice(s, 3, 20).select(*[F.element_at("m", i + 1).alias(f"m{i}") for i in range(3)])
 
 
-def _costs(s, d) -> DataFrame:
-    """Costs of weights by unit, from lineitem."""
-    li = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("unit"), (F.col("l_orderkey") % 50).alias("weight_id"), F.col("l_quantity").cast("double").alias("q"))
-    return li.groupBy("unit", "weight_id").agg(F.sum("q").alias("d"))
-
 
-COSTS = "costs AS (SELECT l_suppkey % 5 AS unit, l_orderkey % 50 AS weight_id, sum(l_quantity::DOUBLE) AS d FROM lineitem GROUP BY ALL), least AS (SELECT unit, min(d) AS m FROM costs GROUP BY unit)"
 
 
-def near_optimal_set(s, d):
-    return paths.near_optimal(_costs(s, d), 0.1).select("unit", "weight_id", "d")
 
 
-def argmin_weights(s, d):
-    return _costs(s, d).groupBy("unit").agg(F.min_by("weight_id", F.struct("d", "weight_id")).alias("weight_id"), F.min("d").alias("d"))
-
-
-def weight_extension(s, d):
-    return _round(paths.near_optimal(_costs(s, d), 0.1).groupBy("unit").agg(F.min("weight_id").alias("low"), F.max("weight_id").alias("high"), F.avg("weight_id").alias("centre")), "centre")
-
-
-def jaccard_profile(s, d):
-    return _round(paths.jaccard_profile(_costs(s, d), TAUS), "jaccard")
-
-
-def p_empirical(s, d):
-    c = _costs(s, d)
-    return _round(paths.empirical_p(c.where("weight_id = 7").select("unit", "d"), c.where("weight_id <> 7").select("unit", "d")), "p")
-
 
 def mean_symmetric_distance(s, d):
     f = fixes(s, d).select(F.floor(F.col("track") / 2).alias("unit"), F.col("track"), (F.col("track") * 1000 + F.col("seq")).alias("seq"), "x", "y")
     return _round(paths.symmetric_distance(f.where("track % 2 = 0"), f.where("track % 2 = 1")), "distance_m")
 
 
-def blocked_cv(s, d):
-    li = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("unit"), (F.col("l_linenumber") % 3).alias("block"), (F.col("l_orderkey") % 20).alias("weight_id"), F.col("l_quantity").cast("double").alias("q"))
-    return _round(paths.blocked_validation(li.groupBy("unit", "block", "weight_id").agg(F.sum("q").alias("d"))), "fit", "held_out")
-
 
 def self_proximity(s, d):
     f = tr.steps(fixes(s, d)).withColumn("s", F.sum(F.coalesce("dl", F.lit(0.0))).over(Window.partitionBy("track").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
@@ -258,7 +267,7 @@ def registry_text(s, d):
     return n.select("page_id", text.folded(F.concat(F.lit(" Área Ñandú "), F.col("url"))).alias("folded"), text.category(F.concat(F.lit("Tramo Observado "), F.col("url"))).alias("category"), text.plain_words(F.col("url")).alias("words"), text.keyword_score(F.col("url"), {"example": 5, "page": 2, "com": -3}, F.lit("LineString")).alias("score"))
 
 
-_Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, least_cost_sweep, simplex_lattice, near_optimal_set, argmin_weights, weight_extension, jaccard_profile, p_empirical, mean_symmetric_distance, blocked_cv, self_proximity, registry_text]
+_Q = [anatomy_device_stops, gap_sessions, mode_p95, mode_rollup, march_segments, anatomy, stop_dispersion, stop_union_merge, sensitivity_grid, trecho_grouping, resample_fixed_distance, slope_speed_bins, consecutive_dedupe, line_tortuosity, cost_scalars, horn_slope_aspect, vrm, vrm_mask_p99, percentile_normalise, d8_direction, flow_accumulation, depression_fill, dem_uncertainty_band, bilinear_sample, edges_8, edges_16_knight, nodes_within_radius, sites_nn_saturated, simplex_lattice, mean_symmetric_distance, self_proximity, registry_text]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
 
 _r = lambda *names: ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in names)
@@ -269,37 +278,40 @@ ORACLE_SQL: dict[str, str] = {
     "mode_p95": f"WITH {FIXES} SELECT track, piece, round(p95, 6) AS p95, CASE WHEN p95 > 4.0 THEN 'vehiculo' ELSE 'pie' END AS mode FROM piece_modes",
     "mode_rollup": f"WITH {FIXES}, {ANATOMY} SELECT mode, count(*) AS tracks, round(sum(length_m), 6) AS length_m, round(sum(total_s), 6) AS total_s, round(sum(stopped_s), 6) AS stopped_s FROM anatomy GROUP BY ROLLUP (mode)",
     "march_segments": f"WITH {FIXES}, ends AS (SELECT track, piece, min(seq) AS a, max(seq) AS b FROM rows_ GROUP BY track, piece), m AS (SELECT e.track, e.piece, coalesce(lag(s.i1) OVER (PARTITION BY e.track, e.piece ORDER BY s.i0), a) AS i0, coalesce(s.i0, b) AS i1 FROM ends e LEFT JOIN stops s USING (track, piece) UNION ALL SELECT e.track, e.piece, max(s.i1), any_value(b) FROM ends e JOIN stops s USING (track, piece) GROUP BY e.track, e.piece) SELECT track, piece, i0::BIGINT AS i0, i1::BIGINT AS i1 FROM m WHERE i0 < i1",
-    "trecho_grouping": f"WITH {FIXES}, ends AS (SELECT track, min(t) AS start_t, max(t) AS end_t, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0, arg_max(x, seq) AS x1, arg_max(y, seq) AS y1 FROM fixes GROUP BY track), n AS (SELECT *, CASE WHEN sqrt(pow(x0 - lag(x1) OVER w, 2) + pow(y0 - lag(y1) OVER w, 2)) <= 100 THEN 0 ELSE 1 END AS new FROM ends WINDOW w AS (ORDER BY start_t, track)) SELECT track, start_t, end_t, (sum(new) OVER (ORDER BY start_t, track))::BIGINT AS stretch FROM n",
+    "trecho_grouping": f"WITH {FIXES}, ends AS (SELECT track, min(t) AS start_t, max(t) AS end_t, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0, arg_max(x, seq) AS x1, arg_max(y, seq) AS y1 FROM fixes GROUP BY track), n AS (SELECT *, CASE WHEN sqrt(pow(x0 - lag(x1) OVER w, 2) + pow(y0 - lag(y1) OVER w, 2)) <= 100 AND abs(start_t - lag(end_t) OVER w) <= 14400 THEN 0 ELSE 1 END AS new FROM ends WINDOW w AS (ORDER BY start_t, track)) SELECT track, start_t, end_t, (sum(new) OVER (ORDER BY start_t, track))::BIGINT AS stretch FROM n",
     "resample_fixed_distance": f"WITH {FIXES}, {RESAMPLED} SELECT track, piece, k, {_r('x', 'y', 'z', 't')} FROM points",
-    "slope_speed_bins": f"WITH {FIXES}, {RESAMPLED}, sp AS (SELECT *, lead(z) OVER w - z AS dz, lead(t) OVER w - t AS dt FROM points WINDOW w AS (PARTITION BY track, piece ORDER BY k)), c AS (SELECT round(dz / 30 / 40, 6) AS g, 30.0::DOUBLE / dt AS v FROM sp WHERE dt > 0), b AS (SELECT floor((g + 0.45::DOUBLE) / 0.05::DOUBLE + 1e-9)::BIGINT AS bin, v FROM c WHERE abs(g) <= 0.45 AND v > 0) SELECT bin, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS v FROM b WHERE bin < 18 GROUP BY bin HAVING count(*) >= 25",
+    "slope_speed_bins": f"WITH {FIXES}, {RESAMPLED}, sp AS (SELECT *, lead(z) OVER w - z AS dz, lead(t) OVER w - t AS dt FROM points WINDOW w AS (PARTITION BY track, piece ORDER BY k)), c AS (SELECT round(dz / 30, 6) AS g, 30.0::DOUBLE / dt AS v FROM sp WHERE dt > 0), b AS (SELECT floor((g + 0.45::DOUBLE) / 0.05::DOUBLE + 1e-9)::BIGINT AS bin, v FROM c WHERE abs(g) <= 0.45 AND v > 0) SELECT bin, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS v FROM b WHERE bin < 18 GROUP BY bin HAVING count(*) >= 25",
     "consecutive_dedupe": f"WITH {FIXES} SELECT track, seq, x, y FROM steps WHERE dl IS NULL OR dl > 60",
     "line_tortuosity": f"WITH {FIXES}, seg AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY track ORDER BY seq)), mv AS (SELECT *, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey FROM seg WHERE dx <> 0 OR dy <> 0 WINDOW w AS (PARTITION BY track ORDER BY seq)), turns AS (SELECT track, max(degrees(acos(least(1.0, greatest(-1.0, (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey))))))) AS turn_deg FROM mv WHERE ex IS NOT NULL GROUP BY track), l AS (SELECT track, sum(sqrt(dx * dx + dy * dy)) AS length_m, sqrt(pow(arg_min(x, seq) - arg_max(x, seq), 2) + pow(arg_min(y, seq) - arg_max(y, seq), 2)) AS d FROM seg GROUP BY track) SELECT track, round(length_m, 6) AS length_m, round(CASE WHEN d > 0 THEN length_m / d END, 6) AS sinuosity, round(turn_deg, 6) AS turn_deg FROM l LEFT JOIN turns USING (track)",
     "cost_scalars": f"WITH {CELLS}, q AS (SELECT *, (col - 25) / 50.0::DOUBLE AS g FROM cells) SELECT row, col, round(CASE WHEN abs(g) <= 0.45 THEN ({_HORNER}) / 2.5 END, 6) AS phi, round(1.662 * exp(-3.5 * abs(g + 0.05)), 6) AS speed, round(1.662 * exp(-3.5 * 0.05::DOUBLE) / (1.662 * exp(-3.5 * abs(g + 0.05))), 6) AS phi_t, round(log10(1 + greatest(z, 0)), 6) AS drain, round(ln(greatest(z, 1e-6) / (tan(atan(abs(g))) + 1e-3)), 6) AS twi FROM q",
-    "horn_slope_aspect": f"WITH {CELLS}, {TERRAIN} SELECT row, col, round(slope, 6) AS slope FROM terrain",
+    "horn_slope_aspect": f"WITH {CELLS}, {TERRAIN} SELECT row, col, round(slope, 6) AS slope, CASE WHEN slope > 1e-9 THEN round(round(CASE WHEN aspect < 0 THEN aspect + 2 * pi() ELSE aspect END, 6) % 6.283185::DOUBLE, 6) + 0.0::DOUBLE ELSE 0 END AS aspect FROM terrain",
     "vrm": f"WITH {CELLS}, {TERRAIN}, nv AS (SELECT row, col, sin(slope) * sin(aspect) AS x, sin(slope) * cos(aspect) AS y, cos(slope) AS w FROM terrain), sums AS (SELECT c.row, c.col, sum(o.x) AS x, sum(o.y) AS y, sum(o.w) AS w FROM nv c, ends, off JOIN nv o ON o.row = greatest(r0, least(r1, c.row + i)) AND o.col = greatest(c0, least(c1, c.col + j)) GROUP BY c.row, c.col) SELECT row, col, round(greatest(0, least(1, 1 - sqrt(x * x + y * y + w * w) / 9)), 6) AS vrm FROM sums",
-    "vrm_mask_p99": f"WITH {CELLS} SELECT row, col, z FROM cells WHERE z > (SELECT quantile_cont(z, 0.9) FROM cells)",
+    "vrm_mask_p99": f"WITH {CELLS}, {TERRAIN}, nv AS (SELECT row, col, sin(slope) * sin(aspect) AS x, sin(slope) * cos(aspect) AS y, cos(slope) AS w FROM terrain), sums AS (SELECT c.row, c.col, sum(o.x) AS x, sum(o.y) AS y, sum(o.w) AS w FROM nv c, ends, off JOIN nv o ON o.row = greatest(r0, least(r1, c.row + i)) AND o.col = greatest(c0, least(c1, c.col + j)) GROUP BY c.row, c.col), v AS (SELECT row, col, round(greatest(0, least(1, 1 - sqrt(x * x + y * y + w * w) / 9)), 9) AS vrm FROM sums) SELECT row, col, round(vrm, 6) AS vrm FROM v WHERE vrm > (SELECT quantile_cont(vrm, 0.99) FROM v)",
     "percentile_normalise": f"WITH {CELLS}, q AS (SELECT quantile_cont(z, 0.05) AS a, quantile_cont(z, 0.95) AS b FROM cells) SELECT row, col, round((least(greatest(z, a), b) - a) / (b - a) + 0.01, 6) AS z FROM cells, q",
     "d8_direction": f"WITH {CELLS}, off AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS k FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0), m AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.z - b.z) / (30.0::DOUBLE * sqrt(i * i + j * j)) DESC, k) AS n FROM cells a, off JOIN cells b ON b.row = a.row + i AND b.col = a.col + j WHERE a.z > b.z) SELECT c.row, c.col, to_row, to_col FROM cells c LEFT JOIN m ON c.row = m.row AND c.col = m.col AND n = 1",
     "dem_uncertainty_band": f"WITH {CELLS}, q AS (SELECT abs(z - (z + (row * 3 + col) % 60)) AS d FROM cells) SELECT round(quantile_cont(d, 0.5), 6) AS median_m, round(quantile_cont(d, 0.9), 6) AS p90_m, round(quantile_cont(d, 0.99), 6) AS p99_m, round(max(d), 6) AS max_m, round(avg(CASE WHEN d > 50 THEN 1.0 ELSE 0 END) * 100, 6) AS over_50_pct FROM q",
-    "bilinear_sample": f"WITH {CELLS}, p AS (SELECT s_suppkey AS id, s_suppkey % 39 AS r, s_suppkey * 7 % 49 AS c FROM supplier) SELECT id, round(a.z * 0.75 * 0.25 + b.z * 0.75 * 0.75 + e.z * 0.25 * 0.25 + f.z * 0.25 * 0.75, 6) AS v FROM p LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells e ON e.row = r + 1 AND e.col = c LEFT JOIN cells f ON f.row = r + 1 AND f.col = c + 1",
+    "bilinear_sample": f"WITH {CELLS}, p AS (SELECT s_suppkey AS id, s_suppkey * 11 % 400 AS r, s_suppkey * 7 % 49 AS c FROM supplier) SELECT id, round(a.z * 0.75 * 0.25 + b.z * 0.75 * 0.75 + e.z * 0.25 * 0.25 + f.z * 0.25 * 0.75, 6) AS v FROM p LEFT JOIN cells a ON a.row = r AND a.col = c LEFT JOIN cells b ON b.row = r AND b.col = c + 1 LEFT JOIN cells e ON e.row = r + 1 AND e.col = c LEFT JOIN cells f ON f.row = r + 1 AND f.col = c + 1",
     "edges_8": _edges_sql(raster.OFFSETS_8),
     "edges_16_knight": _edges_sql(raster.OFFSETS_16),
     "nodes_within_radius": f"WITH {CELLS} SELECT row, col FROM cells WHERE EXISTS (SELECT 1 FROM nation WHERE pow(col * 30 - n_nationkey * 53, 2) + pow(row * 30 - n_nationkey * 47, 2) <= 10000)",
     "sites_nn_saturated": f"WITH {CELLS} SELECT row * 50 + col AS id, round(least(1.0, sqrt(min(pow(col * 30 - n_nationkey * 53, 2) + pow(row * 30 - n_nationkey * 47, 2))) / 500), 6) AS proximity FROM cells, nation GROUP BY row, col",
     "simplex_lattice": "SELECT a AS m0, b AS m1, 20 - a - b AS m2 FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20",
-    "near_optimal_set": f"WITH {COSTS} SELECT unit, weight_id, d FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m",
-    "argmin_weights": f"WITH {COSTS} SELECT unit, weight_id, d FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d, weight_id) AS n FROM costs) WHERE n = 1",
-    "weight_extension": f"WITH {COSTS} SELECT unit, min(weight_id) AS low, max(weight_id) AS high, round(avg(weight_id), 6) AS centre FROM costs JOIN least USING (unit) WHERE d <= 1.1::DOUBLE * m GROUP BY unit",
-    "jaccard_profile": f"WITH {COSTS}, k AS (SELECT unit, weight_id, tau, CASE WHEN d <= (1 + tau) * m THEN 1 ELSE 0 END AS inside FROM costs JOIN least USING (unit), (SELECT unnest({TAUS}::DOUBLE[]) AS tau)) SELECT a.unit AS unit_a, b.unit AS unit_b, a.tau, round(sum(a.inside * b.inside) / nullif(sum(greatest(a.inside, b.inside)), 0), 6) AS jaccard FROM k a JOIN k b ON a.weight_id = b.weight_id AND a.tau = b.tau AND a.unit < b.unit GROUP BY a.unit, b.unit, a.tau",
-    "p_empirical": f"WITH {COSTS} SELECT o.unit, round((1 + count(*) FILTER (n.d <= o.d)) / (count(n.d) + 1), 6) AS p FROM costs o JOIN costs n ON o.unit = n.unit AND n.weight_id <> 7 WHERE o.weight_id = 7 GROUP BY o.unit",
     "mean_symmetric_distance": f"WITH {FIXES}, f AS (SELECT track // 2 AS unit, track, track * 1000 + seq AS id, x, y FROM fixes), a AS (SELECT * FROM f WHERE track % 2 = 0), b AS (SELECT * FROM f WHERE track % 2 = 1), ab AS (SELECT unit, avg(d) AS m FROM (SELECT a.unit, a.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN b USING (unit) GROUP BY a.unit, a.id) GROUP BY unit), ba AS (SELECT unit, avg(d) AS m FROM (SELECT b.unit, b.id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM b JOIN a USING (unit) GROUP BY b.unit, b.id) GROUP BY unit) SELECT unit, round((ab.m + ba.m) / 2, 6) AS distance_m FROM ab JOIN ba USING (unit)",
-    "blocked_cv": "WITH c AS (SELECT l_suppkey % 5 AS unit, l_linenumber % 3 AS block, l_orderkey % 20 AS weight_id, sum(l_quantity::DOUBLE) AS d FROM lineitem GROUP BY ALL), f AS (SELECT a.unit, a.block, a.weight_id, a.d, avg(b.d) AS fit FROM c a JOIN c b ON a.unit = b.unit AND a.weight_id = b.weight_id AND a.block <> b.block GROUP BY a.unit, a.block, a.weight_id, a.d) SELECT unit, block, weight_id, round(fit, 6) AS fit, round(d, 6) AS held_out FROM (SELECT *, row_number() OVER (PARTITION BY unit, block ORDER BY fit, weight_id) AS n FROM f) WHERE n = 1",
     "self_proximity": f"WITH {FIXES}, v AS (SELECT track AS unit, x, y, coalesce(sum(dl) OVER (PARTITION BY track ORDER BY seq), 0) AS s FROM steps) SELECT a.unit, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS distance_m FROM v a JOIN v b ON a.unit = b.unit AND b.s - a.s >= 1000 GROUP BY a.unit",
     "registry_text": "SELECT page_id, lower('area nandu ' || translate(trim(url), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS folded, CASE WHEN lower(url) LIKE '%proyectad%' THEN 'proyectado' ELSE 'observado' END AS category, regexp_replace(lower(url), '[^a-zñ]+', ' ', 'g') AS words, (CASE WHEN lower(url) LIKE '%example%' THEN 5 ELSE 0 END + CASE WHEN lower(url) LIKE '%page%' THEN 2 ELSE 0 END + CASE WHEN lower(url) LIKE '%com%' THEN -3 ELSE 0 END + 4)::INTEGER AS score FROM pages",
 }
 
-QUERIES |= catalog_lines.QUERIES
-ORACLE_SQL |= catalog_lines.ORACLE_SQL
+ORACLE_SQL |= {
+    "stop_dispersion": f"WITH RECURSIVE {FIXES}, {_stops_sql(100.0, 'dispersion')} SELECT track::VARCHAR AS track, piece, i0, i1, t0, t1, fixes FROM found",
+    "stop_union_merge": f"WITH RECURSIVE {FIXES}, {_stops_sql(100.0, 'both')} SELECT track::VARCHAR AS track, piece, i0, i1, t0, t1, fixes FROM found",
+    "sensitivity_grid": _sensitivity_sql(),
+    "depression_fill": f"WITH RECURSIVE {CELLS}, {FILLED} SELECT row, col, round(h, 6) AS z FROM flood",
+    "flow_accumulation": f"""WITH RECURSIVE {CELLS}, {FILLED}, way AS (SELECT row, col, to_row, to_col FROM (SELECT p.row, p.col, to_row, to_col, row_number() OVER (PARTITION BY p.row, p.col ORDER BY (a.h - b.h) / (30.0::DOUBLE * sqrt(i * i + j * j)) DESC, k) AS n
+      FROM pairs p JOIN flood a ON a.row = p.row AND a.col = p.col JOIN flood b ON b.row = to_row AND b.col = to_col WHERE a.h > b.h) WHERE n = 1),
+      run(r0, c0, row, col) AS (SELECT row, col, row, col FROM cells UNION ALL SELECT r0, c0, to_row, to_col FROM run JOIN way USING (row, col)) SELECT row, col, count(*) AS cells FROM run GROUP BY row, col""",
+}
+QUERIES |= catalog_lines.QUERIES | catalog_routes.QUERIES
+ORACLE_SQL |= catalog_lines.ORACLE_SQL | catalog_routes.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ Chains are rows (chain, x0, y0, x1, y1, length); end 2 * chain is a chain's firs
 from __future__ import annotations
 
 import heapq
+import re
 import tempfile
 
 import numpy as np
@@ -13,31 +14,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's checkpoint folder; a folder of its own only where none is set."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the session's checkpoint folder; only where a local master has none set one of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and re.match(r"local(\[|$)", sc.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="trailmark-"))
     return df.checkpoint()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, hot: int = 10_000) -> DataFrame:
+    """rows (u, v) with m of their u. Hubs, of which there are few, are broadcast, so that none's rows meet in one task."""
+    hubs = least.where(F.col("n") > hot)
+    many = hubs.count()
+    if not many or many > 1_000_000:
+        return rows.join(least.select("u", "m"), "u")
+    return rows.join(F.broadcast(hubs.select("u", "m")), "u").unionByName(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u"))
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of links (a, b): component is the smallest node that can be reached. Rounds of large and small stars, each
     two aggregations, until nothing changes; nodes without a link to another node are not in the result unless linked to themselves."""
     own = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    edges = _cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = _cut(small.where("u <> v").distinct())
+    for _ in range(most_rounds):
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = cut_lineage(_with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = _with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = cut_lineage(small.where("u <> v").distinct())
+    else:
+        raise RuntimeError("the components did not settle")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(own).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -78,6 +93,106 @@ def measures(edges: DataFrame) -> DataFrame:
     return both.withColumn("alpha", F.when(F.col("nodes") > 2, F.col("cycles") / (2 * F.col("nodes") - 5)).otherwise(0.0))
 
 
+def corridors(edges: DataFrame, least_km: float = 100.0) -> DataFrame:
+    """(component, nodes, edges, km, cycles, alpha) of the components that are long enough to be a corridor, longest first. Without cycles a
+    corridor is a tree: there is one way between any two places."""
+    return measures(edges).withColumn("km", F.col("length") / 1000).where(F.col("km") >= least_km).select("component", "nodes", "edges", "km", "cycles", "alpha").orderBy(F.desc("km"), "component")
+
+
+def tree_share(found: DataFrame) -> DataFrame:
+    """Of corridors: their number, that of trees among them, kilometres of both, and the share of kilometres without alternatives."""
+    tree = F.col("cycles") <= 0
+    sums = found.agg(F.count("*").alias("corridors"), F.count_if(tree).alias("trees"), F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"), F.coalesce(F.sum(F.when(tree, F.col("km"))), F.lit(0.0)).alias("tree_km"))
+    return sums.withColumn("no_choice", F.when(F.col("km") > 0, F.col("tree_km") / F.col("km")).otherwise(0.0))
+
+
+def summary(edges: DataFrame, large_km: float = 100.0) -> DataFrame:
+    """One row of what can be said of a network: sizes, kilometres by component, degrees, independent cycles."""
+    part = cut_lineage(measures(edges).withColumn("km", F.col("length") / 1000))
+    total = part.agg(
+        F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.count("*").alias("components"), F.coalesce(F.sum("cycles"), F.lit(0)).alias("cycles"),
+        F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"), F.coalesce(F.max("km"), F.lit(0.0)).alias("largest_km"), F.coalesce(F.percentile("km", F.lit(0.5)), F.lit(0.0)).alias("median_km"),
+        F.count_if(F.col("km") >= large_km).alias("large"), F.coalesce(F.sum(F.when(F.col("km") >= large_km, F.col("km"))), F.lit(0.0)).alias("large_km"),
+        F.coalesce(F.max("max_degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.sum("dead_ends"), F.lit(0)).alias("dead_ends"),
+        F.max(F.struct("nodes", "edges")).alias("most"),
+    )
+    five = part.orderBy(F.desc("km"), "component").limit(5).agg(F.sort_array(F.collect_list("km"), asc=False).alias("five_km"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = total.withColumns({
+        "largest_share": share("largest_km", "km"), "large_share": share("large_km", "km"), "mean_degree": F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes")).otherwise(0.0),
+        "dead_end_share": share("dead_ends", "nodes"), "most_nodes": F.coalesce("most.nodes", F.lit(0)), "most_edges": F.coalesce("most.edges", F.lit(0)),
+    })
+    out = out.withColumn("most_share", share("most_nodes", "nodes")).drop("most", "large_km", "dead_ends")
+    return out.crossJoin(F.broadcast(five))  # one row each
+
+
+def corridor_betweenness(edges: DataFrame, least_km: float = 100.0, sources: int | None = 400) -> DataFrame:
+    """betweenness inside each corridor of two edges or more. Chains outside aren't in the result: there is no network to measure them in."""
+    inside = cut_lineage(edges.join(components(edges.select("a", "b")), edges["a"] == F.col("node")).drop("node"))
+    big = inside.groupBy("component").agg(F.sum("length").alias("m"), F.count("*").alias("n")).where((F.col("m") >= least_km * 1000) & (F.col("n") > 1)).select("component")
+    return betweenness(inside.join(big, "component", "left_semi").select("chain", "a", "b", "length"), sources)
+
+
+def by_feature(middles: DataFrame, chain_segments: DataFrame, values: DataFrame, radius: float) -> DataFrame:
+    """(feature, chain, value): for each feature's middle (feature, x, y) the nearest chain of chain_segments (chain, x, y, x1, y1) and its value
+    in values (chain, value), null where it has none."""
+    from .lines import nearest_segment
+
+    seg = chain_segments.select(F.col("chain").alias("seq"), "x", "y", "x1", "y1", F.lit(0.0).alias("s"), F.lit(0.0).alias("s1"))
+    near = nearest_segment(middles.select(F.col("feature").alias("pid"), "x", "y"), seg, [], radius)
+    return near.select(F.col("pid").alias("feature"), F.col("seq").alias("chain")).join(values, "chain", "left").select("feature", "chain", "value")
+
+
+def by_stretch(features: DataFrame, least: int = 1) -> DataFrame:
+    """features (name, km, value) by name: most and median value, kilometres and number, the most central names first."""
+    named = features.where("value is not null").withColumn("name", F.coalesce("name", F.lit("(sin nombre)")))
+    sums = named.groupBy("name").agg(F.max("value").alias("most"), F.percentile("value", F.lit(0.5)).alias("median"), F.sum("km").alias("km"), F.count("*").alias("features"))
+    return sums.where(F.col("features") >= least).orderBy(F.desc("most"), F.desc("median"), "name")
+
+
+def tolerance_rows(chains: DataFrame, middles: DataFrame, chain_segments: DataFrame, tolerances: list[float], radius: float, least_km: float = 100.0, sources: int | None = 400) -> DataFrame:
+    """For each tolerance: summary, number of corridors, features with a betweenness in a corridor, those that also had one at the tolerance
+    before, and the rank correlations of the features' betweenness with the tolerance before, over all components and in corridors. One
+    tolerance is one job over the whole network; the list is a parameter."""
+    rows, before = [], {}
+    for tolerance in tolerances:
+        edges = cut_lineage(graph(chains, tolerance))
+        row = summary(edges, least_km).first().asDict() | {"tolerance_m": float(tolerance), "corridors": corridors(edges, least_km).count()}  # a row of numbers
+        for name, found in (("all", betweenness(edges, sources)), ("corridors", corridor_betweenness(edges, least_km, sources))):
+            own = cut_lineage(by_feature(middles, chain_segments, found.select("chain", F.col("betweenness").alias("value")), radius).where("value is not null").select("feature", "value"))
+            common, rho = 0, None
+            if name in before:
+                pairs = cut_lineage(own.join(before[name].withColumnRenamed("value", "old"), "feature").select(F.lit(0).alias("key"), F.col("value").alias("x"), F.col("old").alias("y")))
+                common = pairs.count()
+                rho = next((r["rho"] for r in spearman(pairs).collect()), None) if common > 2 else None  # one key
+            row |= {f"features_{name}": own.count(), f"common_{name}": common, f"rho_{name}": rho}
+            before[name] = own
+        rows.append(row)
+    numbers = {"rho_all": "double", "rho_corridors": "double", "five_km": "array<double>"}
+    kinds = [f"{k} {numbers.get(k) or ('double' if isinstance(v, float) else 'long')}" for k, v in rows[0].items()]
+    return chains.sparkSession.createDataFrame([tuple(r[k] for k in rows[0]) for r in rows], ", ".join(kinds))
+
+
+def verdict(rows: list[dict], no_choice: float = 0.0) -> str:
+    """fragments, unstable or stable: what rows of tolerance_rows, the first at tolerance 0, let one say. Under a quarter of the kilometres in
+    large components there is no network; an order that tolerance changes (rank correlation under 0.7, or under 50 features) isn't to be
+    reported; `trees` is added where over 0.3 of a corridor's kilometres offer no choice of way."""
+    known = [r for r in rows if r["rho_corridors"] is not None]
+    if max(r["large_share"] for r in rows) < 0.25:
+        out = "fragments"
+    elif not known or min(r["rho_corridors"] for r in known) < 0.7 or min(r["common_corridors"] for r in known) < 50:
+        out = "unstable"
+    else:
+        out = "stable"
+    return out + (", trees" if no_choice > 0.3 else "")
+
+
+def gained(observed: dict, both: dict) -> bool:
+    """Whether lines that were inferred add structure: the largest component grows by 1.3, or a tenth of the kilometres joins large ones."""
+    grows = both["largest_km"] / observed["largest_km"] if observed["largest_km"] else float("inf")
+    return grows >= 1.3 or both["large_share"] - observed["large_share"] >= 0.1
+
+
 def edge_shares(a: np.ndarray, b: np.ndarray, length: np.ndarray, sources: list[int]) -> np.ndarray:
     """For each edge, over shortest paths from the sources to every node, the share of paths that use it (ties share equally);
     parallel edges of the same length count as paths of their own."""
@@ -118,7 +233,7 @@ def betweenness(edges: DataFrame, sources: int | None = 400, batch: int = 50) ->
     """(component, chain, betweenness) within each component, over its n (n - 1) ordered pairs. Components of more than `sources` nodes
     are estimated from that many of them, picked by hash (a sampling operator; None: exact). Batches of sources are the parallel
     unit, and a task holds one component's edges. Lengths must be positive."""
-    part = _cut(components(edges.select("a", "b")))
+    part = cut_lineage(components(edges.select("a", "b")))
     inside = edges.join(part, edges["a"] == part["node"]).select("component", "chain", "a", "b", "length")
     n = part.groupBy("component").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")) - 1

@@ -8,24 +8,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spectral_exponent(z: np.ndarray, low: float = 0.02, high: float = 0.4) -> float:
-    """b of power ~ k^-b, fitted in logarithms between two frequencies on the windowed surface; 2 with under 32 frequencies."""
-    if not np.isfinite(z).any():
-        return 2.0
-    flat = np.where(np.isfinite(z), z - np.nanmean(np.where(np.isfinite(z), z, np.nan)), 0.0)
-    power = np.abs(np.fft.fft2(flat * np.outer(*(np.hanning(n) for n in z.shape)))) ** 2
-    k = np.hypot(*np.meshgrid(*(np.fft.fftfreq(n) for n in z.shape), indexing="ij"))
-    used = (k >= low) & (k <= high) & (power > 0)
-    return float(-np.polyfit(np.log(k[used]), np.log(power[used]), 1)[0]) if used.sum() >= 32 else 2.0
+def _frequencies(rows: int, cols: int) -> np.ndarray:
+    """Cycles a cell of the half plane that a real transform has."""
+    return np.sqrt(np.square(np.fft.fftfreq(rows))[:, None] + np.square(np.fft.rfftfreq(cols))[None])
+
+
+def _twins(cols: int) -> np.ndarray:
+    """How often each column of the half plane stands for one of the whole plane: the inner ones also for their mirror image."""
+    out = np.full(cols // 2 + 1, 2.0)
+    out[0] = 1.0
+    if cols % 2 == 0:
+        out[-1] = 1.0
+    return out
+
+
+def spectral_exponent(z: np.ndarray, low: float = 0.02, high: float = 0.4, least: int = 32, otherwise: float = 2.0) -> float:
+    """b of power ~ k^-b: the slope of a line through the logarithms, by the moments of the frequencies from low to high. The surface is taken
+    about its mean, missing cells at the mean, and faded out to its sides (a raised cosine). With fewer than `least` frequencies there is
+    no telling."""
+    known = np.isfinite(z)
+    if not known.any():
+        return otherwise
+    rows, cols = z.shape
+    about = np.where(known, z, 0.0) - np.where(known, z[known].mean(), 0.0)
+    fade = [0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / max(n - 1, 1)) for n in (rows, cols)]
+    spectrum = np.fft.rfft2(about * fade[0][:, None] * fade[1])
+    power, k = spectrum.real**2 + spectrum.imag**2, _frequencies(rows, cols)
+    n = np.where((k >= low) & (k <= high) & (power > 0), _twins(cols), 0.0)
+    if n.sum() < least:
+        return otherwise
+    x, y = np.log(np.where(n > 0, k, 1.0)), np.log(np.where(n > 0, power, 1.0))
+    mean_x, mean_y = (n * x).sum() / n.sum(), (n * y).sum() / n.sum()
+    return float(-(n * (x - mean_x) * (y - mean_y)).sum() / (n * (x - mean_x) ** 2).sum())
 
 
 def null_surface(rows: int, cols: int, exponent: float, seed: list[int], epsilon: float = 0.01, clip: tuple[float, float] = (5.0, 95.0)) -> np.ndarray:
-    """White noise filtered to the spectrum, clipped at percentiles and scaled to [epsilon, 1 + epsilon]."""
-    k = np.hypot(*np.meshgrid(np.fft.fftfreq(rows), np.fft.fftfreq(cols), indexing="ij"))
-    gain = np.where(k > 0, np.where(k > 0, k, 1.0) ** (-exponent / 2), 0.0)
-    field = np.fft.ifft2(np.fft.fft2(np.random.default_rng(seed).standard_normal((rows, cols))) * gain).real
-    a, b = np.percentile(field, clip)
-    return np.clip((field - a) / (b - a), 0, 1) + epsilon if b > a else np.full((rows, cols), epsilon)
+    """A random surface of that spectrum: amplitudes k^(-exponent / 2) with independent normal real and imaginary parts, without a mean,
+    brought back to the plane, clipped at percentiles and scaled to [epsilon, 1 + epsilon]; a constant one is epsilon."""
+    draw = np.random.default_rng(seed)
+    k = _frequencies(rows, cols)
+    k[0, 0] = np.inf
+    waves = (draw.standard_normal(k.shape) + 1j * draw.standard_normal(k.shape)) * k ** (-exponent / 2)
+    surface = np.fft.irfft2(waves, s=(rows, cols))
+    a, b = np.percentile(surface, clip)
+    return epsilon + (np.minimum(np.maximum(surface, a), b) - a) / (b - a) if b > a else np.full((rows, cols), epsilon)
 
 
 def null_fields(units: DataFrame, draws: int, seed: int = 0) -> DataFrame:

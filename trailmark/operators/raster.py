@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,17 +42,58 @@ def ruggedness(terrain: DataFrame) -> DataFrame:
     return sums.select("row", "col", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - r / F.col("n"))).alias("vrm"))
 
 
+def percentiles(rows: DataFrame, value: str, shares: list[float], bins: int = 4096, most_rounds: int = 8) -> list[float | None]:
+    """Exact percentiles, linear between the two values around the place, without gathering the values in one task: counts in equal bins, then
+    again in the bins that hold the places, until what is left in them is few enough to be sorted."""
+    own = rows.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, low, high = own.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    wanted = sorted({r for p in shares for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    values: dict[int, float] = {}
+    open_ = [(low, high, 0, n, wanted)]  # of a range of values: its ends, how many values are below it and in it, ranks in it
+    for _ in range(most_rounds):
+        found = [x for x in open_ if x[0] == x[1]]
+        values |= {r: x[0] for x in found for r in x[4]}
+        open_ = [x for x in open_ if x[0] < x[1]]
+        if not open_ or sum(x[3] for x in open_) <= bins * 16:
+            break
+        parts = None
+        for k, (a, b, *_) in enumerate(open_):  # at most two ranges a percentile
+            one = own.where((F.col("v") >= a) & (F.col("v") <= b)).select(F.lit(k).alias("k"), F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / (b - a) * bins)).alias("bin"), "v")
+            parts = one if parts is None else parts.unionByName(one)
+        counts = parts.groupBy("k", "bin").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k", "bin").collect()  # bins rows a range
+        narrower = []
+        for k, (_, _, below, _, ranks) in enumerate(open_):
+            for r in counts:
+                if r["k"] == k:
+                    inside = [x for x in ranks if below <= x < below + r["c"]]
+                    if inside:
+                        narrower.append((r["a"], r["b"], below, r["c"], inside))
+                    below += r["c"]
+        open_ = narrower
+    for a, b, below, _, ranks in open_:
+        rest = sorted(r[0] for r in own.where((F.col("v") >= a) & (F.col("v") <= b)).collect()) if a < b else [a] * (max(ranks) - below + 1)  # at most 16 * bins values
+        values |= {r: rest[r - below] for r in ranks}
+    out = []
+    for p in shares:
+        at = p * (n - 1)
+        x, y = values[math.floor(at)], values[math.ceil(at)]
+        out.append(x + (y - x) * (at - math.floor(at)))
+    return out
+
+
 def over_percentile(cells: DataFrame, value: str, p: float) -> DataFrame:
     """Cells whose value is over its percentile p."""
-    cut = cells.agg(F.percentile(value, F.lit(p)).alias("cut"))
-    return cells.crossJoin(F.broadcast(cut)).where(F.col(value) > F.col("cut")).drop("cut")
+    (cut,) = percentiles(cells, value, [p])
+    return cells.where(F.col(value) > F.lit(cut))
 
 
 def normalised(cells: DataFrame, value: str, low: float = 0.05, high: float = 0.95, epsilon: float = 0.01) -> DataFrame:
     """value clipped at its percentiles and scaled to [epsilon, 1 + epsilon]; a constant surface is epsilon."""
-    ends = cells.agg(F.percentile(value, F.lit(low)).alias("a"), F.percentile(value, F.lit(high)).alias("b"))
-    scaled = F.when(F.col("b") > F.col("a"), (F.least(F.greatest(F.col(value), F.col("a")), F.col("b")) - F.col("a")) / (F.col("b") - F.col("a"))).otherwise(0.0) + epsilon
-    return cells.crossJoin(F.broadcast(ends)).withColumn(value, scaled).drop("a", "b")
+    a, b = percentiles(cells, value, [low, high])
+    scaled = (F.least(F.greatest(F.col(value), F.lit(a)), F.lit(b)) - F.lit(a)) / F.lit(b - a) if a is not None and b > a else F.lit(0.0)
+    return cells.withColumn(value, F.when(F.col(value).isNotNull(), scaled + epsilon))
 
 
 def downstream(cells: DataFrame, size: float) -> DataFrame:
@@ -66,9 +108,10 @@ def downstream(cells: DataFrame, size: float) -> DataFrame:
 
 
 def uncertainty(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Vertical disagreement of two surfaces."""
+    """Vertical disagreement of two surfaces, in one row."""
     d = a.select("row", "col", F.col("z").alias("za")).join(b.select("row", "col", F.col("z").alias("zb")), ["row", "col"]).withColumn("d", F.abs(F.col("za") - F.col("zb")))
-    return d.agg(*[F.percentile("d", F.lit(p)).alias(n) for n, p in (("median_m", 0.5), ("p90_m", 0.9), ("p99_m", 0.99))], F.max("d").alias("max_m"), (F.avg((F.col("d") > 50).cast("double")) * 100).alias("over_50_pct"))
+    found = percentiles(d, "d", [0.5, 0.9, 0.99])
+    return d.agg(*[F.lit(v).cast("double").alias(n) for n, v in zip(("median_m", "p90_m", "p99_m"), found, strict=True)], F.max("d").alias("max_m"), (F.avg((F.col("d") > 50).cast("double")) * 100).alias("over_50_pct"))
 
 
 def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
@@ -84,24 +127,39 @@ def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
 
 def edges(cells: DataFrame, size: float, offsets: list[tuple[int, int]] | None = None, g_max: float = G_MAX) -> DataFrame:
     """Directed edges (row, col, to_row, to_col, l, g, phi) between neighbours not steeper than g_max. A knight's move also needs
-    both cells that it passes over, and each of its four legs within g_max."""
-    made = None
-    for i, j in offsets or OFFSETS_16:
-        to = cells.select((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.col("z").alias("z1"))
-        pair = cells.select("row", "col", F.col("z").alias("z0")).join(to, ["row", "col"])
-        length = size * (i * i + j * j) ** 0.5
-        pair = pair.where(F.abs((F.col("z1") - F.col("z0")) / length) <= g_max)
+    both cells that it passes over, and each of its four legs within g_max. Each cell asks once for all the cells that its moves need, so there
+    is one join, and its answers meet in a map at the cell."""
+    moves = offsets or OFFSETS_16
+    passed = {}
+    for i, j in moves:
         if abs(i) + abs(j) == 3:
             s, t = (i > 0) - (i < 0), (j > 0) - (j < 0)
-            for a, b in (((s, 0), (s, t)) if abs(i) == 2 else ((0, t), (s, t))):
-                via = cells.select((F.col("row") - a).alias("row"), (F.col("col") - b).alias("col"), F.col("z").alias("zm"))
-                one, two = size * (a * a + b * b) ** 0.5, size * ((i - a) ** 2 + (j - b) ** 2) ** 0.5
-                pair = pair.join(via, ["row", "col"]).where((F.abs((F.col("zm") - F.col("z0")) / one) <= g_max) & (F.abs((F.col("z1") - F.col("zm")) / two) <= g_max)).drop("zm")
-        one = pair.select("row", "col", (F.col("row") + i).alias("to_row"), (F.col("col") + j).alias("to_col"), F.lit(length).alias("l"), ((F.col("z1") - F.col("z0")) / length).alias("g"))
-        made = one if made is None else made.unionByName(one)
+            passed[i, j] = ((s, 0), (s, t)) if abs(i) == 2 else ((0, t), (s, t))
+    needed = sorted({*moves, *(v for pair in passed.values() for v in pair)})
+    own = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
+    asks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(needed)])
+    given = own.withColumn("o", F.explode(asks)).select((F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), F.col("o.k").alias("k"), "z")
+    answers = given.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(len(needed))])
+    around = own.join(answers, ["row", "col"])
+    z = {move: F.col(f"z{k}") for k, move in enumerate(needed)}
+    steps = []
+    for i, j in moves:
+        length = size * (i * i + j * j) ** 0.5
+        g = (z[i, j] - F.col("z")) / length
+        fine = F.abs(g) <= g_max
+        for a, b in passed.get((i, j), ()):
+            one, two = size * (a * a + b * b) ** 0.5, size * ((i - a) ** 2 + (j - b) ** 2) ** 0.5
+            fine = fine & (F.abs((z[a, b] - F.col("z")) / one) <= g_max) & (F.abs((z[i, j] - z[a, b]) / two) <= g_max)
+        steps.append(F.when(fine, F.struct((F.col("row") + i).alias("to_row"), (F.col("col") + j).alias("to_col"), F.lit(length).alias("l"), g.alias("g"))))
+    made = around.select("row", "col", F.explode(F.array(*steps)).alias("e")).where("e is not null").select("row", "col", "e.*")
     return made.withColumn("phi", minetti(F.col("g")) / 2.5)
 
 
+def repeated_edges(found: DataFrame) -> DataFrame:
+    """Edges that stand more than once, which no cost graph may have."""
+    return found.groupBy("row", "col", "to_row", "to_col").count().where("count > 1")
+
+
 def within(points: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:
     """points (x, y) within radius of a vertex: an equi-join on square buckets, so only near pairs are compared."""
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -111,11 +169,54 @@ def within(points: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:
     return keyed.join(spread, (keyed["bx"] == spread["bx"]) & (keyed["by"] == spread["by"]) & (dx * dx + dy * dy <= radius * radius), "left_semi").drop("bx", "by")
 
 
+def without_near(sites: DataFrame, places: DataFrame, radius: float) -> DataFrame:
+    """sites (x, y) farther than radius from each of the places: those at the ends of a line say where it was to go, not why."""
+    near = within(sites, places, radius)
+    return sites.join(near.select("x", "y").distinct(), ["x", "y"], "left_anti").select(*sites.columns)
+
+
 def site_proximity(points: DataFrame, sites: DataFrame, saturation: float = 5000.0) -> DataFrame:
-    """Distance to the nearest site over saturation, at most 1; sites are few (a broadcast side checked by its caller)."""
+    """(id, proximity) of points (id, x, y): distance to the nearest site over saturation, at most 1. Only sites in neighbouring squares of that size
+    can be nearer than it."""
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = sites.select(F.col("x").alias("sx"), F.col("y").alias("sy")).distinct().withColumn("o", F.explode(near)).select("sx", "sy", (F.floor(F.col("sx") / saturation) + F.col("o.i")).cast("long").alias("bx"), (F.floor(F.col("sy") / saturation) + F.col("o.j")).cast("long").alias("by"))
+    keyed = points.select("id", "x", "y", F.floor(F.col("x") / saturation).cast("long").alias("bx"), F.floor(F.col("y") / saturation).cast("long").alias("by"))
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    near = points.crossJoin(sites.select(F.col("x").alias("sx"), F.col("y").alias("sy"))).groupBy("id").agg(F.min(dx * dx + dy * dy).alias("d2"))
-    return near.select("id", F.least(F.lit(1.0), F.sqrt("d2") / saturation).alias("proximity"))
+    found = keyed.join(spread, ["bx", "by"], "left").groupBy("id").agg(F.min(dx * dx + dy * dy).alias("d2"))
+    return found.select("id", F.coalesce(F.least(F.lit(1.0), F.sqrt("d2") / saturation), F.lit(1.0)).alias("proximity"))
+
+
+def corridor_mask(cells: DataFrame, seg: DataFrame, size: float, radius: float, water: DataFrame | None = None, most_water: float = 0.5) -> DataFrame:
+    """Cells (row, col) that the buffer of radius (a cell at least) around segments (x, y, x1, y1) touches, without those of water (row, col). It is an
+    error if there are none, or if water would take more than most_water of them: then the lines or the water are in other coordinates."""
+    from .lines import _squares, to_segment
+    from .network import cut_lineage
+
+    own = cells.select("row", "col", (F.col("col") * size).alias("px"), (F.col("row") * size).alias("py"))
+    reach = radius + size
+    spread = seg.select("x", "y", "x1", "y1").withColumn("bx", F.explode(_squares(F.least("x", "x1") - reach, F.greatest("x", "x1") + reach, reach))).withColumn("by", F.explode(_squares(F.least("y", "y1") - reach, F.greatest("y", "y1") + reach, reach)))
+    joined = own.withColumns({"bx": F.floor(F.col("px") / reach).cast("long"), "by": F.floor(F.col("py") / reach).cast("long")}).join(spread, ["bx", "by"])
+    half = size / 2
+    corners = [to_segment(F.col("px") + a * half, F.col("py") + b * half, F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))[0] for a in (-1, 1) for b in (-1, 1)]
+    off = lambda c, p: F.greatest(F.abs(F.col(c) - F.col(p)) - half, F.lit(0.0))
+    ends = [F.pow(off(x, "px"), 2) + F.pow(off(y, "py"), 2) for x, y in (("x", "y"), ("x1", "y1"))]
+    inside = cut_lineage(joined.where(F.least(*corners, *ends) <= radius * radius).select("row", "col").distinct())
+    n = inside.count()
+    if not n:
+        raise ValueError("the lines' corridor touches no cell")
+    if water is None:
+        return inside
+    dry = cut_lineage(inside.join(water.select("row", "col"), ["row", "col"], "left_anti"))
+    if n - dry.count() > most_water * n:
+        raise ValueError("water would take most of the corridor")
+    return dry
+
+
+def cut_off(vertices: DataFrame, key: str, box: tuple[float, float, float, float], margin: float) -> DataFrame:
+    """(key, cut): whether a line's vertex comes within margin of the box's sides: then one of its ends is where the box stops."""
+    x0, y0, x1, y1 = box
+    away = F.least(F.abs(F.col("x") - x0), F.abs(F.col("x") - x1), F.abs(F.col("y") - y0), F.abs(F.col("y") - y1))
+    return vertices.groupBy(key).agg((F.min(away) <= margin).alias("cut"))
 
 
 def line_tortuosity(rows: DataFrame) -> DataFrame:

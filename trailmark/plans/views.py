@@ -38,3 +38,20 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS = "cells AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_partkey * p_partkey * 7 % 41 * 0.5::DOUBLE AS z FROM part)"
+
+
+def nodes(spark: SparkSession, sf_dir: str, size: float = 30.0) -> DataFrame:
+    """The grid's cells as nodes of a graph; x and y count from the centre of cell (0, 0)."""
+    c = cells(spark, sf_dir)
+    return c.select((F.col("row") * 50 + F.col("col")).alias("node"), "row", "col", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"), "z")
+
+
+def unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A winding line across the grid for each region: (unit, seq, x, y)."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("u"))
+    k = r.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))))
+    return k.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("unit"), "seq", ((2 + F.col("seq") * 3.75) * 30.0).alias("x"), ((4 + F.col("u") * 7 + F.col("seq") * (F.col("u") + 3) % 3 * 2.0) * 30.0).alias("y"))
+
+
+NODES = "nodes AS (SELECT row * 50 + col AS node, row, col, col * 30.0::DOUBLE AS x, row * 30.0::DOUBLE AS y, z FROM cells)"
+UNITS = "units AS (SELECT 'u' || r_regionkey AS unit, seq, (2 + seq * 3.75::DOUBLE) * 30 AS x, (4 + r_regionkey * 7 + seq * (r_regionkey + 3) % 3 * 2.0::DOUBLE) * 30 AS y FROM region, range(13) t(seq))"
