@@ -13,16 +13,29 @@ POINT = "_lat double, _lon double, ele double, time timestamp, hdop double, exte
 
 
 def read_tracks(spark: SparkSession, path: str, epsg: int, hdop_max: float = 10.0) -> DataFrame:
-    """Fixes (track, seq, ts, t, x, y, z, hdop, v, declared) in order of time. Points without time go; a missing speed is 0; hdop
-    over hdop_max goes, a missing one stays; t counts from the first fix that is kept."""
-    raw = spark.read.format("xml").option("rowTag", "trkpt").schema(POINT).load(path)
-    name = F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))), r"\.gpx$", "")
+    """Fixes (track, seq, ts, t, x, y, z, hdop, v, declared) in order of time, ties in order of the file. A track is a file's name, with the folder in front where
+    several files have it. Points without time go; a missing speed is 0; hdop over hdop_max goes, a missing one stays; t counts from the first
+    fix that is kept."""
+    raw = spark.read.format("xml").option("rowTag", "trkpt").schema(POINT).load(path).withColumns({"__path": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
+    part = lambda i: F.url_decode(F.replace(F.element_at(F.split("__path", "/"), i), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(part(-1), r"\.gpx$", "")
+    files = raw.select(name.alias("name"), "__path").distinct()
+    shared = files.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("shared"))
     speed = F.col("extensions.`osmand:speed`")
     x, y = utm(F.col("_lon"), F.col("_lat"), epsg)
-    rows = raw.where("time is not null and (hdop is null or isnan(hdop) or hdop <= %f)" % hdop_max)
-    rows = rows.select(name.alias("track"), F.col("time").alias("ts"), x.alias("x"), y.alias("y"), F.col("ele").alias("z"), "hdop", F.coalesce(speed, F.lit(0.0)).alias("v"), speed.isNotNull().alias("declared"))
-    order = Window.partitionBy("track").orderBy("ts", "x", "y")
-    return rows.withColumn("seq", F.row_number().over(order) - 1).withColumn("t", (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(order))) / 1e6)
+    rows = raw.where("time is not null and (hdop is null or isnan(hdop) or hdop <= %f)" % hdop_max).withColumn("name", name).join(shared, "name", "left")
+    track = F.when(F.col("shared"), F.concat(part(-2), F.lit("/"), "name")).otherwise(F.col("name"))
+    rows = rows.select(track.alias("track"), F.col("time").alias("ts"), x.alias("x"), y.alias("y"), F.col("ele").alias("z"), "hdop", F.coalesce(speed, F.lit(0.0)).alias("v"), speed.isNotNull().alias("declared"), "__at")
+    order = Window.partitionBy("track").orderBy("ts", "__at")
+    return rows.withColumn("seq", F.row_number().over(order) - 1).withColumn("t", (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(order))) / 1e6).drop("__at")
+
+
+def need_two(fixes: DataFrame) -> DataFrame:
+    """fixes, if each track has two at least; a track of one can't be measured."""
+    short = [r[0] for r in fixes.groupBy("track").agg(F.count("*").alias("n")).where("n < 2").select("track").limit(5).collect()]
+    if short:
+        raise ValueError(f"tracks of a single fix: {', '.join(short)}")
+    return fixes
 
 
 def gpx_document(points: list[dict], tracks: dict[str, list[tuple[float, float]]] | None = None) -> str:
