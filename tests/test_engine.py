@@ -62,3 +62,29 @@ def test_gap_of_exactly_300_seconds(spark):
     rows = [("a", i, t, 0.0, 0.0, 0.0, 1.0) for i, t in enumerate([0.0, 300.0, 601.0, 610.0])]
     df = spark.createDataFrame(rows, "track string, seq long, t double, x double, y double, z double, v double")
     assert [r.piece for r in tr.pieces(df).orderBy("seq").collect()] == [0, 0, 1, 1]
+
+
+def test_grids_and_costs(spark):
+    from pyspark.sql import functions as F
+
+    from trailmark.functions import cost, geo
+    from trailmark.operators import raster
+
+    one = spark.range(1)
+    row, col = geo.cell_of(F.lit(119.0), F.lit(71.0), 100.0, 100.0, 10.0)
+    x, y = geo.cell_centre(F.lit(2), F.lit(1), 100.0, 100.0, 10.0)
+    low, high = geo.outward(F.lit(-0.1), F.lit(61.0), 30.0)
+    got = one.select(row, col, x, y, low, high, cost.visibility_cost(F.lit(1.5)), cost.visibility_cost(F.lit(0.25)), cost.graph_gigabytes(F.lit(1 << 30), 1)).first()
+    assert tuple(got)[:8] == (2, 1, 115.0, 75.0, -30.0, 90.0, 0.0, 0.75) and abs(got[8] - 0.35 * 12.9 * 20) < 1e-9
+    source = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(5) for j in range(5)], "row long, col long, z double")
+    target = spark.createDataFrame([(0, 0, 15.0, 85.0), (0, 1, 22.5, 85.0), (9, 9, 500.0, 85.0)], "row long, col long, x double, y double")
+    assert sorted(map(tuple, raster.aligned(target, source, 0.0, 100.0, 10.0).collect())) == [(0, 0, 11.0), (0, 1, 11.75)]
+    assert raster.off_grid(source, 5, 4).count() == 5 and raster.off_grid(source, 5, 5).count() == 0
+
+
+def test_sessions_over_the_gap(spark):
+    from trailmark.streaming.sessions import session_totals
+
+    rows = [("a", 0), ("a", 300), ("a", 601), ("b", 0)]
+    df = spark.createDataFrame(rows, "track string, s long").selectExpr("track", "timestamp_seconds(s) as ts", "cast(1 as double) as v")
+    assert len(session_totals(df).collect()) == 3

@@ -58,9 +58,10 @@ def test_betweenness_equals_brute_force(spark):
 
 def test_components_of_a_long_path_and_of_nothing(spark):
     path = spark.range(300).select((F.col("id") * 5 % 301).alias("a"), ((F.col("id") + 1) * 5 % 301).alias("b"))
-    found = network.components(path).collect()
-    assert len(found) == 301 and {r.component for r in found} == {0}
-    assert network.components(path.limit(0)).count() == 0
+    for one_task in (1000, 0):
+        found = network.components(path, one_task).collect()
+        assert len(found) == 301 and {r.component for r in found} == {0}
+        assert network.components(path.limit(0), one_task).count() == 0
 
 
 def test_points_at_sea_level_hide_each_other(spark):

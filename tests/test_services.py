@@ -73,3 +73,9 @@ def test_mirrors_and_files(tmp_path):
     for again in (False, False, True):
         assert services.saved("u", tmp_path / "f.txt", again=again, fetch=fetch).read_text() == "body"
     assert len(calls) == 2 and not list(tmp_path.glob("*.part"))
+
+
+def test_map_features():
+    answer = {"elements": [{"id": 1, "tags": {"name": "x"}, "geometry": [{"lon": 1, "lat": 2}, None, {"lon": 3, "lat": 4}]}, {"id": 2, "geometry": [{"lon": 1, "lat": 2}]}, {"id": 3}]}
+    (one,) = services.map_features(answer)
+    assert one["geometry"]["coordinates"] == [[1, 2], [3, 4]] and one["properties"]["name"] == "x"

@@ -40,3 +40,12 @@ def test_site_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         registry.read_sites(spark, str(tmp_path / "t.csv"))
+
+
+def test_layers_categories_and_sites(spark):
+    rows = spark.createDataFrame([("Tramos Observados", 3000.0), ("Tramo Proyectado", 1000.0), ("Tramos Observados", 4000.0)], "layer string, length double")
+    assert [tuple(r) for r in registry.layer_names(rows).collect()] == [("Tramo Proyectado", "proyectado", 1), ("Tramos Observados", "observado", 2)]
+    named = rows.withColumn("category", F.when(F.col("length") > 3500, "observado").when(F.col("length") > 2000, "proyectado"))
+    assert sorted((r.category, r.features, r.km, r.share) for r in registry.by_category(named).collect()) == [("observado", 1, 4.0, 0.5), ("otro", 1, 1.0, 0.125), ("proyectado", 1, 3.0, 0.375)]
+    sites = spark.createDataFrame([(-71.5, -13.5), (0.0, 0.0)], "lon double, lat double")
+    assert tuple(registry.sites_summary(sites, (-72.0, -14.0, -71.0, -13.0)).first()) == (2, 1)

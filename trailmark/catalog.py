@@ -302,6 +302,14 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL |= {
+    "anatomy": f"""WITH RECURSIVE {FIXES}, {_stops_sql(100.0, 'both')}, st AS (SELECT f.track, f.piece, f.i0, f.i1, f.t0, f.t1, avg(r.z) AS z FROM found f JOIN rows_ r ON r.track = f.track AND r.piece = f.piece AND r.seq BETWEEN f.i0 AND f.i1 GROUP BY ALL),
+      pm AS (SELECT track, piece, quantile_cont(v, 0.95) AS p95 FROM rows_ r WHERE NOT EXISTS (SELECT 1 FROM st s WHERE s.track = r.track AND s.piece = r.piece AND r.seq BETWEEN s.i0 AND s.i1) GROUP BY track, piece),
+      md AS (SELECT track, CASE WHEN bool_or(coalesce(p95 > 4.0, false)) THEN 'vehiculo' ELSE 'pie' END AS mode FROM (SELECT DISTINCT track FROM rows_) LEFT JOIN pm USING (track) GROUP BY track),
+      wh AS (SELECT track, quantile_cont(dl, 0.5) AS step_m, coalesce(sum(dt) FILTER (dt > 300), 0) AS lost_s, count(*) AS fixes, min(z) AS low_m, max(z) AS high_m FROM cut GROUP BY track),
+      ins AS (SELECT track, sum(dt) AS total_s, sum(dl) AS length_m, coalesce(sum(dz) FILTER (dz > 0), 0) AS up_m, coalesce(-sum(dz) FILTER (dz < 0), 0) AS down_m FROM rows_ GROUP BY track),
+      hd AS (SELECT track, sum(t1 - t0) AS stopped_s, count(*) AS n_stops, quantile_cont(t1 - t0, 0.5) AS median_stop_s, max(t1 - t0) AS longest_stop_s, avg(z) AS stop_z FROM st GROUP BY track),
+      a AS (SELECT wh.*, mode, coalesce(total_s, 0) AS total_s, coalesce(length_m, 0) AS length_m, coalesce(up_m, 0) AS up_m, coalesce(down_m, 0) AS down_m, coalesce(stopped_s, 0) AS stopped_s, coalesce(n_stops, 0) AS n_stops, median_stop_s, longest_stop_s, stop_z FROM wh LEFT JOIN ins USING (track) LEFT JOIN hd USING (track) LEFT JOIN md USING (track))
+      SELECT track, mode, fixes, n_stops, {_r('step_m', 'lost_s', 'low_m', 'high_m', 'total_s', 'length_m', 'up_m', 'down_m', 'stopped_s', 'median_stop_s', 'longest_stop_s', 'stop_z')}, round((total_s - stopped_s)::DOUBLE, 6) AS march_s, round(CASE WHEN total_s > 0 THEN stopped_s / total_s END::DOUBLE, 6) AS stopped_share, round(CASE WHEN total_s > stopped_s THEN length_m / (total_s - stopped_s) * 3.6 END::DOUBLE, 6) AS march_kmh FROM a""",
     "stop_dispersion": f"WITH RECURSIVE {FIXES}, {_stops_sql(100.0, 'dispersion')} SELECT track::VARCHAR AS track, piece, i0, i1, t0, t1, fixes FROM found",
     "stop_union_merge": f"WITH RECURSIVE {FIXES}, {_stops_sql(100.0, 'both')} SELECT track::VARCHAR AS track, piece, i0, i1, t0, t1, fixes FROM found",
     "sensitivity_grid": _sensitivity_sql(),

@@ -141,6 +141,32 @@ def fetch(s: Study) -> None:
         services.saved(url, s.c.folder("datos") / name, params, s.again)
 
 
+def layer(s: Study, fetch_: services.Fetch = services.over_http) -> Path:
+    """The registry's lines, from its feature service or its paged one, or ways of the open map (`osm`), as a file in datos."""
+    to = s.c.folder("datos") / "camino.geojson"
+    kind, address = s.c.registry_service()
+    if kind == "wfs":
+        found = services.capabilities(address, fetch_)
+        if found is None:
+            raise Missing(f"{address} answers with no layers")
+        name = s.c.wfs_layer or services.scored_layers(found[1])[0]["name"]
+        text = services.layer_text(address, name, found[0], services.json_format(services.formats_of(found[1])), fetch_)
+    else:
+        text = json.dumps({"type": "FeatureCollection", "features": list(services.paged_features(s.c.need_rest(), s.c.box, fetch_))})
+    to.write_text(text, encoding="utf-8")
+    return to
+
+
+def map_layer(s: Study, mirrors: tuple[str, ...] = services.MIRRORS, fetch_: services.Fetch = services.over_http) -> Path:
+    """Ways of the open map that may be the road, as a file in datos."""
+    features = services.map_features(services.map_answer(services.road_query(s.c.box), list(mirrors), fetch_))
+    if not features:
+        raise Missing("the open map has no such way in the box")
+    to = s.c.folder("datos") / "camino.geojson"
+    to.write_text(json.dumps({"type": "FeatureCollection", "features": features}), encoding="utf-8")
+    return to
+
+
 def road(s: Study) -> list[dict]:
     """The road's lines (unit, seq, x, y), from a file, recorded tracks or the registry's service; names that are excluded go, and registry lines are
     cut to the box."""
@@ -189,6 +215,9 @@ def prepare(s: Study) -> list[dict]:
     dem = s.dem("dem")
     if dem is None:
         raise Missing("datos/dem.parquet or datos/dem.asc is missing")
+    g = s.grid()
+    if raster.off_grid(dem, g["rows"], g["columns"]).limit(1).count():
+        raise Missing(f"the surface reaches beyond the box's {g['rows']} by {g['columns']} cells: it was made for another one")
     dem = s.put(dem, "derivados", "dem")
     seg = lines.segments(s.table("derivados", "road", "road"), ["name", "feature", "part"]).select("x", "y", "x1", "y1")
     s.put(raster.corridor_mask(dem, seg, s.c.resolution, s.c.corridor), "derivados", "corridor")
@@ -412,7 +441,7 @@ def search(s: Study) -> list[dict]:
 
 #: In order; those after the first ten are asked for by name.
 STEPS: dict[str, Callable[[Study], list[dict] | None]] = {"fetch": fetch, "road": road, "units": units, "prepare": prepare, "surfaces": surfaces, "graph": graph, "review": review, "nulls": null_model, "sweep": swept, "validate": validate, "results": results}
-AIDS: dict[str, Callable[[Study], list[dict] | None]] = {"search": search, "box": box, "field": field_plan, "network": road_network, "sensitivity": sector_sensitivity, "ratios": ratios, "tracks": tracks}
+AIDS: dict[str, Callable[[Study], list[dict] | None]] = {"search": search, "layer": layer, "map": map_layer, "box": box, "field": field_plan, "network": road_network, "sensitivity": sector_sensitivity, "ratios": ratios, "tracks": tracks}
 
 
 def run(study: Study, name: str) -> dict[str, float]:

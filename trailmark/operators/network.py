@@ -34,11 +34,40 @@ def _with_least(rows: DataFrame, least: DataFrame, hot: int = 10_000) -> DataFra
     return rows.join(F.broadcast(hubs.select("u", "m")), "u").unionByName(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of links (a, b): component is the smallest node that can be reached. Rounds of large and small stars, each
-    two aggregations, until nothing changes; nodes without a link to another node are not in the result unless linked to themselves."""
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), and the smallest node that each reaches: every root takes the smallest label beside its tree, and labels are
+    followed to their end, until both ends of each edge agree."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        a, b = root[i], root[j]
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+    return nodes, nodes[root]
+
+
+def components(links: DataFrame, one_task: int = 500_000, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of links (a, b): component is the smallest node that can be reached. Up to one_task edges are solved in one task; more go
+    through rounds of large and small stars, each two aggregations, until nothing changes. Nodes without a link to another node are not in
+    the result unless linked to themselves."""
     own = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
+    if edges.count() <= one_task:
+
+        def solve(batches):
+            got = list(batches)
+            if got:
+                rows = pd.concat(got)
+                nodes, low = least_reached(rows["u"].to_numpy(), rows["v"].to_numpy())
+                yield pd.DataFrame({"node": nodes, "component": low})
+
+        return edges.coalesce(1).mapInPandas(solve, "node long, component long").unionByName(own.select(F.col("node").cast("long"), F.col("component").cast("long"))).groupBy("node").agg(F.min("component").alias("component"))
     last = None
     for _ in range(most_rounds):
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -253,7 +253,9 @@ def parts_of(edges: DataFrame) -> DataFrame:
 
     named = edges.select("unit", "src", "dst")
     ids = named.select("unit", F.col("src").alias("node")).unionByName(named.select("unit", F.col("dst").alias("node"))).distinct()
-    numbered = ids.withColumn("id", F.dense_rank().over(Window.partitionBy("unit").orderBy("node")) + F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) * (1 << 40))
+    numbers = ids.select("unit").distinct().withColumn("no", F.row_number().over(Window.orderBy("unit")).cast("long"))  # a row a unit
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy("node"))
+    numbered = lines.cut_lineage(ids.join(F.broadcast(numbers), "unit").select("unit", "node", (F.col("no") * F.lit(1 << 40) + rank).alias("id")))
     a, b = (numbered.select("unit", F.col("node").alias(x), F.col("id").alias(y)) for x, y in (("src", "a"), ("dst", "b")))
     found = components(named.join(a, ["unit", "src"]).join(b, ["unit", "dst"]).select("a", "b")).withColumnRenamed("node", "id")
     return numbered.join(found, "id").select("unit", "node", "component")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cost import G_MAX, minetti
+from ..functions.geo import lon_lat
 
 OFFSETS_8 = [(i, j) for i, j in product((-1, 0, 1), repeat=2) if (i, j) != (0, 0)]
 OFFSETS_16 = OFFSETS_8 + [(i, j) for i, j in product((-2, -1, 1, 2), repeat=2) if abs(i) != abs(j)]
@@ -125,6 +126,21 @@ def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.when(F.count("z") == F.count("*"), F.sum(F.col("w") * F.col("z"))).alias("v"))
 
 
+def aligned(target: DataFrame, source: DataFrame, west: float, north: float, size: float, epsg: int | None = None) -> DataFrame:
+    """(row, col, z): a surface on another grid. target (row, col, x, y) are the cells wanted, with their centres; source (row, col, z) lies on a grid
+    with its north-western corner at (west, north), in the same coordinates, or in degrees where the zone epsg of the target's is given. Cells outside,
+    or beside a missing one, are left out."""
+    x, y = (F.col("x"), F.col("y")) if epsg is None else lon_lat(F.col("x"), F.col("y"), epsg)
+    points = target.select(F.struct("row", "col").alias("id"), x.alias("px"), y.alias("py"))
+    at = points.select("id", ((F.lit(north) - F.col("py")) / size - 0.5).alias("fr"), ((F.col("px") - west) / size - 0.5).alias("fc"))
+    return bilinear(source, at).where("v is not null").select("id.row", "id.col", F.col("v").alias("z"))
+
+
+def off_grid(cells: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Cells that lie outside a grid: of a surface prepared for another box."""
+    return cells.where(~(F.col("row").between(0, rows - 1) & F.col("col").between(0, columns - 1)))
+
+
 def edges(cells: DataFrame, size: float, offsets: list[tuple[int, int]] | None = None, g_max: float = G_MAX) -> DataFrame:
     """Directed edges (row, col, to_row, to_col, l, g, phi) between neighbours not steeper than g_max. A knight's move also needs
     both cells that it passes over, and each of its four legs within g_max. Each cell asks once for all the cells that its moves need, so there

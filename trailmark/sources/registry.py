@@ -74,6 +74,24 @@ def read_registry(spark: SparkSession, path: str, observed_only: bool = True, la
     return rows.where("category = 'observado'") if observed_only else rows
 
 
+def layer_names(rows: DataFrame) -> DataFrame:
+    """(layer, category, lines): what layers there are."""
+    return rows.groupBy("layer", category(F.col("layer")).alias("category")).agg(F.count("*").alias("lines")).orderBy("layer")
+
+
+def by_category(rows: DataFrame) -> DataFrame:
+    """(category, features, km, share) of features (category, length in metres): share of all kilometres; what no category names is `otro`."""
+    sums = rows.groupBy(F.coalesce("category", F.lit("otro")).alias("category")).agg(F.count("*").alias("features"), (F.sum("length") / 1000).alias("km"))
+    total = sums.agg(F.sum("km").alias("all"))
+    return sums.crossJoin(F.broadcast(total)).select("category", "features", "km", F.when(F.col("all") > 0, F.col("km") / F.col("all")).alias("share"))  # one row
+
+
+def sites_summary(sites: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """(sites, inside): how many sites (lon, lat) there are, and in the box."""
+    inside = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
+    return sites.agg(F.count("*").alias("sites"), F.count_if(inside).alias("inside"))
+
+
 def without_excluded(rows: DataFrame, names: list[str]) -> DataFrame:
     """rows whose stretch name is none of the given ones, letter for letter."""
     return rows.where(~F.coalesce("tramnomb", F.lit("")).isin(names)) if names else rows

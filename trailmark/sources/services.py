@@ -22,6 +22,8 @@ VERSIONS = ("2.0.0", "1.1.0", "1.0.0")
 LIMITS = {"2.0.0": "count", "1.1.0": "maxFeatures", "1.0.0": "maxFeatures"}
 JSON_FORMATS = ("application/json", "json", "application/geo+json", "text/json")
 PAGE = 1000
+#: Servers of the open map's queries.
+MIRRORS = ("https://overpass-api.de/api/interpreter", "https://overpass.kumi.systems/api/interpreter")
 #: Kinds of services that hold layers, and where directories of services lie on a host.
 LAYERED = ("MapServer", "FeatureServer")
 DIRECTORIES = ("server/rest/services", "arcgis/rest/services", "rest/services", "geocam/rest/services", "gis/rest/services")
@@ -261,6 +263,17 @@ def map_answer(query: str, mirrors: list[str], fetch: Fetch = over_http, rounds:
     raise RuntimeError("no mirror answered: " + "; ".join(faults[-6:]))
 
 
+def map_features(answer: dict) -> list[dict]:
+    """GeoJSON lines of an answer's elements of two places or more, named by their tags."""
+    out = []
+    for e in answer.get("elements") or []:
+        line = [[p["lon"], p["lat"]] for p in e.get("geometry") or [] if p]
+        if len(line) > 1:
+            tags = e.get("tags") or {}
+            out.append({"type": "Feature", "properties": tags | {"id": str(e.get("id")), "source": "osm"}, "geometry": {"type": "LineString", "coordinates": line}})
+    return out
+
+
 # ---------------------------------------------------------------- elevation
 
 
