@@ -158,7 +158,12 @@ def plain_components(rows, width=4, num=85, den=100):
 def test_op10_combinations_are_made_and_find_links(spark, monkeypatch):
     made = {}
     written = jaccard.written
-    monkeypatch.setattr(jaccard, "written", lambda df, name: made.setdefault(name, written(df, name)))
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jaccard, "written", kept)
     monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
     rows = list(enumerate(families(np.random.default_rng(4), 5, 20, 60, 4)))
     # without the links to the smallest id, all must come from the prefixes
@@ -308,7 +313,7 @@ def test_op6_through_spark(spark, empty):
     rows += [(None, "idiot"), (95, None), (96, ""), (96, "idiot " * 3), (97, "the idiot " * 4000)]
     df = spark.createDataFrame([(*x, "a", 0.5) for x in rows], "doc_id long, text string, y string, score double")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (3, 1), (96, 1)], "doc_id long, toxic int")
-    model = toxicity.learn(df, labels, training=toxicity.id_crc(labels.doc_id, 5) < 4, most_chars=5000)
+    model = toxicity.learn(df, labels, training=toxicity.id_crc(F.col("doc_id"), 5) < 4, most_chars=5000)
     got = toxicity.score(df, model).collect()
     assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) and x.y == "a" for x in got)
     by = {x.doc_id: x.score for x in got}

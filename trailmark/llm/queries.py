@@ -106,5 +106,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+OP4_SQL = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+fine AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+walk(n, m) AS (SELECT DISTINCT vec_id, vec_id FROM v UNION SELECT walk.n, links.b FROM walk JOIN links ON links.a = walk.m), least AS (SELECT n, min(m) AS component_id FROM walk GROUP BY n), counts AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM v LEFT JOIN counts USING (r) LEFT JOIN least ON n = vec_id"""
+
+OP10_SQL = """WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+sizes AS (SELECT r, doc_id, count(*) AS n FROM shingles GROUP BY r, doc_id),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+near AS (SELECT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c) AND x.doc_id <> y.doc_id),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+walk(n, m) AS (SELECT DISTINCT doc_id, doc_id FROM words UNION SELECT walk.n, links.b FROM walk JOIN links ON links.a = walk.m), least AS (SELECT n, min(m) AS component_id FROM walk GROUP BY n)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, component_id FROM words w LEFT JOIN sizes z ON z.r = w.r LEFT JOIN least ON least.n = w.doc_id"""
+
 #: The others' methods are beyond SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.oracle(MIX_TARGET), "op9_quality_rules": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.oracle(MIX_TARGET), "op4_embedding_links": OP4_SQL, "op9_quality_rules": quality.oracle(), "op10_jaccard_join": OP10_SQL}
