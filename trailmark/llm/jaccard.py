@@ -1,25 +1,27 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document's set holds the hashes (64 bits) of its distinct shingles of `width` words. Equal sets are one class, and only its
-smallest id goes on. For a threshold num/den, a set of n tokens that has a partner shares at least ceil(num n / den) tokens with
+A document's set holds the hashes (64 bits) of its distinct shingles of `width` words. Equal sets are one class with a number of its own; only
+one row of it goes on. For a threshold num/den, a set of n tokens that has a partner shares at least ceil(num n / den) tokens with
 it, so, in any order that all sets keep, the first n - ceil(num n / den) + k tokens of both share at least k. Here the order is
 that of the hashes and k(n) = 2 + n // 30 (extended prefixes). Then
 
 * tokens that few pairs of classes share are rare: they are indexed alone;
-* the others are frequent: two sets that share no rare token of their prefixes share k frequent ones or more. Sets with fewer
-  drop out. The rest keep, rarest first, all but their last k - 2 frequent tokens: those still share two, so where one such token
-  has many pairs, combinations of two tokens are indexed in its place if that makes no
-  more than combine_most rows of one; keys that still have many members are compared tile by tile.
+* the others are frequent: two sets that share no rare token of their prefixes share k frequent ones or more. Sets with fewer drop out.
+  Ordered rarest first, the j-th token that two such sets share stands among the first f - k + j of each one's f frequent tokens. So a frequent
+  token is indexed in combinations with a token behind it, and combinations that many pairs still share are extended by one more, as
+  long as the prefixes guarantee so many shared tokens, where that makes fewer rows than the pairs that it replaces, at most GROWTH rows of one at first and
+  no more rows later. Else its pairs are made, if they are at most MANY a row or no more than the rows would be; what then
+  still has many is compared tile by tile, as the last resort.
 
 Links found early make most pairs needless, since what is asked for is the components: each class is first held against the
-smallest id that shares most tokens with it, and later only pairs of different components are made. Pairs are verified on whole
-texts: rows of a pair's first side stream past the other's set. Two filters come before. Counts: shared prefix tokens, frequent
-ones taken as all shared, against the least overlap less what may lie beyond the prefixes. Sketches of 2,048 parity bits: they
-differ in no more bits than the sets in tokens.
+class of the smallest id that shares most tokens with it, and later only pairs of different components are made. Pairs are verified on whole
+texts: rows of a pair's first side stream past the other's set; a side that many pairs have is dealt over several tasks. Two filters come before. Counts:
+shared prefix tokens, frequent ones taken as all shared, against the least overlap less what may lie beyond the prefixes. Sketches of 2,048
+parity bits: they differ in no more bits than the sets in tokens.
 
 Cases: null and empty texts have no tokens, n_shingles 0, and link with nothing; with fewer than width words the whole sequence is
-the one token; rows with a null id keep a null component and link with nothing; rows of equal id are one node; an empty table gives
-no rows; other columns are ignored; texts of any length are read whole."""
+the one token; rows with a null id keep a null component and link with nothing; rows of equal id are one node, whose links are those of all
+its texts; an empty table gives no rows; other columns are ignored; texts of any length are read whole."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, columns_or, tidy, worker_cache, written
+from .common import BROADCAST_ROWS, Codes, columns_or, discard, join_counted, small, tidy, worker_cache, written
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +89,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 SKETCH_BITS = 2048
+#: Pairs for each row of a key that are made in any case, and rows that a token's combinations may make of one.
+MANY, GROWTH = 16, 4
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -100,6 +104,11 @@ def most_different(n, m, num: int, den: int):
     return (n + m) * (den - num) // (den + num)
 
 
+def digest(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return tuple(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
 def _sets(given: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(width)
@@ -108,10 +117,10 @@ def _sets(given: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for t in b.column(1):
                 tokens = own.tokens(t.as_py())
                 sizes.append(len(tokens))
-                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                digests.append(digest(tokens))
                 prefixes.append(tokens[: prefix_length(len(tokens), num, den)].view(np.int64))
                 sketches.append(sketch(tokens))
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            halves = np.array(digests, np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *map(len, prefixes)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))), pa.array(sketches, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "sketch"])
 
@@ -122,77 +131,115 @@ def _similar(n: Column, m: Column, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow the threshold."""
-    own = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).dropDuplicates([x])
-    both = pairs.join(own("a"), "a").join(own("b"), "b").where(_similar(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb", "sa", "sb")
+def _heavy(pairs: DataFrame, side: str, most: int = 256) -> DataFrame | None:
+    """(side, parts): classes that more than `most` pairs have on a side, and over how many parts their pairs are dealt; None without any."""
+    found = written(pairs.groupBy(side).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1"), "heavy")
+    return found if found.limit(1).count() else None
+
+
+def _dealt(pairs: DataFrame, side: str, by: str, heavy: DataFrame | None) -> DataFrame:
+    """pairs with part_<side>, so that no part of a class has many more than `most` pairs."""
+    if heavy is None:
+        return pairs.withColumn(f"part_{side}", F.lit(0))
+    joined = pairs.join(small(heavy), side, "left")
+    return joined.withColumn(f"part_{side}", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Of written pairs (a, b) of classes those whose sizes and sketches allow the threshold, with the ids and digests of their texts. No task
+    gets all pairs of a class."""
+    heavy = {side: _heavy(pairs, side) for side in "ab"}
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "needed")
+    reps = reps.join(small(wanted), "c", "left_semi")
+    for side, by in (("a", "b"), ("b", "a")):
+        own = reps.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}{side}") for x in ("rep", "n", "d1", "d2", "sketch")])
+        pairs = _dealt(pairs, side, by, heavy[side])
+        if heavy[side] is None:
+            own = own.withColumn(f"part_{side}", F.lit(0))
+        else:  # a class stands once for each of its parts
+            own = own.join(small(heavy[side]), side, "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        pairs = pairs.join(own, [side, f"part_{side}"])
+    fields = ["a", "b", *[f"{x}{side}" for side in "ab" for x in ("rep", "d1", "d2")]]
+    both = pairs.where(_similar(F.col("na"), F.col("nb"), num, den)).select(*fields, "na", "nb", "sketcha", "sketchb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (4, 5)]
+                bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sketcha", "sketchb")]
                 differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
-                ok = pa.array(differ <= most_different(b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), num, den))
-                yield b.select([0, 1]).filter(ok)
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def verified(given: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, num: int, den: int, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Of distinct pairs (a, b), those whose texts reach the threshold. b is the side that more pairs share, if any."""
-    pairs = written(_alike(pairs, sets, num, den), "pairs")
-    spread = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    sent = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    sent = sent.select(F.col("a").alias("doc_id"), "b", "part", F.lit(1).alias("order")).unionByName(sent.select(F.col("b").alias("doc_id"), "b", "part", F.lit(0).alias("order")).distinct())
-    sent = written(sent, "sent")
-    small = sent.count() <= broadcast_rows
-    rows = given.where("doc_id is not null").join(F.broadcast(sent) if small else sent, "doc_id")
+                ok = pa.array(differ <= most_different(b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy(), num, den))
+                yield b.select(fields).filter(ok)
+
+    return both.mapInArrow(run, ", ".join(f"{x} long" for x in fields))
+
+
+def verified(given: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those whose texts reach the threshold: a, b and their ids repa, repb. Where a class has many pairs, b
+    is the side that has more of them."""
+    wanted = written(pairs.select("a", "b"), "wanted")
+    pairs = written(_alike(wanted, reps, num, den), "pairs")
+    discard(wanted)
+    many = _heavy(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c")
+    if many is not None:
+        for side in "ab":
+            pairs = pairs.join(small(many).withColumnsRenamed({"c": side, "parts": f"d_{side}"}), side, "left")
+        swap = F.coalesce("d_a", F.lit(1)) > F.coalesce("d_b", F.lit(1))
+        pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+        names = [("a", "b"), ("repa", "repb"), ("d1a", "d1b"), ("d2a", "d2b")]
+        pairs = pairs.select(*[pick(x, y, x) for x, y in names], *[pick(y, x, y) for x, y in names])
+    pairs = _dealt(pairs, "b", "a", _heavy(pairs, "b"))
+    side = lambda x, order: [F.col(f"rep{x}").alias("doc_id"), F.col(x).alias("c"), F.col(f"d1{x}").alias("d1"), F.col(f"d2{x}").alias("d2"), "b", "repb", F.col("part_b").alias("part"), F.lit(order).alias("order")]
+    sent = written(pairs.select(*side("a", 1)).unionByName(pairs.select(*side("b", 0)).distinct()), "sent")
+    rows = given.where("doc_id is not null").join(small(sent), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, held = shingler(width), None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = [], []
-            for doc_id, text, other, part, order in zip(*(batch.column(i) for i in range(5)), strict=True):
+            out = []
+            for doc_id, text, c, d1, d2, b, rep, part, order in zip(*(batch.column(i) for i in range(9)), strict=True):
                 tokens = own.tokens(text.as_py())
+                if digest(tokens) != (d1.as_py(), d2.as_py()):
+                    continue  # another text of a repeated id
                 if order.as_py() == 0:
-                    key, held = (other.as_py(), part.as_py()), tokens
-                elif key == (other.as_py(), part.as_py()):
+                    key, held = (b.as_py(), part.as_py()), tokens
+                elif key == (b.as_py(), part.as_py()):
                     both = len(tokens) + len(held)
                     shared = both - len(np.unique(np.concatenate([tokens, held])))
                     if den * shared >= num * (both - shared) and shared:
-                        a.append(doc_id.as_py())
-                        b.append(key[0])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        out.append((c.as_py(), key[0], doc_id.as_py(), rep.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["a", "b", "repa", "repb"])
 
-    dealt = rows.select("doc_id", "text", "b", "part", "order").repartition("b", "part").sortWithinPartitions("b", "part", "order")
-    return dealt.mapInArrow(tidy(run), "a long, b long")
+    dealt = rows.select("doc_id", "text", "c", "d1", "d2", "b", "repb", "part", "order").repartition("b", "part").sortWithinPartitions("b", "part", "order")
+    return dealt.mapInArrow(tidy(run), "a long, b long, repa long, repb long").distinct()
 
 
 def _pairs_within(index: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
     """Pairs of different components under each key (a < b), once for each key."""
-    left = index.select(*key, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("comp").alias("ca"))
-    right = index.select(*key, F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("comp").alias("cb"))
+    left = index.select(*key, F.col("c").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("comp").alias("ca"))
+    right = index.select(*key, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("comp").alias("cb"))
     return left.join(right, key).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar(F.col("na"), F.col("nb"), num, den))
 
 
-def _crossing(index: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of different components that each key would give, from counts alone."""
-    by = index.groupBy(*key, "comp").agg(F.count("*").alias("c"))
-    return by.groupBy(*key).agg(F.sum("c").alias("g"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("cross"))
+def _crossing(index: DataFrame, key: list[str], *sums: Column) -> DataFrame:
+    """Pairs of different components that each key would give, from counts alone; sums are aggregated along."""
+    names = [f"s{i}" for i in range(len(sums))]
+    by = index.groupBy(*key, "comp").agg(F.count("*").alias("c"), *[x.alias(n) for x, n in zip(sums, names, strict=True)])
+    return by.groupBy(*key).agg(F.sum("c").alias("g"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("cross"), *[F.sum(n).alias(n) for n in names]).where("cross > 0")
 
 
-def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """Pairs (a < b) of different components under keys (t, u) with many members, by pairs of tiles of bounded size. In a pair of
+def _tiles(rows: DataFrame, reps: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """Pairs (a < b) of different components under keys with many members, by pairs of tiles of bounded size. In a pair of
     tiles the shared tokens of all prefixes are counted by a product of 0/1 matrices, and a pair goes on where the least overlap
     can be reached and the sketches don't differ too much."""
-    prefixes = sets.select(F.col("doc_id").alias("rep"), "prefix", "sketch").dropDuplicates(["rep"]).join(rows.select("rep").distinct(), "rep", "left_semi")
-    counts = rows.groupBy("t", "u").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = rows.join(counts, ["t", "u"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).join(prefixes, "rep")
-    dealt = placed.select("t", "u", "rep", "n", "comp", "prefix", "sketch", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("t", "u", "rep", "n", "comp", "prefix", "sketch", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("right"))
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = rows.join(small(written(counts, "tiles")), "key").select("key", "c", "n", "comp", "tiles", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int").alias("at"))
+    # the narrow side goes to the prefixes where its count allows it
+    placed = reps.select("c", "prefix", "sketch").join(small(written(placed, "placed")), "c")
+    dealt = placed.select("key", "c", "n", "comp", "prefix", "sketch", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("key", "c", "n", "comp", "prefix", "sketch", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("right"))
 
     def run(table: pa.Table) -> pa.Table:
-        rep, n, comp, right = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "right"))
+        rep, n, comp, right = (table.column(c).to_numpy() for c in ("c", "n", "comp", "right"))
         lists = table.column("prefix").combine_chunks()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
         flat = lists.flatten().to_numpy().view(np.uint64)
@@ -231,63 +278,93 @@ def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
-    return dealt.groupBy("t", "u", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, combine_pairs: int = 2000, combine_most: int = 2, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _combinations(frequent: DataFrame, reps: DataFrame, num: int, den: int, tile: int, deepest: int) -> list[DataFrame]:
+    """Pairs (a, b) under combinations of frequent tokens. frequent: (t, c, n, comp, f, least, k), k numbering a class's f tokens, rarest
+    first, and least how many of them a partner without rare tokens shares at the least."""
+    out = []
+    level = frequent.where("k <= f - least + 1").select(F.array("t").alias("key"), "c", "n", "comp", "f", "least", "k")
+    for j in range(1, deepest + 1):
+        made = F.sum(F.least(F.col("f"), F.col("f") - F.col("least") + j + 1) - F.col("k"))
+        stats = _crossing(level, ["key"], made, F.sum((F.col("least") <= j).cast("long")))
+        longer = (F.col("s0") < F.col("cross")) & (F.col("s0") <= F.col("g") * (GROWTH if j == 1 else 1)) & (F.col("s1") == 0) & F.lit(j < deepest)
+        few = F.col("cross") <= F.greatest(F.col("s0"), F.col("g") * MANY)
+        stats = written(stats.select("key", F.when(longer, "longer").when(few, "pairs").otherwise("tiles").alias("way")), f"ways{j}")
+        level = written(level.join(small(stats), "key"), f"level{j}")
+        ways = {r[0]: r[1] for r in stats.groupBy("way").count().collect()}  # three at most
+        if "pairs" in ways:
+            out.append(_pairs_within(level.where("way = 'pairs'"), ["key"], num, den).select("a", "b"))
+        if "tiles" in ways:
+            out.append(_tiles(level.where("way = 'tiles'"), reps, num, den, tile))
+        if "longer" not in ways:
+            break
+        behind = frequent.select("c", F.col("t").alias("u"), F.col("k").alias("ku"))
+        level = level.where("way = 'longer'").join(behind, "c").where((F.col("ku") > F.col("k")) & (F.col("ku") <= F.col("f") - F.col("least") + j + 1))
+        level = level.select(F.concat("key", F.array("u")).alias("key"), "c", "n", "comp", "f", "least", F.col("ku").alias("k"))
+    return out
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare_pairs: int = 200, tile: int = 2048, deepest: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach."""
     given = columns_or(docs, doc_id=id_col, text=text_col)
     sets = written(_sets(given, width, num, den), "sets")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    index = sets.where(F.size("prefix") > 0).join(classes.select("rep", "n", "d1", "d2"), ["n", "d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", F.explode("prefix").alias("t"))
-    index = written(index, "index")
-    tokens = written(index.groupBy("t").agg(F.count("*").alias("g"), F.min("rep").alias("lead")).where("g > 1"), "tokens")
-    live = written(index.join(tokens, "t").select("t", "rep", "n", "lead"), "live")
-
-    # links to the smallest id that shares most tokens
-    shared = live.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("c"))
-    first = shared.groupBy("rep").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-    links = written(verified(given, sets, first.select(F.col("rep").alias("a"), F.col("lead").alias("b")), width, num, den), "links")
-    comps = written(connected_components(links), "comps")
-
-    # the pairs of different components that are left
-    live = live.drop("lead").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("t", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    live = written(live, "live2")
-    open_tokens = written(_crossing(live, ["t"]).where("cross > 0"), "open")
-    rows = live.join(open_tokens, "t").withColumn("rare", F.col("cross") <= rare_pairs)
-    rows = written(rows, "rows")
-    least = extension(F.ceil(F.col("n") * num / den))  # of the smallest set that may be a partner
-    frequent = rows.where("not rare").groupBy("rep").agg(F.count("*").alias("f"))
-    rows = rows.join(frequent, "rep", "left").fillna(0, ["f"]).withColumn("least", least)
-    alone = _pairs_within(rows.where("rare"), ["t"], num, den)
-    # rarest first; all but the last least - 2 of the frequent tokens
-    order = Window.partitionBy("rep").orderBy("g", "t")
-    kept = rows.where("not rare and f >= least").withColumn("k", F.row_number().over(order)).where("k <= f - least + 2")
-    kept = written(kept.select("t", "rep", "n", "comp", "f", "k", (F.col("k") <= F.col("f") - F.col("least") + 1).alias("single"), (F.col("f") - F.col("least") + 2 - F.col("k")).alias("later")), "kept")
-    length = kept.where("single").groupBy("t").agg(F.avg("later").alias("later"))
-    many = written(_crossing(kept.where("single"), ["t"]).where("cross > 0").join(length, "t").withColumn("large", F.col("cross") > combine_pairs).withColumn("combine", F.col("large") & (F.col("later") <= combine_most)).select("t", "large", "combine"), "many")
-    kept = kept.join(many, "t", "left").withColumn("u", F.lit(0).cast("long"))
-    single = _pairs_within(kept.where("single and not large"), ["t"], num, den)
-    seconds = kept.select("rep", F.col("t").alias("u"), F.col("k").alias("ku"))
-    combined = kept.where("combine").drop("u").join(seconds, "rep").where("k < ku").select("t", "u", "rep", "n", "comp", "f")
-    sizes = _crossing(combined, ["t", "u"]).where("cross > 0").select("t", "u", (F.col("cross") > combine_pairs).alias("much"))
-    combined = written(combined.join(sizes, ["t", "u"]), "combined")
-    both = _pairs_within(combined.where("not much"), ["t", "u"], num, den)
-    tiled = kept.where("single and large and not combine").select("t", "u", "rep", "n", "comp").unionByName(combined.where("much").select("t", "u", "rep", "n", "comp"))
-    dense = _tiles(tiled, sets, num, den, tile)
+    named = sets.where("n > 0 and doc_id is not null")
+    # classes are numbered in order of their smallest ids; the writing fixes the numbers
+    found = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    classes = written(found.repartitionByRange("rep").sortWithinPartitions("rep", "n", "d1", "d2").withColumn("c", F.monotonically_increasing_id()), "classes")
+    keys, many = ["n", "d1", "d2"], classes.count()
+    joined = lambda rows: rows.join(F.broadcast(classes), keys) if many <= BROADCAST_ROWS else join_counted(rows, classes, keys, "m")
+    reps = written(joined(named).where("doc_id = rep").drop("doc_id"), "reps")
+    if reps.count() > many:  # rows that repeat an id and its text
+        reps = written(reps.dropDuplicates(["c"]), "reps")
+    members = written(joined(named.select("doc_id", *keys)).select("doc_id", "n", "c", "rep"), "members")
+    # an id with several texts joins their classes
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    tied = members.join(small(written(several, "several")), "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+    index = reps.where(F.size("prefix") > 0).select("c", "n", F.explode("prefix").alias("t"))
+    tokens = written(index.groupBy("t").agg(F.count("*").alias("g"), F.min("c").alias("lead")).where("g > 1"), "tokens")
+    live = live_written = written(index.join(tokens, "t").select("t", "c", "n", "lead"), "live")
+
+    # links to the class of the smallest id that shares most tokens
+    shared = live.where("c <> lead").groupBy("c", "lead").agg(F.count("*").alias("k"))
+    first = shared.groupBy("c").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
+    links = written(verified(given, reps, first.select(F.col("c").alias("a"), F.col("lead").alias("b")), width, num, den), "links")
+    edges = links.select(F.col("repa").alias("a"), F.col("repb").alias("b")).unionByName(tied)
+    found = small(written(connected_components(edges), "comps"))
+    comps = small(written(reps.select("c", "rep").join(found.withColumnRenamed("id", "rep"), "rep").select("c", "component"), "class-comps"))
+
+    # the pairs of different components that are left: a component goes by its smallest class
+    least = comps.groupBy("component").agg(F.min("c").alias("comp"))
+    named_comps = small(written(comps.join(least, "component").select("c", "comp"), "named-comps"))
+    live = live.drop("lead").join(named_comps, "c", "left").select("t", "c", "n", F.coalesce("comp", "c").alias("comp"))
+    rows = written(live.join(_crossing(live, ["t"]), "t").withColumn("rare", F.col("cross") <= rare_pairs).drop("cross"), "rows")
+    shared_least = extension(F.ceil(F.col("n") * num / den))  # of the smallest set that may be a partner
+    order = Window.partitionBy("c").orderBy("g", "t")
+    frequent = rows.where("not rare").withColumns({"k": F.row_number().over(order), "f": F.count("*").over(Window.partitionBy("c"))}).withColumn("least", shared_least)
+    frequent = written(frequent.select("t", "c", "n", "comp", "f", "least", "k"), "frequent")
+    counts = small(written(frequent.where("k = 1").select("c", "f"), "counts"))
+    alone = _pairs_within(rows.where("rare").join(counts, "c", "left").fillna(0, ["f"]), ["t"], num, den)
 
     def need(n: str, m: str) -> Column:
         size = lambda x: F.col(x) - F.least(F.col(x), F.col(x) - F.ceil(F.col(x) * num / den) + extension(F.col(x)))
         return F.ceil((F.col(n) + F.col(m)) * num / (num + den)) - F.greatest(size(n), size(m)) - 1  # one less: rounding
 
-    pairs = [x.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("fa").alias("fa"), F.first("fb").alias("fb")) for x in (alone, single, both)]
-    pairs[0] = pairs[0].where(F.col("c") + F.least("fa", "fb") >= need("na", "nb"))
-    wanted = pairs[0].select("a", "b").unionByName(pairs[1].select("a", "b")).unionByName(pairs[2].select("a", "b")).unionByName(dense).distinct()
-    wanted = wanted.join(links, ["a", "b"], "left_anti")
-    more = written(verified(given, sets, wanted, width, num, den), "links")
-    comps = written(connected_components(links.unionByName(more)), "comps")
-
-    named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    fine = sets.where("n > 0 and doc_id is not null").join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = alone.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.first(x).alias(x) for x in ("na", "nb", "fa", "fb")])
+    wanted = alone.where(F.col("k") + F.least("fa", "fb") >= need("na", "nb")).select("a", "b")
+    for more in _combinations(frequent.where("f >= least"), reps, num, den, tile, deepest):
+        wanted = wanted.unionByName(more)
+    wanted = wanted.distinct().join(small(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = written(verified(given, reps, wanted, width, num, den), "links")
+    edges = edges.unionByName(more.select(F.col("repa").alias("a"), F.col("repb").alias("b")))
+    comps = written(connected_components(edges), "comps")
+
+    known = reps.select("c", "rep", "m").join(small(comps).withColumnRenamed("id", "rep"), "rep", "left")
+    known = written(known.select("c", "m", F.coalesce("component", "rep").alias("component_id")), "known")
+    fine = join_counted(members, known, ["c"], "m").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     other = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return fine.unionByName(other)
+    out = written(fine.unionByName(other), "jaccard")
+    discard(sets, classes, reps, members, tokens, live_written, rows, frequent, links, more, known)
+    return out
