@@ -1,13 +1,16 @@
 """BPE encoding and decoding over a distinct-word table.
 
-1. Every task splits its texts into the tokenizer's words and lists its distinct words once, by bucket of a word hash.
-2. A bucket gathers the lists of all tasks; each distinct word of the corpus is encoded there, once, and every list is answered
+1. Every task splits its texts into the tokenizer's words and lists the distinct words of a block of texts once, by bucket of a word hash.
+2. A bucket gathers the lists of all blocks; each distinct word of the corpus is encoded there, once, and every list is answered
    with the ids of its words.
 3. The answers are joined by block to the positions (numbers in the block's sorted word list) of its documents' words, and each
    document's ids are put together; an id-to-piece table of the vocabulary's size turns them back into text.
 
-What moves is one entry for each word and block, never one for each occurrence, so a frequent word makes no large group. A
-bucket holds its share of the distinct words; their number follows spark.sql.shuffle.partitions.
+What moves is one entry for each word and block, never one for each occurrence, so a frequent word makes no large group. The number of
+buckets follows the characters of the input (bucket_chars each), so a bucket's share is bounded at every size.
+
+Texts are split twice, for the words and for the positions, as words of all blocks on disk would be more than the texts. Both readings must make the same
+blocks: an input that isn't a plain scan of files is written first, and a block's words are compared by a 64-bit digest where they meet.
 
 Cases: null text is empty and has no ids; null and repeated doc_ids give a row each; an empty table gives no rows; other columns
 are ignored; texts of any length are encoded whole."""
@@ -15,15 +18,19 @@ are ignored; texts of any length are encoded whole."""
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, give_back, ragged, tidy, worker_cache, written
 
-from .common import BYTE_PATTERN, Codes, WordSplitter, byte_characters, columns_or, give_back, ragged, tidy, worker_cache
 
 def splitter(path: str) -> WordSplitter:
     return worker_cache(("splitter", path), lambda: WordSplitter(path, BYTE_PATTERN, lower=False))
@@ -94,40 +101,50 @@ def _row(names: list[str], kinds: list[pa.DataType], *rows: tuple) -> pa.RecordB
 
 
 def _check(words: list[bytes]) -> int:
-    return zlib.crc32(b"\xff".join(words))
+    """64 bits of the words in their order, none of which holds the byte between them."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b"\xff".join(words))).view(np.int64))
+
 
+def fixed_order(df: DataFrame) -> DataFrame:
+    """df if it is a projection or filter of a scan of files, whose rows come in the same order at every reading; else df written."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.match(r"[\s:+|-]*([A-Za-z]+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+|-]*[A-Za-z]", line)}
+    return df if nodes <= {"Project", "Filter", "Relation"} else written(df, "texts")
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, bucket_chars: int = 4_000_000, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Per document doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids adds ids, keep_text the decoded text."""
-    given = columns_or(docs, doc_id=id_col, text=text_col)
-    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    given = fixed_order(columns_or(docs, doc_id=id_col, text=text_col))
+    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-chars // bucket_chars))
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, tokenizer, block_chars, False):
             bucket, raw, order = block.dictionary(buckets)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                own = [raw[i] for i in order[edges[k] : edges[k + 1]].tolist()]
-                if own:
-                    lengths = np.fromiter(map(len, own), "<u4", len(own))
-                    yield _row(["bucket", "block", "words"], [pa.int32(), pa.int64(), pa.binary()], (k, number, _press(lengths, np.frombuffer(b"".join(own), np.uint8))))
+            at = order.tolist()
+            check, buckets_of = _check([raw[i] for i in at]), bucket[order]
+            edges = np.flatnonzero(np.concatenate([[True], buckets_of[1:] != buckets_of[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = [raw[i] for i in at[a:b]]
+                words = _press(np.fromiter(map(len, own), "<u4", len(own)), np.frombuffer(b"".join(own), np.uint8))
+                yield _row(["bucket", "block", "check", "words"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], (int(buckets_of[a]), number, check, words))
 
     def encode_bucket(table: pa.Table) -> pa.Table:
+        """The distinct-word table of a bucket, and its answers."""
         split, codes, asked = splitter(tokenizer), Codes(), []
-        for number, data in zip(table.column("block").to_pylist(), table.column("words"), strict=True):
-            lengths, flat = _unpress(data.as_py(), "<u4", "u1")
+        for words in table.column("words"):
+            lengths, flat = _unpress(words.as_py(), "<u4", "u1")
             ends, raw = np.cumsum(lengths, dtype=np.int64), flat.tobytes()
-            asked.append((number, np.fromiter((codes[raw[e - n : e]] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)), np.int64, len(lengths))))
+            asked.append(np.fromiter((codes[raw[e - n : e]] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)), np.int64, len(lengths)))
         ids = []
         for i in range(0, len(codes.order), 20_000):
             ids += split.encode([w.decode("utf-8", "surrogatepass") for w in codes.order[i : i + 20_000]])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, starts = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths
-        bucket = table.column("bucket")[0].as_py()
+        flat, starts = np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths
         del codes, ids
         give_back()
-        rows = [(number, bucket, _press(lengths[at].astype("<u4"), ragged(flat, starts[at], lengths[at]).astype("<u4"))) for number, at in asked]
-        return pa.Table.from_batches([_row(["block", "bucket", "ids"], [pa.int64(), pa.int32(), pa.binary()], *rows)])
+        sizes = pa.array([lengths[at].astype(np.int32) for at in asked], pa.list_(pa.int32()))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "check": table.column("check"), "sizes": sizes, "ids": pa.array([ragged(flat, starts[at], lengths[at]) for at in asked], pa.list_(pa.int32()))})
 
     def list_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, tokenizer, block_chars, True):
@@ -147,7 +164,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 np.array([d is not None for d in block.docs], np.uint8), np.array([d or 0 for d in block.docs], "<i8"), np.array(block.lengths, "<u4"), place[common].astype("<u4"),
                 np.where(escaped, 255 - np.minimum(15, ranked >> 8).astype(np.uint8), low).astype(np.uint8), low[escaped], mid[escaped & (ranked >= 15 << 8)], high[escaped & (ranked >= 15 << 8)],
             )
-            yield _row(["block", "check", "docs"], [pa.int64(), pa.int64(), pa.binary()], (number, _check([raw[i] for i in order.tolist()][:: max(1, len(raw) // 1000)]) << 24 ^ len(raw), payload))
+            yield _row(["block", "check", "docs"], [pa.int64(), pa.int64(), pa.binary()], (number, _check([raw[i] for i in order.tolist()]), payload))
 
     pieces_kept = {}
 
@@ -164,13 +181,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise RuntimeError("a block of words has no documents: its input changed between two reads")
-        # the replies, by bucket, stand in the order of the block's dictionary
-        replies = sorted(zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True), key=lambda x: x[0])
-        parts = [_unpress(data.as_py(), "<u4", "<u4") for _, data in replies]
-        lengths = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
-        if left.column("check")[0].as_py() & 0xFFFFFF != len(lengths) & 0xFFFFFF:
+        if any(x != left.column("check")[0].as_py() for x in right.column("check").to_pylist()):
             raise RuntimeError("a block's words changed between two reads of the input")
+        # the replies, by bucket, stand in the order of the block's dictionary
+        right = right.sort_by("bucket").combine_chunks()
+        flat = right.column("ids").combine_chunks().flatten().to_numpy().astype(np.uint32) if right.num_rows else np.zeros(0, np.uint32)
+        lengths = right.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64) if right.num_rows else np.zeros(0, np.int64)
         known, doc_ids, sizes, place, first, low, mid, high = _unpress(left.column("docs")[0].as_py(), "u1", "<i8", "<u4", "<u4", "u1", "u1", "u1", "<u2")
         ranked = first.astype(np.uint32)
         escaped = np.flatnonzero(first >= 240)
@@ -191,7 +207,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             out.append(row + [ids.astype(np.int32)] * keep_ids + [decoded] * keep_text)
         return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
-    answers = given.mapInArrow(tidy(list_words), "bucket int, block long, words binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, ids binary")
+    answers = given.mapInArrow(tidy(list_words), "bucket int, block long, check long, words binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, check long, sizes array<int>, ids array<int>")
     placed = given.mapInArrow(tidy(list_docs), "block long, check long, docs binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_together, schema)
