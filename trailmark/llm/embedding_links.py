@@ -1,8 +1,8 @@
 """Embedding near-duplicates: int8 tile products with rigorous error bounds, full precision where the bound leaves doubt.
 
 Rows of equal label and equal components are one class, under a number of its own. The classes of a label stand in tiles of about
-tile rows, so a hot label is only more tiles. Tiles follow cells: a label of more than one tile gives each unit vector to the nearest of PIVOTS
-pivots (vectors with the smallest hashes), and a cell's vectors are dealt over its tiles by a hash. A tile knows its pivot and the largest
+tile rows, so a hot label is only more tiles. Tiles follow cells: a label of more than one tile gives each unit vector to the nearest of as many
+pivots (vectors with the smallest hashes, PIVOTS at most), and a cell's vectors are dealt over its tiles by a hash. A tile knows its pivot and the largest
 angle to it; by the triangle inequality on angles a pair of tiles is left out where the pivots' angle less both radii is over the
 threshold's angle. The other pairs of tiles are groups of bounded size. In a group each unit vector u is s * q + e with int8 q, and
 
@@ -101,6 +101,8 @@ def _cells(classes: DataFrame, tile: int) -> DataFrame:
                 at = np.flatnonzero((size > tile) & (dim == d))
                 if d in shared.value:
                     cos = np.clip(units(_matrix(b.column(4).take(pa.array(at)), len(at))) @ shared.value[d].T, -1, 1)
+                    # as many pivots as the label has tiles: smaller cells would only be more pairs of them
+                    cos = np.where(np.arange(cos.shape[1]) < np.ceil(size[at] / tile)[:, None], cos, -1)
                     cell[at] = cos.argmax(axis=1)
                     angle[at] = np.arccos(cos.max(axis=1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(cell), pa.array(angle)], names=["label", "dim", "c", "m", "v", "cell", "angle"])
