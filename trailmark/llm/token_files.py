@@ -13,8 +13,8 @@ block: shard, block (ascending, together in ascending doc_id order), start_in_sh
 
 all little endian. Readers look the lengths of four ranks up in a table by their control byte, and ids in the table of ranks.
 
-Writing takes three steps: texts are encoded where they lie and their ids written to the shared folder with the number of the row; ids are counted
-over all of them, task by task, and the counts of the vocabulary give the ranks; then the rows' ids, not the texts, are exchanged into ascending
+Writing takes two steps: texts are encoded where they lie and their ids written to the shared folder with the number of the row, and with each
+task's counts of ids, which together give the ranks; then the rows' ids, not the texts, are exchanged into ascending
 order of (doc_id, number of the row), coded and written. The row's number parts rows of a null or repeated doc_id, so they don't meet in one task.
 
 Cases: null text is empty and gives the end id alone; null doc_id comes first; equal doc_ids keep an arbitrary order among
@@ -47,7 +47,9 @@ def ranking(counts: np.ndarray) -> np.ndarray:
 
 def pack(ranks: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
     """The payload of a block."""
-    extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    extra = (ranks >= 1 << 8).astype(np.uint8)
+    if ranks.dtype.itemsize > 2:
+        extra += (ranks >= 1 << 16).astype(np.uint8) + (ranks >= 1 << 24)
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = extra
     four = four.reshape(-1, 4)
@@ -91,7 +93,7 @@ class _Encoder:
     such piece goes through the library once while it's in the cache, which is emptied at its bound. Texts with special tokens or
     with characters beyond U+024F (or U+001C to U+001F, on which white space differs) go through the library whole."""
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 1_500_000):
         self.split, self.bound = WordSplitter(path, WORD_PATTERN, lower=True), bound
         self.plain = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|").search
         self.model = self.split.tok.model
@@ -141,16 +143,23 @@ def encoder(path: str) -> _Encoder:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """(doc_id, row, ids) of every row of (doc_id, text): ids as bytes of two each where the vocabulary allows it, else four."""
+    """(doc_id, row, ids) of every row of (doc_id, text): ids as bytes of two each where the vocabulary allows it, else four. Of each task one more row,
+    under a number below zero, holds how often each id came: ids and counts, as bytes of eight each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        row, counts = part << 32, np.zeros(1, np.int64)
+        end = np.array([] if end_id is None else [end_id], enc.kind).tobytes()
         for whole in batches:
             for b in sliced(whole, 1):
-                ids = [np.concatenate([enc.ids(t.as_py() or ""), end]).astype(enc.kind).tobytes() for t in b.column(1)]
+                ids = [enc.ids(t or "").astype(enc.kind).tobytes() + end for t in b.column(1).to_pylist()]
+                own = np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(counts))
+                own[: len(counts)] += counts
+                counts = own
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
                 row += len(ids)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1 - part], pa.int64()), pa.array([np.concatenate([used, counts[used]]).astype("<i8").tobytes()], pa.binary())], names=["doc_id", "row", "ids"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, row long, ids binary")
 
@@ -161,53 +170,48 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     rows = written(_encoded(columns_or(docs, doc_id=id_col, text=text_col), tokenizer, end_id), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sums = encoder(tokenizer).kind, np.zeros(0, np.int64)
         for b in batches:
-            own = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
-            if len(own) > len(sums):
-                sums = np.concatenate([sums, np.zeros(len(own) - len(sums), np.int64)])
-            sums[: len(own)] += own
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(sums[used])], names=["id", "n"])
+            for own in b.column(0):
+                used, n = np.frombuffer(own.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
 
     counts = np.zeros(1, np.int64)
-    for i, n in rows.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most the vocabulary
+    for i, n in rows.where("row < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most the vocabulary
         if i >= len(counts):
             counts = np.concatenate([counts, np.zeros(i + 1, np.int64)])
         counts[i] = n
     table = ranking(counts)
     spark.createDataFrame([(k, int(i), int(counts[i])) for k, i in enumerate(table.tolist())], "rank int, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(len(counts), np.uint32)
-    rank_of[table] = np.arange(len(table), dtype=np.uint32)
+    rank_of = np.zeros(len(counts), "<u2" if len(table) <= 1 << 16 else np.uint32)
+    rank_of[table] = np.arange(len(table))
     shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, shard = encoder(tokenizer).kind, TaskContext.get().partitionId()
-        block = start = size = 0
-        ranks, lengths, doc_ids = [], [], []
+        block, start, size, width = 0, 0, 0, np.dtype(kind).itemsize
+        raw, lengths, doc_ids = [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, size
-            payload = pack(np.concatenate(ranks), np.array(lengths, np.int64), doc_ids)
+            payload = pack(shared.value[np.frombuffer(b"".join(raw), kind)], np.array(lengths, np.int64), doc_ids)
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "block", "start_in_shard", "n_ids", "payload"])
             block, start, size = block + 1, start + size, 0
-            for x in (ranks, lengths, doc_ids):
+            for x in (raw, lengths, doc_ids):
                 x.clear()
             return out
 
         for b in batches:
-            for d, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(own.as_py(), kind)
-                ranks.append(shared.value[ids])
-                lengths.append(len(ids))
+            for d, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw.append(own)
+                lengths.append(len(own) // width)
                 doc_ids.append(d)
-                size += len(ids)
+                size += lengths[-1]
                 if size >= block_ids:
                     yield flush()
         if doc_ids:
             yield flush()
 
-    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    ordered = rows.where("row >= 0").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
     ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(rows)
 
