@@ -221,3 +221,21 @@ def test_outside_and_summary(spark):
         raster.corridor_mask(spark.createDataFrame([(0, 0)], "row long, col long"), seg.withColumns({"x": F.lit(9e5), "x1": F.lit(9e5)}), 30.0, 60.0)
     found = raster.repeated_edges(spark.createDataFrame([(0, 0, 0, 1)] * 2, "row int, col int, to_row int, to_col int"))
     assert found.count() == 1
+
+
+def broadcasts(df):
+    """What a query's plan broadcasts for equi-joins, a line a join."""
+    return [x.strip() for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+
+
+def test_no_join_along_the_grid_is_broadcast(spark):
+    cells = spark.createDataFrame([(i, j, 0.5 * ((i * j) % 3)) for i in range(6) for j in range(6)], "row long, col long, z double")
+    found = raster.edges(cells, 1.0, raster.OFFSETS_8)
+    assert not broadcasts(found) and found.where("row = 2 and col = 2").count() > 0
+    assert not broadcasts(catalog_routes.cost_along_path(spark, SF))
+
+
+def test_cost_along_with_a_missing_edge_and_a_single_node(spark):
+    path = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 1), ("b", 1, 9), ("c", 0, 4)], "unit string, seq long, node long")
+    e = spark.createDataFrame([("a", 1, 2, 1.5), ("a", 2, 3, 2.0), ("b", 1, 2, 9.0)], "unit string, src long, dst long, cost double")
+    assert {r["unit"]: r["cost"] for r in paths.cost_along(path, e).collect()} == {"a": 3.5, "b": None, "c": 0.0}

@@ -274,9 +274,10 @@ def touches_edge(path: DataFrame, members: DataFrame, nodes: DataFrame) -> DataF
 def cost_along(path: DataFrame, edges: DataFrame) -> DataFrame:
     """Sum of edge costs over (unit, seq, node); null where a hop is no edge, 0 with fewer than two nodes."""
     hop = path.withColumn("dst", F.lead("node").over(Window.partitionBy("unit").orderBy("seq")))
-    priced = hop.where("dst is not null").join(edges.select("unit", F.col("src").alias("node"), "dst", "cost"), ["unit", "node", "dst"], "left")
+    # paths, edges and units grow with the grid, whatever Spark takes them for: none is broadcast
+    priced = hop.where("dst is not null").join(edges.select("unit", F.col("src").alias("node"), "dst", "cost").hint("merge"), ["unit", "node", "dst"], "left")
     sums = priced.groupBy("unit").agg(F.when(F.count("*") == F.count("cost"), F.sum("cost")).alias("cost"), F.lit(True).alias("hops"))
-    return path.select("unit").distinct().join(sums, "unit", "left").select("unit", F.when(F.col("hops"), F.col("cost")).otherwise(0.0).alias("cost"))
+    return path.select("unit").distinct().join(sums.hint("merge"), "unit", "left").select("unit", F.when(F.col("hops"), F.col("cost")).otherwise(0.0).alias("cost"))
 
 
 # ---------------------------------------------------------------- weights

@@ -156,7 +156,7 @@ def edges(cells: DataFrame, size: float, offsets: list[tuple[int, int]] | None =
     asks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(needed)])
     given = own.withColumn("o", F.explode(asks)).select((F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), F.col("o.k").alias("k"), "z")
     answers = given.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(len(needed))])
-    around = own.join(answers, ["row", "col"])
+    around = own.join(answers.hint("merge"), ["row", "col"])  # both are as long as the grid; Spark takes a few columns of it for small and would broadcast them
     z = {move: F.col(f"z{k}") for k, move in enumerate(needed)}
     steps = []
     for i, j in moves:
