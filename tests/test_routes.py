@@ -235,6 +235,25 @@ def test_no_join_along_the_grid_is_broadcast(spark):
     assert not broadcasts(catalog_routes.cost_along_path(spark, SF))
 
 
+def test_nodes_of_the_grid_are_not_broadcast(spark):
+    members = spark.createDataFrame([("u", 0), ("u", 1), ("u", 3)], "unit string, node long")
+    nodes = spark.range(4).selectExpr("id as node", "id div 2 as row", "id % 2 as col")
+    places = spark.createDataFrame([("u", "start", 0, 0), ("u", "goal", 1, 0)], "unit string, name string, row long, col long")
+    found = paths.nearest_node(members, nodes, places)
+    assert len(broadcasts(found)) == 1  # of the places
+    assert {r["name"]: r["node"] for r in found.collect()} == {"start": 0, "goal": 0}
+
+
+def test_models_share_one_sweep(spark):
+    held = catalog_routes._held(spark, SF)
+    assert "MapCoGroups" not in held._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    want = con.sql(f"select model, median, mean, n from ({catalog.ORACLE_SQL['model_summary']})").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in catalog_routes.model_summary(spark, SF).select("model", "median", "mean", "n").collect())
+
+
 def test_cost_along_with_a_missing_edge_and_a_single_node(spark):
     path = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 1), ("b", 1, 9), ("c", 0, 4)], "unit string, seq long, node long")
     e = spark.createDataFrame([("a", 1, 2, 1.5), ("a", 2, 3, 2.0), ("b", 1, 2, 9.0)], "unit string, src long, dst long, cost double")

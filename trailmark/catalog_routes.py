@@ -151,7 +151,7 @@ def blocked_cv(s, d):
 
 
 def _held(s, d) -> DataFrame:
-    c = _block_costs(s, d)
+    c = lines.cut_lineage(_block_costs(s, d))  # a row for each block and weight; both models read it
     plain = paths.blocked_validation(c.where("weight_id = 5")).withColumn("model", F.lit("reference"))
     return plain.unionByName(paths.blocked_validation(c).withColumn("model", F.lit("extended")))
 

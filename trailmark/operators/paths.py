@@ -187,7 +187,7 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
 def nearest_node(members: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
     """For places (unit, name, row, col) the node of their unit in the same cell, or the one fewest cells away, of equal ones the first: (unit, name,
     node)."""
-    own = members.join(nodes.select("node", F.col("row").alias("r"), F.col("col").alias("c")), "node")
+    own = members.join(nodes.select("node", F.col("row").alias("r"), F.col("col").alias("c")).hint("merge"), "node")  # all nodes of the grid, which Spark would broadcast
     d2 = F.pow(F.col("r") - F.col("row"), 2) + F.pow(F.col("c") - F.col("col"), 2)
     return own.join(F.broadcast(places), "unit").groupBy("unit", "name").agg(F.min_by("node", F.struct(d2, "node")).alias("node"))  # two places a unit
 
