@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import collections
 import hashlib
 import zlib
 
@@ -61,6 +62,24 @@ def test_op2_token_files(docs, empty):
     assert token_files.token_file_digest(empty, tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_op2_full_cache_keeps_frequent_pieces_and_its_bound():
+    made = collections.Counter()
+
+    class Counting(token_files._Encoder):
+        def _piece(self, piece):
+            made[piece] += 1
+            return super()._piece(piece)
+
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, tok = Counting(path, 50), library("word_bpe_49k.json")
+    for k in range(100):
+        t = "Common " + " ".join(f"w{k}x{j}" for j in range(10)) + " common's"
+        assert enc.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.pieces) + len(enc.pieces.before) <= 2 * (50 + 12)
+        assert not getattr(enc.pieces.before, "before", None)
+    assert made["common"] == 1 and token_files._Encoder(path).bound <= 250_000
+
+
 def test_op2_codec_round_trip():
     r = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 5), (5000, 200), (5000, 40000), (300000, 400000)):

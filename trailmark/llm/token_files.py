@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Codes, WordSplitter, byte_characters, columns_or, crc, discard, ragged, shared_dir, sliced, tidy, worker_cache, written
+from .common import WORD_PATTERN, WordSplitter, byte_characters, columns_or, crc, discard, shared_dir, sliced, tidy, worker_cache, written
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
@@ -88,54 +88,58 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], lengths, ranks
 
 
+def id_kind(tok) -> str:
+    """The numbers that hold a tokenizer's ids."""
+    return "<u2" if tok.get_vocab_size(True) <= 1 << 16 else "<u4"
+
+
+class _Pieces(dict):
+    """Pieces with their ids as bytes; one that is missing is looked for among the pieces before, or else made."""
+
+    def __init__(self, before: dict, make: Callable[[str], bytes]):
+        super().__init__()
+        self.before, self.make = before, make
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        self[piece] = found = self.make(piece) if found is None else found
+        return found
+
+
 class _Encoder:
     """Texts to ids. White space always parts words, so the ids of what stands between it are the library's for it alone: each
-    such piece goes through the library once while it's in the cache, which is emptied at its bound. Texts with special tokens or
+    such piece goes through the library once while it's in the cache. The cache is two tables of at most about `bound` pieces: a full one
+    becomes the older, whose pieces move on when they are met, and the older one goes. Texts with special tokens or
     with characters beyond U+024F (or U+001C to U+001F, on which white space differs) go through the library whole."""
 
-    def __init__(self, path: str, bound: int = 1_500_000):
+    def __init__(self, path: str, bound: int = 250_000):
         self.split, self.bound = WordSplitter(path, WORD_PATTERN, lower=True), bound
         self.plain = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|").search
-        self.model = self.split.tok.model
         self.bytes = byte_characters()
-        self.kind = "<u2" if self.split.tok.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes, self.flat, self.used = Codes(), np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces' ids one after the other, and how many each has: their words, in the vocabulary's byte characters, through
-        the library's model."""
-        tokenize, table, find = self.model.tokenize, self.bytes, self.split.find
-        ids, sizes = [], []
-        for p in pieces:
-            before = len(ids)
-            for w in find(p):
-                ids += [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table))]
-            sizes.append(len(ids) - before)
-        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+        self.kind = id_kind(self.split.tok)
+        size = max([*self.split.tok.get_vocab(True).values(), *self.split.tok.get_added_tokens_decoder()]) + 1
+        width, flat = np.dtype(self.kind).itemsize, np.arange(size).astype(self.kind).tobytes()
+        self.single = [flat[i : i + width] for i in range(0, len(flat), width)]  # each id's bytes, which pieces of one id share
+        self.pieces = _Pieces({}, self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids: its words, in the vocabulary's byte characters, through the library's model."""
+        tokenize, single, out = self.split.tok.model.tokenize, self.single, []
+        for w in self.split.find(piece):
+            out += [single[t.id] for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes))]
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def raw(self, text: str) -> bytes:
+        """A text's ids, as bytes of self.kind."""
+        if self.plain(text) is not None:
+            return np.array(self.split.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self.pieces) > self.bound:
+            self.pieces.before = {}  # goes before the new table grows
+            self.pieces = _Pieces(self.pieces, self._piece)
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.plain(text) is not None:
-            return np.array(self.split.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = text.lower().split()
-        if len(self.codes) > self.bound:
-            self.clear()
-        known = len(self.codes)
-        at = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        n = len(self.codes)
-        if n > known:
-            if n > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-            new, sizes = self._encoded(self.codes.order[known:])
-            self.starts[known:n], self.lengths[known:n] = self.used + np.cumsum(sizes) - sizes, sizes
-            if self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(self.flat) + len(new), np.uint32)])
-            self.flat[self.used : self.used + len(new)] = new
-            self.used += len(new)
-        return ragged(self.flat, self.starts[at], self.lengths[at])
+        return np.frombuffer(self.raw(text), self.kind).astype(np.uint32)
 
 
 def encoder(path: str) -> _Encoder:
@@ -152,7 +156,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
         end = np.array([] if end_id is None else [end_id], enc.kind).tobytes()
         for whole in batches:
             for b in sliced(whole, 1):
-                ids = [enc.ids(t or "").astype(enc.kind).tobytes() + end for t in b.column(1).to_pylist()]
+                ids = [enc.raw(t or "") + end for t in b.column(1).to_pylist()]
                 own = np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(counts))
                 own[: len(counts)] += counts
                 counts = own
@@ -166,6 +170,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id, and writes the ids in ascending order of id_col."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     rows = written(_encoded(columns_or(docs, doc_id=id_col, text=text_col), tokenizer, end_id), "ids")
 
@@ -185,9 +191,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     rank_of = np.zeros(len(counts), "<u2" if len(table) <= 1 << 16 else np.uint32)
     rank_of[table] = np.arange(len(table))
     shared = spark.sparkContext.broadcast(rank_of)
+    kind = id_kind(Tokenizer.from_file(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, shard = encoder(tokenizer).kind, TaskContext.get().partitionId()
+        worker_cache(("coder",), dict)  # the encoder goes from workers that have done with it
+        shard = TaskContext.get().partitionId()
         block, start, size, width = 0, 0, 0, np.dtype(kind).itemsize
         raw, lengths, doc_ids = [], [], []
 
@@ -232,6 +240,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(("coder",), dict)
         offsets, table = shared.value
         for b in batches:
             for shard, first, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
