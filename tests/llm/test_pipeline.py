@@ -92,3 +92,22 @@ def test_stages_on_empty_tables_nulls_and_clashing_names(spark):
             out.collect()
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sum(r.doc_id is None for r in kept) == 2
+
+
+def test_heap_is_given_back(spark):
+    from trailmark.llm.common import give_back_heap
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName()]
+    before = sum(b.getCollectionCount() for b in full)
+    give_back_heap(spark)
+    assert full and sum(b.getCollectionCount() for b in full) > before
+
+
+def test_stages_begin_by_giving_heap_back(spark, monkeypatch):
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "give_back_heap", lambda s: begun.append(s))
+    docs = spark.createDataFrame([(1, "one two three four five six", "a")], "doc_id long, text string, source string")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        stage(spark, docs, "")
+    assert len(begun) == len(corpus_pipeline.STAGES) - 1

@@ -130,6 +130,13 @@ def give_back() -> None:
         pass
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Executors collect their garbage, after which a JVM gives heap back that it no longer needs: a task for each core, each of which
+    asks its JVM once. For the time between steps, where little is live; it changes no result, and an executor that gets no task stays as it is."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow; a task's end gives memory back, as its worker lives on."""
 
