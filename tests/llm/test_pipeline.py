@@ -111,3 +111,49 @@ def test_stages_begin_by_giving_heap_back(spark, monkeypatch):
     for _, stage in corpus_pipeline.STAGES[1:]:
         stage(spark, docs, "")
     assert len(begun) == len(corpus_pipeline.STAGES) - 1
+
+
+def test_the_driver_collects_where_its_heap_has_grown(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from trailmark.llm import common
+
+    asked = []
+
+    def driver(total, most):
+        runtime = SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: most)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime), System=SimpleNamespace(gc=lambda: asked.append(total)))
+        return SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))
+
+    for total in (300, 375, 376, 700):
+        common.collect_on_driver(driver(total, 750))
+    assert asked == [376, 700]
+    monkeypatch.setattr(common, "collect_on_driver", asked.append)
+    assert common.written(spark.range(3), "three").count() == 3
+    assert len(asked) == 3
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trailmark.llm import common
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    narrow = common.written(spark.range(100), "narrow")
+    wide = common.written(spark.range(100).select(*[F.col("id").alias(f"c{i}") for i in range(12)]), "wide")
+    assert common.broadcast_rows(wide) < common.broadcast_rows(narrow) <= common.BROADCAST_ROWS
+    assert hinted(common.small(narrow)) and hinted(common.small(wide)) and not hinted(common.small(narrow, 99))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 15_000)
+    assert hinted(common.small(narrow)) and not hinted(common.small(wide))
+
+
+def test_classes_beyond_the_bound_are_shuffled_with_the_same_result(spark, monkeypatch):
+    from trailmark.llm import common, jaccard
+
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base), " ".join([*base, "tail"]), " ".join(f"v{i}" for i in range(60)), "one two", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = sorted(jaccard.jaccard_components(docs).collect())
+    assert [r.component_id for r in before] == [0, 0, 0, 3, 4, 5, 6]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(jaccard.jaccard_components(docs).collect()) == before

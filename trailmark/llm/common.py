@@ -34,6 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailmark-{name}-{uuid.uuid4().hex}"
+    collect_on_driver(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._trailmark_path = path
@@ -49,13 +50,19 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows up to which a table whose rows were counted may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a table whose rows were counted may be broadcast, and bytes that it may take as a hashed table: the driver builds
+#: it, and holds it beside its rows as they came and its blocks as they are sent.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 96 << 20
+
+
+def broadcast_rows(df: DataFrame) -> int:
+    """Rows up to which df may be broadcast. A hashed table has its key, its length, a pointer and a place of its own for each row, some 96 bytes."""
+    return min(BROADCAST_ROWS, BROADCAST_BYTES // (96 + df._jdf.schema().defaultSize()))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for a broadcast where its counted rows are at most `most`; df should be a written table."""
-    return F.broadcast(df) if df.count() <= most else df
+    """df, marked for a broadcast where its counted rows are at most `most` and broadcast_rows; df should be a written table."""
+    return F.broadcast(df) if df.count() <= min(most, broadcast_rows(df)) else df
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", hot: int = 10_000) -> DataFrame:
@@ -133,10 +140,19 @@ def give_back() -> None:
 def give_back_heap(spark: SparkSession) -> None:
     """Executors collect their garbage, after which a JVM gives heap back that it no longer needs: a task for each core, each of which
     asks its JVM once. For the time between steps, where little is live; it changes no result, and an executor that gets no task stays as it is."""
+    collect_on_driver(spark)
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
+def collect_on_driver(spark: SparkSession) -> None:
+    """The driver collects its garbage where its heap has grown beyond half of what it may take: tables that were broadcast for steps that are
+    over go, and the JVM gives heap back that it no longer needs. It changes no result."""
+    own = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * own.totalMemory() > own.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow; a task's end gives memory back, as its worker lives on."""
 

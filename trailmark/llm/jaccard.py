@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Codes, columns_or, discard, join_counted, small, tidy, worker_cache, written
+from .common import Codes, broadcast_rows, columns_or, discard, join_counted, small, tidy, worker_cache, written
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -315,7 +315,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     found = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     classes = written(found.repartitionByRange("rep").sortWithinPartitions("rep", "n", "d1", "d2").withColumn("c", F.monotonically_increasing_id()), "classes")
     keys, many = ["n", "d1", "d2"], classes.count()
-    joined = lambda rows: rows.join(F.broadcast(classes), keys) if many <= BROADCAST_ROWS else join_counted(rows, classes, keys, "m")
+    joined = lambda rows: rows.join(F.broadcast(classes), keys) if many <= broadcast_rows(classes) else join_counted(rows, classes, keys, "m")
     reps = written(joined(named).where("doc_id = rep").drop("doc_id"), "reps")
     if reps.count() > many:  # rows that repeat an id and its text
         reps = written(reps.dropDuplicates(["c"]), "reps")
