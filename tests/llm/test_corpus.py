@@ -80,6 +80,29 @@ def test_op2_full_cache_keeps_frequent_pieces_and_its_bound():
     assert made["common"] == 1 and token_files._Encoder(path).bound <= 250_000
 
 
+def test_op2_batches_look_each_distinct_word_up_once():
+    looked = collections.Counter()
+
+    class Counting(token_files._Pieces):
+        def __getitem__(self, piece):
+            looked[piece] += 1
+            return super().__getitem__(piece)
+
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, tok = token_files._Encoder(path), library("word_bpe_49k.json")
+    enc.pieces = Counting({}, enc._piece)
+    marks = ["stone", "Stone.", "stone,", "stone.,", "stone...", "(stone).", "stone's.", "st1.", "st_.", "\u0130.", "\u00c9t\u00e9!", ".", ",", "a\u00a0b", "a\u0085b.", "don't;", "\u65e5\u672c.", "<|endoftext|>.", "a\x1cb"]
+    given = ["", " ", *marks, *[f" {x}  {y}\n" for x in marks for y in marks], "stone " * 50]
+    ids, starts = enc.encode(given, 1)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in given]
+    assert len(starts) == len(given) + 1 and starts[-1] == len(ids)
+    assert looked["stone"] <= 5 and "stone." not in looked  # alone and with four of the marks, however often
+    ids, starts = enc.encode([], 1)
+    assert len(ids) == 0 and starts.tolist() == [0]
+    every = [chr(c) for c in range(0x250)]
+    assert [enc.ids(f"x{c}. {c}x, {c}").tolist() for c in every] == [tok.encode(f"x{c}. {c}x, {c}", add_special_tokens=False).ids for c in every]
+
+
 def test_op2_codec_round_trip():
     r = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 5), (5000, 200), (5000, 40000), (300000, 400000)):

@@ -29,11 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, WordSplitter, byte_characters, columns_or, crc, discard, shared_dir, sliced, tidy, worker_cache, written
+from .common import WORD_PATTERN, WordSplitter, byte_characters, columns_or, crc, discard, ragged, shared_dir, sliced, texts, tidy, worker_cache, written
 
 SCHEMA = "shard int, block int, start_in_shard long, n_ids long, payload binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of the four ranks of a control byte
@@ -109,37 +110,78 @@ class _Pieces(dict):
 class _Encoder:
     """Texts to ids. White space always parts words, so the ids of what stands between it are the library's for it alone: each
     such piece goes through the library once while it's in the cache. The cache is two tables of at most about `bound` pieces: a full one
-    becomes the older, whose pieces move on when they are met, and the older one goes. Texts with special tokens or
+    becomes the older, whose pieces move on when they are met, and the older one goes. A piece of letters and one of
+    ENDS is looked up without it, as a mark alone is a word of its own. Texts with special tokens or
     with characters beyond U+024F (or U+001C to U+001F, on which white space differs) go through the library whole."""
 
+    ENDS = ".,;:!?"
+
     def __init__(self, path: str, bound: int = 250_000):
         self.split, self.bound = WordSplitter(path, WORD_PATTERN, lower=True), bound
-        self.plain = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|").search
+        self.odd = re.compile("[^\x00-\x1b\x20-\u024f]").search
         self.bytes = byte_characters()
         self.kind = id_kind(self.split.tok)
         size = max([*self.split.tok.get_vocab(True).values(), *self.split.tok.get_added_tokens_decoder()]) + 1
         width, flat = np.dtype(self.kind).itemsize, np.arange(size).astype(self.kind).tobytes()
         self.single = [flat[i : i + width] for i in range(0, len(flat), width)]  # each id's bytes, which pieces of one id share
-        self.pieces = _Pieces({}, self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        """A piece's ids: its words, in the vocabulary's byte characters, through the library's model."""
-        tokenize, single, out = self.split.tok.model.tokenize, self.single, []
-        for w in self.split.find(piece):
-            out += [single[t.id] for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes))]
+        self.tokenize = self.split.tok.model.tokenize
+        self.ends = {c: self._word(c) for c in self.ENDS}
+        self.pieces, self.step = _Pieces({}, self._piece), max(1, bound // 10)
+
+    def _word(self, w: str) -> bytes:
+        """A word's ids: in the vocabulary's byte characters, through the library's model."""
+        single = self.single
+        out = [single[t.id] for t in self.tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes))]
         return out[0] if len(out) == 1 else b"".join(out)
 
-    def raw(self, text: str) -> bytes:
-        """A text's ids, as bytes of self.kind."""
-        if self.plain(text) is not None:
-            return np.array(self.split.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self.pieces) > self.bound:
-            self.pieces.before = {}  # goes before the new table grows
-            self.pieces = _Pieces(self.pieces, self._piece)
-        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids: those of its words; letters alone are one."""
+        if piece.isalpha():
+            return self._word(piece)
+        return b"".join(map(self._word, self.split.find(piece)))
+
+    def whole(self, text: str) -> bool:
+        """Whether a text goes through the library whole."""
+        if text.isascii():
+            return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return "<|" in text or self.odd(text) is not None
+
+    def _look(self, piece: str) -> bytes:
+        """The ids of a piece that isn't of letters alone."""
+        end = self.ends.get(piece[-1:])
+        return self.pieces[piece[:-1]] + end if end is not None and piece[:-1].isalpha() else self.pieces[piece]
+
+    def encode(self, given: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with `end` behind it, and where each text's begin; one number more, their total.
+        Arrow numbers the pieces of all texts, so that each distinct one is looked up once."""
+        width, whole = np.dtype(self.kind).itemsize, [i for i, t in enumerate(given) if self.whole(t)]
+        odd = set(whole)
+        split = pc.ascii_split_whitespace(pa.array(["" if i in odd else t.lower() for i, t in enumerate(given)], pa.string()))
+        ends, numbered = split.offsets.to_numpy()[1:], split.flatten().dictionary_encode()
+        known = numbered.dictionary
+        # one string, cut at spaces, is faster than many from Arrow; a piece holds none
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), " ")[0].as_py().split(" ") if len(known) else []
+        found: list[bytes] = []
+        for i in range(0, len(words), self.step):
+            if len(self.pieces) > self.bound:
+                self.pieces.before = {}  # goes before the new table grows
+                self.pieces = _Pieces(self.pieces, self._piece)
+            letters, look = self.pieces.__getitem__, self._look
+            found += [letters(w) if w.isalpha() else look(w) for w in words[i : i + self.step]]
+        n = len(found)
+        found += [np.array(self.split.tok.encode(given[i], add_special_tokens=False).ids, self.kind).tobytes() for i in whole]
+        found.append(b"" if end is None else np.array([end], self.kind).tobytes())
+        # behind a text's pieces stand the ids of one that the library took whole, and the end
+        at, what = np.concatenate([ends[whole], ends]), np.concatenate([np.arange(n, n + len(whole)), np.full(len(given), len(found) - 1)])
+        pieces = np.insert(numbered.indices.to_numpy().astype(np.int64), at, what)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        flat, lengths = np.frombuffer(b"".join(found), self.kind), sizes[pieces]
+        last = ends + np.arange(1, len(given) + 1) + np.searchsorted(np.array(whole, np.int64), np.arange(len(given)), "right")
+        starts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], last]).astype(np.int64)]
+        return ragged(flat, (np.cumsum(sizes) - sizes)[pieces], lengths), starts
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), self.kind).astype(np.uint32)
+        return self.encode([text])[0].astype(np.uint32)
 
 
 def encoder(path: str) -> _Encoder:
@@ -153,15 +195,15 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         row, counts = part << 32, np.zeros(1, np.int64)
-        end = np.array([] if end_id is None else [end_id], enc.kind).tobytes()
         for whole in batches:
             for b in sliced(whole, 1):
-                ids = [enc.raw(t or "") + end for t in b.column(1).to_pylist()]
-                own = np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(counts))
+                ids, starts = enc.encode(texts(b.column(1)), end_id)
+                own = np.bincount(ids, minlength=len(counts))
                 own[: len(counts)] += counts
                 counts = own
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
-                row += len(ids)
+                coded = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((starts * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(row, row + b.num_rows)), coded], names=["doc_id", "row", "ids"])
+                row += b.num_rows
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1 - part], pa.int64()), pa.array([np.concatenate([used, counts[used]]).astype("<i8").tobytes()], pa.binary())], names=["doc_id", "row", "ids"])
 
