@@ -218,6 +218,62 @@ def test_op10_combinations_are_made_and_find_links(spark, monkeypatch):
     assert made["level2"].count() > 0 and made["level2"].where("size(key) = 2").count() == made["level2"].count()
 
 
+def tables_of(monkeypatch):
+    """Tables that the join writes, by name, as they come."""
+    made, written = {}, jaccard.written
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    return made
+
+
+def test_op10_keys_of_the_same_classes_are_compared_once(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(0, 100, 2)]  # pairs at 0.81 to 0.9
+    texts += [" ".join(base[i:]) for i in range(30, 50)]
+    rows, first, verified = list(enumerate(texts)), [], jaccard.verified
+    # without the links to the smallest id, all must come from the tiles
+    monkeypatch.setattr(jaccard, "verified", lambda given, reps, pairs, *a: verified(given, reps, pairs if first else (first.append(1) or pairs.limit(0)), *a))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rare_pairs=0, tile=8, deepest=1)
+    assert sorted((True, r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows)
+    assert 0 < made["placed"].count() <= 2 * len(rows)  # not once for each of the tokens
+
+
+def test_op10_tiles_of_one_component_do_not_meet(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    base = [f"w{i}" for i in range(100)]
+    linked = [" ".join([*base, f"tail{i}"]) for i in range(60)]
+    texts = [" ".join(base), *linked, *(" ".join([*base[: 9 + k], f"own{k}", *base[10 + k : 89 - k], f"other{k}", *base[90 - k :]]) for k in range(35))]
+    rows = list(enumerate(texts))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rare_pairs=0, tile=8, deepest=1)
+    assert sorted((True, r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows)
+    assert made["blocks"].count() > 0 and made["meet"].where("block_i = block_j and block_i >= 0").count() == 0
+
+
+def test_op10_tiles_that_meet(spark):
+    r = np.random.default_rng(6)
+    members = [(5, i, 100, 0) for i in range(2000)] + [(5, 2000 + i, int(r.integers(60, 140)), 2000 + i) for i in range(60)] + [(6, i, 50, i) for i in range(3)]
+    placed, sides = jaccard._placed(spark.createDataFrame(members, "key long, c long, n int, comp long"), 85, 100, 10)
+    dealt = placed.join(sides, ["key", "block", "at"]).collect()
+    assert len(dealt) < 12 * len(members)  # tiles of all would be dealt 207 times each
+    tiles = {}
+    for x in dealt:
+        tiles.setdefault((x.key, x.block_i, x.i, x.block_j, x.j), ([], []))[x.right].append(x)
+    met = []
+    for at, (left, right) in tiles.items():
+        for k, x in enumerate(left):
+            for y in right or left[k + 1 :]:
+                if x.comp != y.comp and 100 * min(x.n, y.n) >= 85 * max(x.n, y.n):
+                    met.append((at[0], min(x.c, y.c), max(x.c, y.c)))
+    want = {(k, a, b) for k, a, n, p in members for h, b, m, q in members[2000:] if k == h and a < b and p != q and 100 * min(n, m) >= 85 * max(n, m)}
+    assert len(met) == len(want) and set(met) == want
+
+
 def test_op10_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, a), (None, a), (4, "z"), (4, "z"), (5, None), (6, "one two"), (7, "one two"), (8, a), (8, "q r s t u v")]

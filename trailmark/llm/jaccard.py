@@ -11,7 +11,8 @@ that of the hashes and k(n) = 2 + n // 30 (extended prefixes). Then
   token is indexed in combinations with a token behind it, and combinations that many pairs still share are extended by one more, as
   long as the prefixes guarantee so many shared tokens, where that makes fewer rows than the pairs that it replaces, at most GROWTH rows of one at first and
   no more rows later. Else its pairs are made, if they are at most MANY a row or no more than the rows would be; what then
-  still has many is compared tile by tile, as the last resort.
+  still has many is compared tile by tile, as the last resort: once for keys that much the same classes have, and without tiles of one component
+  or of too different sizes.
 
 Links found early make most pairs needless, since what is asked for is the components: each class is first held against the
 class of the smallest id that shares most tokens with it, and later only pairs of different components are made. Pairs are verified on whole
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -227,16 +229,56 @@ def _crossing(index: DataFrame, key: list[str], *sums: Column) -> DataFrame:
     return by.groupBy(*key).agg(F.sum("c").alias("g"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("cross"), *[F.sum(n).alias(n) for n in names]).where("cross > 0")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """(key, c, n, comp): the classes of groups of keys, each once a group. rows: (key, g, c, n, comp), g classes a key.
+
+    Keys that much the same classes have (tokens of one passage, of one text's near copies) would give the same pairs again and again. Each class
+    is led by the largest of its keys, and a key goes to the group of the key that leads most of its classes. Where a group at one would make more pairs
+    than its keys do, they stay apart."""
+    led = rows.select(F.xxhash64("key").alias("key"), "g", "c", "n", "comp")  # keys of equal hash are compared together, which loses nothing
+    led = written(led.withColumn("lead", F.max(F.struct("g", "key")).over(Window.partitionBy("c"))["key"]), "led")
+    found = led.groupBy("key", "g", "lead").agg(F.count("*").alias("x")).groupBy("key", "g").agg(F.max_by("lead", F.struct("x", "lead")).alias("group"))
+    found = written(found, "groups")
+    grouped = written(led.select("key", "c", "n", "comp").join(small(found.select("key", "group")), "key"), "grouped")
+    together = grouped.groupBy("group").agg(F.count_distinct("c").alias("u"))
+    apart = together.join(found.groupBy("group").agg(F.sum(F.pow("g", 2)).alias("own")), "group").where(F.pow("u", 2) > F.col("own"))
+    grouped = grouped.join(small(written(apart.select("group", F.lit(True).alias("apart")), "apart")), "group", "left")
+    return grouped.select(F.when(F.col("apart"), F.xxhash64("key")).otherwise(F.col("group")).alias("key"), "c", "n", "comp").distinct()
+
+
+def _placed(members: DataFrame, num: int, den: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """members (key, c, n, comp) with block and at, the tile of their key in which they stand, and the tiles that meet: (key, block, at) of each
+    of both sides, with block_i, i, block_j, j for the pair and `right` for the side.
+
+    Tiles follow the sizes of sets, so those of too different sizes don't meet; a component of more than a tile has a block of tiles of its own, which don't
+    meet one another."""
+    own = written(members.groupBy("key", "comp").agg(F.count("*").alias("m")).where(F.col("m") > tile).select("key", "comp", F.col("comp").alias("block")), "blocks")
+    members = written(members.join(small(own), ["key", "comp"], "left").fillna(-1, ["block"]), "members")
+    by = Window.partitionBy("key", "block")
+    sizes = members.groupBy("key", "block", "n").agg(F.count("*").alias("m"))
+    sizes = sizes.withColumns({"total": F.sum("m").over(by), "before": F.sum("m").over(by.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))}).fillna(0, ["before"])
+    place = F.floor((F.col("before") + F.pmod(F.xxhash64("c"), F.col("m"))) * F.ceil(F.col("total") / tile) / F.col("total"))
+    placed = members.join(small(written(sizes, "sizes")), ["key", "block", "n"]).select("key", "c", "n", "comp", "block", place.alias("at"))
+    placed = written(placed, "placed")
+    tiles = written(placed.groupBy("key", "block", "at").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "tiles")
+    left = tiles.select("key", F.col("block").alias("block_i"), F.col("at").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    right = tiles.select("key", F.col("block").alias("block_j"), F.col("at").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    meet = left.join(right, "key").where(F.struct("block_i", "i") <= F.struct(F.col("block_j").alias("block_i"), F.col("j").alias("i")))
+    meet = meet.where("block_i <> block_j or block_i = -1").where((F.col("hi_i") * den >= F.col("lo_j") * num) & (F.col("hi_j") * den >= F.col("lo_i") * num))
+    pair = ["key", "block_i", "i", "block_j", "j"]
+    meet = written(meet.select(*pair), "meet")
+    side = lambda x, rows: rows.select(*pair, F.col(f"block_{x}").alias("block"), F.col(x).alias("at"), F.lit(x == "j").alias("right"))
+    return placed, written(side("i", meet).unionByName(side("j", meet.where("block_i <> block_j or i <> j"))), "sides")
+
+
 def _tiles(rows: DataFrame, reps: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """Pairs (a < b) of different components under keys with many members, by pairs of tiles of bounded size. In a pair of
     tiles the shared tokens of all prefixes are counted by a product of 0/1 matrices, and a pair goes on where the least overlap
     can be reached and the sketches don't differ too much."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = rows.join(small(written(counts, "tiles")), "key").select("key", "c", "n", "comp", "tiles", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int").alias("at"))
+    placed, sides = _placed(_merged(rows), num, den, tile)
     # the narrow side goes to the prefixes where its count allows it
-    placed = reps.select("c", "prefix", "sketch").join(small(written(placed, "placed")), "c")
-    dealt = placed.select("key", "c", "n", "comp", "prefix", "sketch", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "n", "comp", "prefix", "sketch", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("right"))
+    placed = reps.select("c", "prefix", "sketch").join(small(placed), "c")
+    dealt = placed.join(small(sides), ["key", "block", "at"]).select("key", "block_i", "i", "block_j", "j", "c", "n", "comp", "prefix", "sketch", "right")
 
     def run(table: pa.Table) -> pa.Table:
         rep, n, comp, right = (table.column(c).to_numpy() for c in ("c", "n", "comp", "right"))
@@ -246,7 +288,7 @@ def _tiles(rows: DataFrame, reps: DataFrame, num: int, den: int, tile: int) -> D
         ends = np.cumsum(lists.value_lengths().to_numpy())
         starts = ends - lists.value_lengths().to_numpy()
         left, other = np.flatnonzero(~right), np.flatnonzero(right)
-        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+        if not len(other):  # a tile with itself
             other = left
         words, at = np.unique(flat, return_inverse=True)
         common = np.flatnonzero(np.bincount(at, minlength=len(words)) > 1)
@@ -278,31 +320,33 @@ def _tiles(rows: DataFrame, reps: DataFrame, num: int, den: int, tile: int) -> D
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("key", "block_i", "i", "block_j", "j").applyInArrow(run, "a long, b long")
 
 
 def _combinations(frequent: DataFrame, reps: DataFrame, num: int, den: int, tile: int, deepest: int) -> list[DataFrame]:
     """Pairs (a, b) under combinations of frequent tokens. frequent: (t, c, n, comp, f, least, k), k numbering a class's f tokens, rarest
     first, and least how many of them a partner without rare tokens shares at the least."""
-    out = []
+    out, apart = [], []
     level = frequent.where("k <= f - least + 1").select(F.array("t").alias("key"), "c", "n", "comp", "f", "least", "k")
     for j in range(1, deepest + 1):
         made = F.sum(F.least(F.col("f"), F.col("f") - F.col("least") + j + 1) - F.col("k"))
         stats = _crossing(level, ["key"], made, F.sum((F.col("least") <= j).cast("long")))
         longer = (F.col("s0") < F.col("cross")) & (F.col("s0") <= F.col("g") * (GROWTH if j == 1 else 1)) & (F.col("s1") == 0) & F.lit(j < deepest)
         few = F.col("cross") <= F.greatest(F.col("s0"), F.col("g") * MANY)
-        stats = written(stats.select("key", F.when(longer, "longer").when(few, "pairs").otherwise("tiles").alias("way")), f"ways{j}")
+        stats = written(stats.select("key", "g", F.when(longer, "longer").when(few, "pairs").otherwise("tiles").alias("way")), f"ways{j}")
         level = written(level.join(small(stats), "key"), f"level{j}")
         ways = {r[0]: r[1] for r in stats.groupBy("way").count().collect()}  # three at most
         if "pairs" in ways:
             out.append(_pairs_within(level.where("way = 'pairs'"), ["key"], num, den).select("a", "b"))
         if "tiles" in ways:
-            out.append(_tiles(level.where("way = 'tiles'"), reps, num, den, tile))
+            apart.append(level.where("way = 'tiles'").select("key", "g", "c", "n", "comp"))
         if "longer" not in ways:
             break
         behind = frequent.select("c", F.col("t").alias("u"), F.col("k").alias("ku"))
         level = level.where("way = 'longer'").join(behind, "c").where((F.col("ku") > F.col("k")) & (F.col("ku") <= F.col("f") - F.col("least") + j + 1))
         level = level.select(F.concat("key", F.array("u")).alias("key"), "c", "n", "comp", "f", "least", F.col("ku").alias("k"))
+    if apart:
+        out.append(_tiles(reduce(DataFrame.unionByName, apart), reps, num, den, tile))
     return out
 
 
