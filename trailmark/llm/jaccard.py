@@ -239,11 +239,16 @@ def _merged(rows: DataFrame) -> DataFrame:
     led = written(led.withColumn("lead", F.max(F.struct("g", "key")).over(Window.partitionBy("c"))["key"]), "led")
     found = led.groupBy("key", "g", "lead").agg(F.count("*").alias("x")).groupBy("key", "g").agg(F.max_by("lead", F.struct("x", "lead")).alias("group"))
     found = written(found, "groups")
-    grouped = written(led.select("key", "c", "n", "comp").join(small(found.select("key", "group")), "key"), "grouped")
-    together = grouped.groupBy("group").agg(F.count_distinct("c").alias("u"))
+    # a class stands once a group from here on, and only groups that stay apart go back to the rows of their keys
+    grouped = written(led.join(small(found.select("key", "group")), "key").select("group", "c", "n", "comp").distinct(), "grouped")
+    together = grouped.groupBy("group").agg(F.count("*").alias("u"))
     apart = together.join(found.groupBy("group").agg(F.sum(F.pow("g", 2)).alias("own")), "group").where(F.pow("u", 2) > F.col("own"))
-    grouped = grouped.join(small(written(apart.select("group", F.lit(True).alias("apart")), "apart")), "group", "left")
-    return grouped.select(F.when(F.col("apart"), F.xxhash64("key")).otherwise(F.col("group")).alias("key"), "c", "n", "comp").distinct()
+    apart = written(found.join(small(written(apart.select("group"), "apart")), "group").select("key", "group"), "apart-keys")
+    whole = grouped.join(small(apart.select("group")), "group", "left_anti").withColumnRenamed("group", "key")
+    alone = led.join(small(apart.select("key")), "key", "left_semi").select("key", "c", "n", "comp")
+    merged = written(whole.unionByName(alone).distinct(), "merged")
+    discard(led, grouped)
+    return merged
 
 
 def _placed(members: DataFrame, num: int, den: int, tile: int) -> tuple[DataFrame, DataFrame]:
