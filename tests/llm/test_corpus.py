@@ -244,6 +244,18 @@ def test_op10_keys_of_the_same_classes_are_compared_once(spark, monkeypatch):
     assert 0 < made["placed"].count() <= 2 * len(rows)  # not once for each of the tokens
 
 
+def test_op10_groups_of_keys_hold_each_class_once(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    # forty keys of the same classes, and four that overlap by little more than half, which stay apart
+    keys = [range(50)] * 40 + [range(100, 110), *([*range(100, 105), *range(110 + 4 * i, 114 + 4 * i)] for i in range(3))]
+    rows = [([k], len(cs), c, 20, c) for k, cs in enumerate(keys) for c in cs]
+    merged = {}
+    for r in jaccard._merged(spark.createDataFrame(rows, "key array<long>, g long, c long, n int, comp long")).collect():
+        merged.setdefault(r.key, []).append(r.c)
+    assert sorted(map(sorted, merged.values())) == sorted(map(list, [keys[0], *keys[40:]]))  # no pair of classes is lost or new
+    assert made["grouped"].count() == 50 + 22  # not a row for each of a class's keys
+
+
 def test_op10_tiles_of_one_component_do_not_meet(spark, monkeypatch):
     made = tables_of(monkeypatch)
     base = [f"w{i}" for i in range(100)]
